@@ -23,12 +23,12 @@ def new_file(folder: str, name: str, suffix: str) -> str:
 def create(uri: str):
     at, path = store(uri)
     at.create_dir(path.rpartition("/")[0], recursive=True)
-    return at.open_output_stream(path)
+    return at.open_output_stream(path, compression=None)
 
 
 def read(uri: str) -> bytes:
     at, path = store(uri)
-    with at.open_input_stream(path) as f:
+    with at.open_input_stream(path, compression=None) as f:
         return f.read()
 
 
@@ -41,4 +41,4 @@ def read_at(uri: str, offset: int, size: int) -> bytes:
 
 def stream(uri: str):
     at, path = store(uri)
-    return at.open_input_stream(path)
+    return at.open_input_stream(path, compression=None)

@@ -10,6 +10,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that one block holds (a longer document is a block of its own). Bounds the temporaries of a task.
 BLOCK_BYTES = 4 << 20
+#: Rows of a block at most, so that 16 bits number them.
+MOST_ROWS = 1 << 16
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -85,7 +87,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
         buf, off = text_bytes(batch.column(batch.schema.get_field_index(text)))
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
+            hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1), lo + MOST_ROWS)
             yield batch.slice(lo, hi - lo), buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
 

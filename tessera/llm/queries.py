@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, flac, records, warc
+from . import bpe, decontam, flac, jaccard, records, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.describe(flac.store(table(spark, sf_dir, "documents")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.dedup_round_trip(table(spark, sf_dir, "pages"))
 

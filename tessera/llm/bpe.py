@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -33,7 +34,7 @@ _POS = 20
 #: Lanes of one lockstep run times leaves; keeps a run's trees in the processor's cache.
 LANE_LEAVES = 1 << 17
 #: Bytes of text in a block: more of them share their parts.
-TEXT_BLOCK = 8 << 20
+TEXT_BLOCK = 4 << 20
 #: Parts made of these bytes alone hold no white space, control or special token and so need no care of their own.
 _CLEAN = byte_class((0x21, 0x7E), (0x80, 0xBF), (0xC3, 0xC9))
 
@@ -327,18 +328,77 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+#: Bytes by kind, of texts whose pieces can be counted without the library: 1 letter, 2 digit, 3 other visible sign.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:0xC0] = _KIND[0xC3] = 1
+_KIND[[0x27, 0x3C, 0x7C]] = 0  # apostrophes begin contractions; < and | begin special tokens
+
+
 def library_parts(tok: Tokenizer):
-    """encode_distinct's encoder by the library itself."""
+    """encode_distinct's encoder by the library itself.
 
-    def encode(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = buf.tobytes()
+    Parts of ASCII and Latin-1 letters, digits and signs go as one text, whose ids are dealt back by the number of pieces
+    in each part and the ends of words among the ids; all others go alone.
+    """
+    size = tok.get_vocab_size()
+    ends = np.array([(tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def alone(raw: bytes, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
         parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        ids = [x.ids for x in tok.encode_batch_fast(parts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+        return [x.ids for x in tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encode(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, n = buf.tobytes(), end - start
+        first = np.cumsum(n) - n
+        b = buf[gather_ranges(start, n)]
+        kind = _KIND[b]
+        odd = kind == 0
+        odd[1:] |= (b[:-1] == 0xC3) & ((b[1:] == 0x97) | (b[1:] == 0xB7))  # the signs for times and divided by
+        plain = np.add.reduceat(odd, first, dtype=np.int64) == 0
+        new = np.ones(len(b), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        new[first] = True
+        pieces = np.add.reduceat(new, first, dtype=np.int64)[plain]
+        text = np.full(int(n[plain].sum()) + len(pieces), 32, np.uint8)
+        text[gather_ranges(np.cumsum(n[plain] + 1) - n[plain] - 1, n[plain])] = b[np.repeat(plain, n)]
+        ids = np.array(tok.encode_batch_fast([text.tobytes().decode()], add_special_tokens=False)[0].ids, np.int64)
+        last = np.flatnonzero(ends[ids])
+        if len(last) != pieces.sum():  # a file with other pieces than counted here
+            plain[:] = False
+            ids, last, pieces = ids[:0], last[:0], pieces[:0]
+        count = np.zeros(len(n), np.int64)
+        edge = np.concatenate([[-1], last])[np.cumsum(pieces)] if len(pieces) else last
+        count[plain] = np.diff(edge, prepend=-1)
+        rest = np.flatnonzero(~plain)
+        if not len(rest):
+            return ids, count
+        others = alone(raw, start[rest], end[rest])
+        count[rest] = [len(x) for x in others]
+        out = np.zeros(int(count.sum()), np.int64)
+        at = np.cumsum(count) - count
+        out[gather_ranges(at[plain], count[plain])] = ids
+        out[gather_ranges(at[rest], count[rest])] = np.fromiter(chain.from_iterable(others), np.int64)
+        return out, count
 
     return encode
 
 
+_libraries: dict[str, tuple] = {}
+
+
+def library(path: str) -> tuple:
+    """(encoder, cache, number of ids) of the library's tokenizer at path, kept by each worker."""
+    if path not in _libraries:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        _libraries[path] = library_parts(tok), PartCache(), tok.get_vocab_size()
+    return _libraries[path]
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and text, of encode()'s rows."""
 

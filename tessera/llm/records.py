@@ -15,7 +15,6 @@ follow each other by text; empty tables give no files; other columns of the inpu
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from . import bpe, files
 from .blocks import blocks, gather_ranges
@@ -84,11 +82,8 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None =
     folder = folder or new_dir(docs.sparkSession, "token-records")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        width, encoder, cache = (2 if tok.get_vocab_size() <= 65536 else 4), bpe.library_parts(tok), bpe.PartCache()
+        encoder, cache, size = bpe.library(path)
+        width = 2 if size <= 65536 else 4
         shard = TaskContext.get().partitionId()
         names = [files.new_file(folder, f"part-{shard:06d}", x) for x in (".records", ".index")]
         out = index = None

@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ALNUM, FOLDED, Rolling, blocks, gather_ranges, spans, text_bytes
-from .shared import materialize
+from .shared import _NO_ID, materialize, row_key, without
 
 WINDOW = 13
 INDEX = "shard long, doc_ids array<long>, text_hashes array<long>, first array<long>, n_words array<long>, terms binary, counts binary, positions binary"
@@ -63,7 +63,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, min_run: int = 1, gap:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for rows, buf, off in blocks(batches, "text"):
+        for rows, buf, off in blocks(batches):
             hashes, row = _terms(buf, off)
             n_words = np.bincount(row, minlength=rows.num_rows)
             first = np.concatenate([[0], np.cumsum(n_words)[:-1]]) + np.arange(rows.num_rows) * gap
@@ -79,18 +79,17 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, min_run: int = 1, gap:
             term, place = at[keep], place[keep]
             order = np.argsort(term, kind="stable")
             terms, counts = np.unique(term, return_counts=True)
-            whole = Rolling(buf)
             yield pa.RecordBatch.from_pydict(
                 {
                     "shard": [shard], "doc_ids": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    "text_hashes": pa.array([whole.ranges(off[:-1], off[1:]).view(np.int64)], pa.list_(pa.int64())),
+                    "text_hashes": pa.array([rows.column("text_hash").to_pylist()], pa.list_(pa.int64())),
                     "first": pa.array([first], pa.list_(pa.int64())), "n_words": pa.array([n_words], pa.list_(pa.int64())),
                     "terms": pa.array([terms.astype("<i4").tobytes()]), "counts": pa.array([counts.astype("<i4").tobytes()]), "positions": pa.array([place[order].astype("<u4").tobytes()]),
                 }
             )
             shard += 1
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(build, INDEX)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text, doc_id)["_text"].alias("text_hash")).mapInArrow(build, INDEX)
 
 
 def _postings(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +229,7 @@ def query_blocks(benchmark: DataFrame, query_bytes: int, text: str = "text", ite
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, query_bytes: int = 8 << 20) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (sorted ids), hits (word ordinals inside benchmark windows)."""
+    """One row per document: doc_id, text_hash, n_words, n_hit, n_items, items (sorted ids), hits (word ordinals inside benchmark windows)."""
     found = []
     for items in query_blocks(benchmark, query_bytes):
         phrases = PhraseSet(items, window)
@@ -247,14 +246,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, q
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / len(found)).cast("int").alias("rows"),
         )
         out = merged.withColumn("row", F.explode(F.sequence(F.lit(1), "rows")))
-    return out.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits")
+    return out.select("doc_id", "text_hash", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "hits")
+
+
+def contaminated() -> Column:
+    """One word in twenty or more inside benchmark windows."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated."""
+    bad = decontaminate(docs, benchmark).where(contaminated())
+    return without(docs, bad.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id"), F.col("text_hash").alias("_text")))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """decontaminate()'s rows as the query returns them."""
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2(ids.cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(ids.cast("binary"), 256).alias("items_sha256"), contaminated().alias("contaminated")
     )
 
 

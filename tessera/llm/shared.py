@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _RUN: dict[str, str] = {}
 
@@ -40,6 +41,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_NO_ID = -(1 << 63)
+
+
+def row_key(text: str = "text", doc_id: str = "doc_id") -> dict[str, Column]:
+    """Columns _id and _text that tell rows apart, but for those of equal doc_id and text; never null."""
+    return {"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)), "_text": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))}
+
+
+def without(docs: DataFrame, keys: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs but for the rows whose row_key() is in keys. keys is written first, so the planner knows its size and picks the join by it."""
+    return docs.withColumns(row_key(text, doc_id)).join(materialize(keys.select("_id", "_text").distinct(), "keys"), ["_id", "_text"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all that this session has written to the shared folder. Results not yet stored elsewhere are lost."""
     path = _RUN.pop(spark.sparkContext.applicationId, None)

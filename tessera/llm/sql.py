@@ -41,4 +41,20 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(e.doc_id) AS com
 FROM d JOIN reach ON reach.a = d.r JOIN d e ON e.r = reach.b LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id
 """
 
-SQL = {"op4_jaccard_join": OP4, "op5_warc": OP5, "op7_decontamination": OP7}
+OP2 = r"""
+WITH m AS (SELECT conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS lines FROM conversations),
+l AS (SELECT conv_id, turn, role, lines, list_transform(lines, lambda x: {'level': len(regexp_replace(regexp_extract(x, '^(?:[ \t]{0,3}>)+[ \t]?'), '[^>]', '', 'g')),
+        'line': trim(lower(regexp_replace(regexp_replace(x, '^(?:[ \t]{0,3}>)+[ \t]?', ''), '\s+', ' ', 'g')))}) AS p FROM m),
+q AS (SELECT DISTINCT conv_id, turn, e.line AS line FROM (SELECT conv_id, turn, unnest(list_filter(p, lambda y: y.line <> '' AND y.level = list_min(list_transform(list_filter(p, lambda z: z.level > 0 AND z.line <> ''), lambda z: z.level)))) AS e FROM l)),
+o AS (SELECT DISTINCT conv_id, turn, e.line AS line FROM (SELECT conv_id, turn, unnest(list_filter(p, lambda y: y.line <> '' AND y.level = 0)) AS e FROM l)),
+found AS (SELECT q.conv_id, q.turn, q.line, max(o.turn) AS parent FROM q JOIN o ON o.conv_id = q.conv_id AND o.line = q.line AND o.turn < q.turn GROUP BY 1, 2, 3),
+links AS (SELECT conv_id, turn, max({'n': n, 'parent': parent}).parent AS parent FROM (SELECT conv_id, turn, parent, count(*) AS n FROM found GROUP BY 1, 2, 3) GROUP BY 1, 2),
+path AS (WITH RECURSIVE r AS (SELECT l.conv_id, l.turn, [l.turn] AS path FROM (SELECT DISTINCT conv_id, turn FROM l) l LEFT JOIN links k USING (conv_id, turn) WHERE k.parent IS NULL
+         UNION ALL SELECT k.conv_id, k.turn, list_append(r.path, k.turn) FROM r JOIN links k ON k.conv_id = r.conv_id AND k.parent = r.turn) SELECT * FROM r),
+f AS (SELECT l.conv_id, l.turn, role, trim(array_to_string(list_transform(list_filter(list_zip(lines, p), lambda z: z[2].level = 0), lambda z: z[1]), chr(10))) AS text,
+        CAST(len(list_filter(p, lambda y: y.level > 0 AND y.line <> '')) AS BIGINT) AS n_quoted, k.parent AS parent_turn, path.path
+      FROM l LEFT JOIN links k USING (conv_id, turn) JOIN path USING (conv_id, turn))
+SELECT conv_id, turn, role, text, n_quoted, parent_turn, CAST(len(path) - 1 AS BIGINT) AS depth, row_number() OVER (PARTITION BY conv_id ORDER BY path, role, text) AS position FROM f
+"""
+
+SQL = {"op2_quotation_linking": OP2, "op4_jaccard_join": OP4, "op5_warc": OP5, "op7_decontamination": OP7}

@@ -29,13 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import U64, Rolling, blocks
-from .shared import materialize
+from .shared import _NO_ID, materialize
 
 LENGTH = 400
 GRAM = 40
 #: Leading bytes that are sampled to choose splitters, and bytes of suffixes that a bucket should get.
 SAMPLE, BUCKET_BYTES = 20_000, 12 << 20
-_NO_ID = -(1 << 63)
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:

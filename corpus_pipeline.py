@@ -1,14 +1,65 @@
-"""A corpus pipeline of five stages, each one of the training-data operators. Part of the subpackage tessera.llm."""
+"""A corpus pipeline of five stages, each one of the training-data operators. Part of the subpackage tessera.llm.
+
+Stages take what their predecessor kept, written as Parquet and read again. The first four return the columns of documents,
+the last the tokens' digests.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, decontam, jaccard, quality, suffix
+from tessera.llm.shared import materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of label 1. Learnt from what documents these are and the labels' training rows."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(docs, model).select(*COLUMNS)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates, the document of the smallest doc_id; of repeated rows of that doc_id, one."""
+    return jaccard.keep_one(docs).select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes that 400-byte repeats cover; n_chars follows the text."""
+    cut = suffix.remove(docs)
+    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark rule does not call contaminated."""
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality classifier", keep_quality), ("n-gram jaccard join", keep_one_of_similar), ("suffix-array dedup", cut_repeats), ("benchmark decontamination", drop_contaminated), ("bpe encoding and decoding", tokenise)]
+#: The classifier and the tokenizer have no SQL form; tests/llm hold run() against the stages' brute-force versions.
 ORACLE_SQL = None
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if (name, stage) != STAGES[-1]:
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs
+
+
 def queries() -> dict:
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}

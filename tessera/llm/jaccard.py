@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from .blocks import FOLDED, NOT_SPACE, U64, Rolling, blocks, mix, spans
 from .components import connected_components
-from .shared import materialize
+from .shared import _NO_ID, materialize, row_key, without
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: The longest prefix extension that is tried, and the cost of verifying a pair's token against that of visiting a posting.
 MOST_MATCHES, VERIFY_COST = 8, 0.25
-_META = "doc_ids array<long>, sizes array<long>, first_keys array<long>, second_keys array<long>"
+_META = "doc_ids array<long>, text_keys array<long>, sizes array<long>, first_keys array<long>, second_keys array<long>"
 _PACKED = "batch long, bucket int, low binary, high binary, rows binary"
 
 
@@ -102,16 +102,16 @@ def _deal(docs: DataFrame, bits: int) -> DataFrame:
             high = ((h >> U64(48 - bits)) & U64(0xFFFF)).astype("<u2")
             r = r.astype("<u2")
             home = batch % (1 << bits)
-            out = {k: [] for k in ("batch", "bucket", "low", "high", "rows", "doc_ids", "sizes", "first_keys", "second_keys")}
+            out = {k: [] for k in ("batch", "bucket", "low", "high", "rows", "doc_ids", "text_keys", "sizes", "first_keys", "second_keys")}
             for b in range(1 << bits):
                 lo, hi = cut[b], cut[b + 1]
                 if lo == hi and b != home:
                     continue
                 mine = b == home
-                values = (batch, b, low[lo:hi].tobytes(), high[lo:hi].tobytes(), r[lo:hi].tobytes(), rows.column("doc_id").to_pylist() if mine else None, sizes if mine else None, keys[0].view(np.int64) if mine else None, keys[1].view(np.int64) if mine else None)
+                values = (batch, b, low[lo:hi].tobytes(), high[lo:hi].tobytes(), r[lo:hi].tobytes(), rows.column("doc_id").to_pylist() if mine else None, rows.column("text_key").to_pylist() if mine else None, sizes if mine else None, keys[0].view(np.int64) if mine else None, keys[1].view(np.int64) if mine else None)
                 for k, v in zip(out, values, strict=True):
                     out[k].append(v)
-            types = [pa.int64(), pa.int32(), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 4]
+            types = [pa.int64(), pa.int32(), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
             batch += 1
 
@@ -140,18 +140,18 @@ def _count(table: pa.Table) -> pa.Table:
     part = lambda a, t: [a[x:y].astype(t).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
     out = pa.table(
         {"batch": table.column("batch"), "bucket": table.column("bucket"), "low": pa.array(part(h & U64(0xFFFFFFFF), "<u4"), pa.binary()), "high": pa.array(part(h >> U64(32), "<u2"), pa.binary()),
-         "rows": pa.array(part(rows, "<u2"), pa.binary()), "frequencies": pa.array(part(packed, np.uint8), pa.binary())} | {c: table.column(c) for c in ("doc_ids", "sizes", "first_keys", "second_keys")}
+         "rows": pa.array(part(rows, "<u2"), pa.binary()), "frequencies": pa.array(part(packed, np.uint8), pa.binary())} | {c: table.column(c) for c in ("doc_ids", "text_keys", "sizes", "first_keys", "second_keys")}
     )
     return out.filter(pa.array((np.diff(cut) > 0) | ~np.array(table.column("sizes").is_null())))
 
 
-_DOCS = "key long, doc_id long, n long, first_key long, second_key long, tokens binary, frequencies binary"
+_DOCS = "key long, doc_id long, text_key long, n long, first_key long, second_key long, tokens binary, frequencies binary"
 
 
 def _gather(table: pa.Table) -> pa.Table:
     """Of a block: one row a document, with its repeated tokens, rarest first, if there are enough for a link."""
     home = table.filter(table.column("sizes").is_valid())
-    ids, sizes, first, second = (home.column(c)[0].as_py() for c in ("doc_ids", "sizes", "first_keys", "second_keys"))
+    ids, texts, sizes, first, second = (home.column(c)[0].as_py() for c in ("doc_ids", "text_keys", "sizes", "first_keys", "second_keys"))
     h, rows, line = _unpack(table)
     h = np.array(table.column("bucket"), np.int64).astype(U64)[line] << U64(48) | h
     df = np.frombuffer(b"".join(table.column("frequencies").to_pylist()), np.uint8)
@@ -166,7 +166,7 @@ def _gather(table: pa.Table) -> pa.Table:
     part = lambda a: [a[cut[i] : cut[i + 1]].tobytes() if able[i] else None for i in range(len(n))]
     batch = home.column("batch")[0].as_py()
     return pa.table(
-        {"key": pa.array([batch << 16 | i for i in range(len(n))], pa.int64()), "doc_id": pa.array(ids, pa.int64()), "n": pa.array(n), "first_key": pa.array(first, pa.int64()),
+        {"key": pa.array([batch << 16 | i for i in range(len(n))], pa.int64()), "doc_id": pa.array(ids, pa.int64()), "text_key": pa.array(texts, pa.int64()), "n": pa.array(n), "first_key": pa.array(first, pa.int64()),
          "second_key": pa.array(second, pa.int64()), "tokens": pa.array(part(h), pa.binary()), "frequencies": pa.array(part(df), pa.binary())}
     )
 
@@ -254,8 +254,8 @@ def bucket_bits(docs: DataFrame) -> int:
 
 
 def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hub_rounds: int = 2) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, key (a number of the row)."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """One row per document: doc_id, n_shingles, component_id, component, key (a number of the row), text_key (a hash of the text)."""
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text, doc_id)["_text"].alias("text_key"))
     dealt = _deal(docs, bucket_bits(docs))
     counted = dealt.groupBy("bucket").applyInArrow(_count, f"{_PACKED}, frequencies binary, {_META}")
     sets = materialize(counted.groupBy("batch").applyInArrow(_gather, _DOCS), "shingle-sets")
@@ -278,11 +278,27 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             found = connected_components(linked)
         else:
             named = linked.join(labels.withColumnRenamed("id", "a").withColumnRenamed("label", "la"), "a").join(labels.withColumnRenamed("id", "b").withColumnRenamed("label", "lb"), "b")
-            higher = connected_components(named.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnsRenamed({"id": "label", "label": "top"})
+            higher = connected_components(named.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("top"))
             found = labels.join(higher, "label", "left").select("id", F.coalesce("top", "label").alias("label"))
         labels = materialize(classes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
     named = chosen.select("id", "least_doc").join(labels, "id")
     least = named.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    of_class = named.join(least, "label").select("id", "component_id")
-    grouped = able.select("key", "doc_id", "n", identity.alias("id")).join(of_class, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key")
-    return grouped.unionByName(sets.where("tokens is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "key"))
+    of_class = named.join(least, "label").select("id", "component_id", F.col("label").alias("component"))
+    kept = ["key", "doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "component"]
+    grouped = able.select("key", "doc_id", "text_key", "n", identity.alias("id")).join(of_class, "id").select(*kept)
+    return grouped.unionByName(sets.where("tokens is null").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")}).select(*kept))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs, all columns, with one row of each component: that of the smallest doc_id, null last; of repeated rows, one."""
+    found = materialize(similar_components(docs, text, doc_id).where("component is not null").select("component", "doc_id", "text_key", "key"), "components")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")).select("component", F.col("first.key").alias("first"))
+    ident = {"_id": F.coalesce("doc_id", F.lit(_NO_ID)), "_text": F.col("text_key")}
+    state = found.join(first, "component").withColumns(ident).groupBy("_id", "_text").agg(F.max((F.col("key") == F.col("first")).cast("int")).alias("kept"), F.count("*").alias("rows"))
+    state = materialize(state.where("kept = 0 or rows > 1"), "components")
+    out = without(docs, state, text, doc_id)
+    twice = materialize(state.where("kept = 1 and rows > 1"), "components")
+    if twice.isEmpty():
+        return out
+    again = docs.withColumns(row_key(text, doc_id)).join(twice, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
+    return out.unionByName(again.select(*[f"`{c}`" for c in docs.columns]))

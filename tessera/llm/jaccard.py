@@ -1,10 +1,10 @@
 """Self-join of documents by the Jaccard similarity of their word shingles, with adaptive multi-match prefixes.
 
-A document's tokens are the 64-bit hashes of its distinct five-word shingles, in one global order: rarest first. If two
-documents of sizes r and s link, they share at least t = ceil(threshold * r) tokens, so for every l up to t they share at
-least l of the first r - t + l tokens of the one and s - t' + l of the other. Each document picks its own l: a longer prefix
-costs longer posting lists, but wants l shared tokens before a pair is verified. It takes the l for which the estimated
-sum of posting visits and verifications is least. Two documents meet with the smaller of their two l's.
+A document's tokens are the 64-bit hashes of its distinct five-word shingles, in one global order: rarest first. A set of
+n tokens shares at least t = ceil(threshold * n) with any that it links to, so it meets all of them with l tokens or more if
+it shows its first n - t + l. Each document picks its own l: a longer prefix costs longer posting lists, but asks for more
+shared tokens before a pair is verified. It takes the l for which the estimated sum of posting visits and verifications is
+least. How many shared prefix tokens a pair needs follows from both sizes and both prefixes (see _meet).
 
 Plan:
 1. Tokens go, packed, to buckets of hashes. There each token's document frequency is counted; only tokens of two or more
@@ -172,7 +172,7 @@ def _gather(table: pa.Table) -> pa.Table:
 
 
 def choose_matches(n: int, frequencies: np.ndarray) -> int:
-    """The number of shared prefix tokens to ask for: the prefix extension of least estimated cost."""
+    """The l of least estimated cost."""
     t, base = needed(n), n - len(frequencies)
     best, least = 1, None
     cumulative = np.concatenate([[0.0], np.cumsum(np.exp2((frequencies + 1) / 8.0) - 1)])
@@ -184,22 +184,21 @@ def choose_matches(n: int, frequencies: np.ndarray) -> int:
     return best
 
 
-_POSTINGS = "token long, id long, n int, level int, want int, rank double"
+_POSTINGS = "token long, id long, n int, have int, prefix int"
 
 
 def _postings(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(5)]  # a column each
             for i in range(b.num_rows):
                 node, n = b.column("id")[i].as_py(), b.column("n")[i].as_py()
                 tokens, df = np.frombuffer(b.column("tokens")[i].as_py(), "<i8"), np.frombuffer(b.column("frequencies")[i].as_py(), np.uint8)
-                want, alone = choose_matches(n, df), n - len(df)
-                take = max(0, n - needed(n) + want - alone)
-                level = np.maximum(1, alone + 1 + np.arange(min(take, len(tokens))) - (n - needed(n)))
-                for p, v in zip(parts, (tokens[:take], node, n, level, want, alone / n), strict=True):
-                    p.append(np.broadcast_to(v, len(level)))
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+                prefix = n - needed(n) + choose_matches(n, df)
+                take = max(0, prefix - (n - len(df)))  # the tokens of no other document come first and meet nothing
+                for p, v in zip(parts, (tokens[:take], node, n, len(df), prefix), strict=True):
+                    p.append(np.broadcast_to(v, min(take, len(tokens))))
+            types = (pa.int64(), pa.int64(), *[pa.int32()] * 3)
             names = [c.split()[0] for c in _POSTINGS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else [], t) for p, t in zip(parts, types, strict=True)], names)
 
@@ -224,17 +223,31 @@ def _verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _meet(pairs: DataFrame) -> DataFrame:
-    """Of rows (a, b, level, want: those of both ends, per shared token), the pairs with enough shared prefix tokens."""
-    return pairs.where("level <= want").groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("want").alias("want")).where("shared >= want")
+def _meet(met: DataFrame) -> DataFrame:
+    """Of rows (a, b, n, m, prefix, prefix_m), one per shared prefix token, the pairs that share enough.
 
+    A linking pair has at least o = ceil(threshold / (1 + threshold) * (n + m)) tokens in common. Of the two prefixes, take
+    the one that ends first in the global order; what its set has after it can't hold more than n - prefix of the o.
+    """
+    least = F.ceil(F.expr(f"{NUMERATOR} * (n + m) / {NUMERATOR + DENOMINATOR}")) - F.greatest(F.col("n") - F.col("prefix"), F.col("m") - F.col("prefix_m"))
+    return met.groupBy("a", "b", least.alias("least")).agg(F.count("*").alias("shared")).where("shared >= least")
 
-def _hub_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): each class with the hub, of another component, with which it shares most prefix tokens. A list's hub is its class of the smallest share of unrepeated tokens."""
+
+def _may_link(n: str, m: str, have: str, have_m: str) -> str:
+    """Whether sets of n and m tokens, of which so many are repeated at all, can share enough: only repeated tokens are shared."""
+    return f"{NUMERATOR} * ({n} + {m}) <= {NUMERATOR + DENOMINATOR} * least({have}, {have_m})"
+
+
+def _hub_pairs(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each class with the hub, of another component, with which it shares most prefix tokens.
+
+    A list's hub is, in the first turn, its class of the largest share of repeated tokens; later, one drawn by hash.
+    """
     p = postings.join(labels, "id")
-    hub = p.groupBy("token").agg(F.min(F.struct("rank", "id", "label", "n", "level", "want")).alias("hub"))
-    met = p.join(hub, "token").where("label <> hub.label").where(f"{DENOMINATOR} * least(n, hub.n) >= {NUMERATOR} * greatest(n, hub.n)")
-    met = met.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.greatest("level", "hub.level").alias("level"), F.least("want", "hub.want").alias("want"))
+    rank = F.col("have") / F.col("n") if not turn else F.xxhash64("id", F.lit(turn), *(["token"] if turn % 2 else []))
+    hub = p.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "id", "label", "n", "have", "prefix")).alias("hub"))
+    met = p.join(hub, "token").where("label <> hub.label").where(_may_link("n", "hub.n", "have", "hub.have"))
+    met = met.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "n", F.col("hub.n").alias("m"), "prefix", F.col("hub.prefix").alias("prefix_m"))
     return _meet(met).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
 
 
@@ -243,9 +256,9 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     p = postings.join(labels, "id")
     mixed = p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     p = p.join(mixed, "token")
-    other = p.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "level", "want", "label")])
-    met = p.join(other, "token").where("label < label_").where(f"{DENOMINATOR} * least(n, n_) >= {NUMERATOR} * greatest(n, n_)")
-    return _meet(met.select(F.col("id").alias("a"), F.col("id_").alias("b"), F.greatest("level", "level_").alias("level"), F.least("want", "want_").alias("want")))
+    other = p.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "have", "prefix", "label")])
+    met = p.join(other, "token").where("label < label_").where(_may_link("n", "n_", "have", "have_"))
+    return _meet(met.select(F.col("id").alias("a"), F.col("id_").alias("b"), "n", F.col("n_").alias("m"), "prefix", F.col("prefix_").alias("prefix_m")))
 
 
 def bucket_bits(docs: DataFrame) -> int:
@@ -253,7 +266,7 @@ def bucket_bits(docs: DataFrame) -> int:
     return min(16, max(4, int(np.ceil(np.log2(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))))
 
 
-def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hub_rounds: int = 2) -> DataFrame:
+def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hub_rounds: int = 6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, component, key (a number of the row), text_key (a hash of the text)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text, doc_id)["_text"].alias("text_key"))
     dealt = _deal(docs, bucket_bits(docs))
@@ -268,8 +281,9 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     postings = materialize(postings.join(repeated, "token"), "prefix-postings")
     labels = classes.select("id", F.col("id").alias("label"))
     found = None
-    for last in [False] * hub_rounds + [True]:
-        pairs = materialize((_cross_pairs if last else _hub_pairs)(postings, labels).select("a", "b"), "candidate-pairs")
+    for turn in range(hub_rounds + 1):
+        pairs = _cross_pairs(postings, labels) if turn == hub_rounds else _hub_pairs(postings, labels, turn)
+        pairs = materialize(pairs.select("a", "b"), "candidate-pairs")
         linked = materialize(_verify(pairs, classes), "verified-links")
         if linked.isEmpty():
             continue

@@ -1 +1 @@
-"""functions of the engine."""
+"""Scalar building blocks: column expressions on texts and vectors."""

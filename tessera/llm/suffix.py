@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import U64, Rolling, blocks
+from .blocks import U64, Rolling, blocks, gather_ranges
 from .shared import _NO_ID, materialize
 
 LENGTH = 400
@@ -182,7 +183,7 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 _ANCHORS = "gram long, lead long, key1 long, key2 long, place int, low int, high int, doc_id long"
-_CONTEXT = "bucket int, gram long, key1 long, key2 long, place int, low int, high int, before binary, after binary"
+_CONTEXT = "bucket int, gram long, low int, high int, before binary, after binary, key1 array<long>, key2 array<long>, place array<int>"
 _SPANS = "key1 long, key2 long, start int, stop int"
 
 
@@ -212,25 +213,44 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, off in blocks(batches, "text"):
-            out: dict[str, list] = {c.split()[0]: [] for c in _CONTEXT.split(", ")}
+            found: dict[tuple, tuple[list, list, list]] = {}  # suffixes that look alike are one, with all their places
             for i, places in enumerate(rows.column("places").to_pylist()):
                 whole = buf[off[i] : off[i + 1]].tobytes()
                 key1, key2 = rows.column("key1")[i].as_py(), rows.column("key2")[i].as_py()
                 for p in places:
-                    at = p["place"]
-                    line = (int(np.searchsorted(splitters, p["lead"], "right")), p["gram"], key1, key2, at, p["low"], p["high"], whole[at - p["high"] : at], whole[at : at + length - p["low"]])
-                    for c, v in zip(out.values(), line, strict=True):
-                        c.append(v)
-            types = [pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 3, *[pa.binary()] * 2]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
+                    at, low, high = p["place"], p["low"], p["high"]
+                    same = found.setdefault((p["lead"], p["gram"], low, high, whole[at - high : at], whole[at : at + length - low]), ([], [], []))
+                    for to, v in zip(same, (key1, key2, at), strict=True):
+                        to.append(v)
+            lead, gram, low, high, before, after = zip(*found, strict=True) if found else [()] * 6
+            members = [pa.array([m[k] for m in found.values()], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            bucket = np.searchsorted(splitters, np.array(lead, np.int64), "right")
+            fixed = [pa.array(bucket, pa.int32()), pa.array(gram, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*fixed, *members], [c.split()[0] for c in _CONTEXT.split(", ")])
 
     def sort(table: pa.Table) -> pa.Table:
-        low, high = (np.array(table.column(c), np.int64) for c in ("low", "high"))
-        hits = matched(np.array(table.column("gram"), np.int64), table.column("after").to_pylist(), table.column("before").to_pylist(), low, high, length)
-        line = pa.array([h[0] for h in hits], pa.int64())
-        place = np.array(table.column("place"), np.int64)[[h[0] for h in hits]] if hits else np.zeros(0, np.int64)
-        first, last = np.array([h[1] for h in hits], np.int64), np.array([h[2] for h in hits], np.int64)
-        return pa.table({"key1": table.column("key1").take(line), "key2": table.column("key2").take(line), "start": pa.array(place - last, pa.int32()), "stop": pa.array(place - first + length, pa.int32())})
+        table = table.combine_chunks()
+        plain = lambda c: np.array(table.column(c), np.int64)
+        names, low, high = plain("gram"), plain("low"), plain("high")
+        before, after = table.column("before").to_pylist(), table.column("after").to_pylist()
+        first: dict[tuple, int] = {}
+        same = np.array([first.setdefault(k, i) for i, k in enumerate(zip(names.tolist(), low.tolist(), high.tolist(), before, after, strict=True))], np.int64)
+        members = np.array(pc.list_value_length(table.column("place")), np.int64)
+        copies = np.bincount(same, weights=members, minlength=len(same))
+        hits = [(i, int(low[i]), int(high[i])) for i in np.flatnonzero(copies > 1).tolist()]
+        one = np.array(list(first.values()), np.int64)
+        hits += [(int(one[i]), a, b) for i, a, b in matched(names[one], [after[i] for i in one], [before[i] for i in one], low[one], high[one], length)]
+        alike = np.argsort(same, kind="stable")  # the lines of each first one
+        begin = np.searchsorted(same[alike], np.arange(len(same) + 1))
+        hit = np.array(hits, np.int64).reshape(-1, 3)
+        count = (begin[1:] - begin[:-1])[hit[:, 0]]
+        line, of_hit = alike[gather_ranges(begin[hit[:, 0]], count)], np.repeat(np.arange(len(hit)), count)
+        ends = np.cumsum(members)
+        at = pa.array(gather_ranges(ends[line] - members[line], members[line]))
+        of_hit = np.repeat(of_hit, members[line])
+        flat = lambda c: pc.list_flatten(table.column(c)).combine_chunks().take(at)
+        place = np.array(flat("place"), np.int64)
+        return pa.table({"key1": flat("key1"), "key2": flat("key2"), "start": pa.array(place - hit[of_hit, 2], pa.int32()), "stop": pa.array(place - hit[of_hit, 1] + length, pa.int32())})
 
     of_text = suffixes.groupBy("key1", "key2", "doc_id").agg(F.collect_list(F.struct("gram", "lead", "place", "low", "high")).alias("places"))
     contexts = keyed.where(F.octet_length("text") >= length).join(of_text, ["key1", "key2", "doc_id"]).select("text", "key1", "key2", "places").mapInArrow(cut, _CONTEXT)

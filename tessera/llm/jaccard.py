@@ -10,9 +10,9 @@ Plan:
 1. Tokens go, packed, to buckets of hashes. There each token's document frequency is counted; only tokens of two or more
    documents go back to their block of documents. A document with under t of these links to none and is done.
 2. Documents of equal token sets become one class. Only classes go on.
-3. Prefix postings. Two rounds link each class to the best hub of its posting lists and take components of the verified
-   links; then a self-join of the postings makes the remaining candidates of different components only, those with too
-   few shared prefix tokens drop out, and all others are verified exactly. A group of copies is thus one star of links and
+3. Prefix postings. Some rounds link each class to the best hub of its posting lists and take components of the verified
+   links; then the classes of each component look up, in their posting lists, those of larger components, pairs with too few
+   shared prefix tokens drop out, and all others are verified exactly. A group of copies is thus a few stars of links and
    not all its pairs.
 
 Nothing is collected or broadcast; frequencies, lists, classes and components are tables in the shared folder.
@@ -28,18 +28,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.components import connected_components as components_of
+
 from .blocks import FOLDED, NOT_SPACE, U64, Rolling, blocks, mix, spans
-from .components import connected_components
 from .shared import _NO_ID, materialize, row_key, without
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: The longest prefix extension that is tried, and the cost of verifying a pair's token against that of visiting a posting.
 MOST_MATCHES, VERIFY_COST = 8, 0.25
+#: Entries of a posting list that are looked through at once.
+LIST = 4096
 _META = "doc_ids array<long>, text_keys array<long>, sizes array<long>, first_keys array<long>, second_keys array<long>"
 _PACKED = "batch long, bucket int, low binary, high binary, rows binary"
 
@@ -83,6 +87,10 @@ def pack_frequency(df: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(df))).astype(np.uint8)
 
 
+def connected_components(edges: DataFrame) -> DataFrame:
+    return components_of(edges, lambda e: materialize(e, "edges"))
+
+
 def _deal(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 32
@@ -244,21 +252,44 @@ def _hub_pairs(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     A list's hub is, in the first turn, its class of the largest share of repeated tokens; later, one drawn by hash.
     """
     p = postings.join(labels, "id")
-    rank = F.col("have") / F.col("n") if not turn else F.xxhash64("id", F.lit(turn), *(["token"] if turn % 2 else []))
+    rank = F.col("have") / F.col("n") if not turn else F.xxhash64("id", F.lit(turn))
     hub = p.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "id", "label", "n", "have", "prefix")).alias("hub"))
     met = p.join(hub, "token").where("label <> hub.label").where(_may_link("n", "hub.n", "have", "hub.have"))
     met = met.select(F.col("id").alias("a"), F.col("hub.id").alias("b"), "n", F.col("hub.n").alias("m"), "prefix", F.col("hub.prefix").alias("prefix_m"))
     return _meet(met).groupBy("a").agg(F.max(F.struct("shared", "b")).alias("best")).select("a", "best.b")
 
 
+def _count_shared(table: pa.Table) -> pa.Table:
+    """Of one class and its posting lists: the classes of larger components with which it shares enough prefix tokens."""
+    lists = table.column("list").combine_chunks()
+    entry = pc.list_flatten(lists)
+    y, n, have, prefix, size, label = (np.array(pc.struct_field(entry, c), np.int64) for c in ("id", "n", "have", "prefix", "size", "label"))
+    mine = {c: table.column(c)[0].as_py() for c in ("id", "n", "have", "prefix", "size", "label")}
+    y, first, shared = np.unique(y, return_index=True, return_counts=True)
+    n, have, prefix, size, label = (v[first] for v in (n, have, prefix, size, label))
+    larger = (size > mine["size"]) | ((size == mine["size"]) & (label > mine["label"]))
+    least = -(-NUMERATOR * (n + mine["n"]) // (NUMERATOR + DENOMINATOR))
+    good = larger & (least <= np.minimum(have, mine["have"])) & (shared >= least - np.maximum(n - prefix, mine["n"] - mine["prefix"]))
+    return pa.table({"a": pa.array(np.full(int(good.sum()), mine["id"])), "b": pa.array(y[good])})
+
+
 def _cross_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): all candidates of different components."""
-    p = postings.join(labels, "id")
-    mixed = p.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    p = p.join(mixed, "token")
-    other = p.select("token", *[F.col(c).alias(f"{c}_") for c in ("id", "n", "have", "prefix", "label")])
-    met = p.join(other, "token").where("label < label_").where(_may_link("n", "n_", "have", "have_"))
-    return _meet(met.select(F.col("id").alias("a"), F.col("id_").alias("b"), "n", F.col("n_").alias("m"), "prefix", F.col("prefix_").alias("prefix_m")))
+    """(a, b): all candidates of different components.
+
+    Each class looks up the posting lists of its prefix tokens and counts there; of two components, the smaller one's classes
+    look for the larger one's, so a list's largest component only waits. Lists go as arrays, cut by a hash of the class into
+    parts of about LIST entries, so that what a task counts at once is bounded; no row is made for a pair and a token.
+    """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    p = postings.join(labels.join(sizes, "label"), "id")
+    component = F.struct("size", "label")
+    top = p.groupBy("token").agg(F.max(component).alias("top"), F.min(component).alias("low"), F.count("*").alias("entries")).where("low < top")
+    p = materialize(p.join(top.select("token", "top", "entries"), "token").select("token", "id", "n", "have", "prefix", "size", "label", (component == F.col("top")).alias("waits"), "entries"), "mixed-lists")
+    longest = p.agg(F.max("entries")).first()[0] or 0
+    part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-longest // LIST))))
+    lists = p.groupBy("token", part.alias("part")).agg(F.collect_list(F.struct("id", "n", "have", "prefix", "size", "label")).alias("list"))
+    asked = p.where("not waits").select("token", "id", "n", "have", "prefix", "size", "label").join(lists, "token")
+    return asked.groupBy("id", "part").applyInArrow(_count_shared, "a long, b long")
 
 
 def bucket_bits(docs: DataFrame) -> int:
@@ -266,7 +297,7 @@ def bucket_bits(docs: DataFrame) -> int:
     return min(16, max(4, int(np.ceil(np.log2(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))))
 
 
-def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hub_rounds: int = 6) -> DataFrame:
+def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hub_rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, component, key (a number of the row), text_key (a hash of the text)."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text, doc_id)["_text"].alias("text_key"))
     dealt = _deal(docs, bucket_bits(docs))

@@ -109,13 +109,13 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
     sign = np.where(y == 1, 1.0, -1.0)
     share = (y == 1).mean()
     most = np.where(y == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) * cost if balance else np.full(len(y), cost)
-    values = [scale[r] * weight(len(r)) if len(r) else scale[:0] for r in rows]
-    square = np.array([v @ v for v in values]) + 1.0  # the bias is a feature of value 1
+    square = np.array([float(np.square(scale[r]).sum()) * weight(len(r)) ** 2 for r in rows]) + 1.0  # the bias is a feature of value 1
     w, bias, dual, rng = np.zeros(len(scale)), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)).tolist():
-            r, v, s = rows[i], values[i], sign[i]
+            r, s = rows[i], sign[i]
+            v = scale[r] * weight(len(r))
             new = min(max(dual[i] - (s * (w[r] @ v + bias) - 1) / square[i], 0.0), most[i])
             step = new - dual[i]
             if step:
@@ -175,24 +175,29 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: int, text: str = "text", doc_id: str = "doc_id") -> list[tuple[bytes, int]]:
-    """(text bytes, label) of at most about max_train labelled documents that are not held out.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: int, text: str = "text", doc_id: str = "doc_id") -> tuple[list[np.ndarray], np.ndarray]:
+    """(features, labels) of at most about max_train labelled documents that are not held out.
 
-    The doc_ids of the sample, of bounded number, are sent to the scan of the documents; of several documents of one
-    doc_id, all are taken, up to twice max_train rows.
+    The doc_ids of the sample, of bounded number, are sent to the scan of the documents; what comes back are features. Of
+    several documents of one doc_id, all are taken, up to twice max_train rows.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").where(~held_out())
     chosen = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    taken = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    out = taken.select("doc_id", F.col("text").cast("binary").alias("text"), "y").limit(2 * max_train)
-    return [(bytes(r.text), r.y) for r in sorted(out.toLocalIterator(), key=lambda r: (r.doc_id, r.text))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for rows, buf, off in blocks(batches, "text"):
+            x = [seen(buf[a:b]).astype("<u4").tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(x, pa.binary()), rows.column("y")], ["doc_id", "x", "y"])
+
+    taken = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
+    out = taken.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x binary, y int").limit(2 * max_train)
+    held = sorted((r.doc_id, bytes(r.x), r.y) for r in out.toLocalIterator())
+    return [np.frombuffer(x, "<u4").astype(np.int32) for _, x, _ in held], np.array([y for *_, y in held], np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, text: str = "text", doc_id: str = "doc_id") -> LinearModel:
-    sample = training_sample(docs, labels, label, max_train, text, doc_id)
-    seen = Seen()
-    rows = [seen(np.frombuffer(t, np.uint8)).astype(np.int64) for t, _ in sample]
-    return fit(rows, np.array([y for _, y in sample], np.int64))
+    return fit(*training_sample(docs, labels, label, max_train, text, doc_id))
 
 
 def score(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        _RUN[app] = f"{root.rstrip('/')}/tessera-{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tessera-{app}")
+        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        _RUN[app] = re.sub(r"^file:/+", "file:///", whole)
     return _RUN[app]
 
 

@@ -15,15 +15,15 @@ GENERIC_EDGE_KEYWORDS = (
 # Keywords of which an overlap alone is of low information.
 LOW_INFORMATION_EDGE_KEYWORDS = "analysis answer article case data document evidence example information method question report research result study system text".split()
 
-# Keywords that no insight is named after.
+# Keywords that no insight is named after (besides the names of retrieval methods).
 INSIGHT_STOP_KEYWORDS = (
-    "问题 答案 检索方法 答案状态 支持证据 证据 sam sam_full sam_no_graph sam_no_memory_state sam_no_feedback sam_static_graph embedding_topk found "
+    "问题 答案 检索方法 答案状态 支持证据 证据 embedding_topk found "
     "found_in_retrieved_context retrieved context support evidence question answer method mode"
 ).split()
 
-# Keywords that reconstruction ignores.
+# Keywords that reconstruction ignores (besides the names of retrieval methods).
 RECONSTRUCTION_STOP_KEYWORDS = (
-    "问题 答案 检索方法 答案状态 支持证据 证据 evidence support claim sam sam_full sam_no_graph embedding_topk found context question answer method "
+    "问题 答案 检索方法 答案状态 支持证据 证据 evidence support claim embedding_topk found context question answer method "
     "able about after also another became been being between called came could during first from have into made many more most "
     "other over same some than that their then there these this through under used were when where which while with would"
 ).split()

@@ -1 +1 @@
-"""sources of the engine."""
+"""Sources: adapters of evaluation data sets to documents and queries."""

@@ -1 +1 @@
-"""streaming of the engine."""
+"""Structured Streaming: event counts and running state over append-only logs."""

@@ -56,16 +56,21 @@ def surface_entities(text: Column, limit: int = 8) -> Column:
     return F.slice(F.filter(found, lambda e: ~F.lower(e).isin(words.QUESTION_WORDS)), 1, limit)
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def clean_lines(text: Column) -> Column:
     """Lines trimmed, blank ones dropped."""
-    return F.array_join(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: strip(x)), lambda x: x != ""), "\n")
 
 
 def chunks(text: Column, size: int, overlap: int) -> Column:
     """Windows of `size` characters that overlap, of the cleaned text: an array of (chunk number, text)."""
     step, clean = max(1, size - overlap), clean_lines(text)
     starts = F.when(F.length(clean) > 0, F.sequence(F.lit(0), F.length(clean) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    parts = F.transform(starts, lambda s: F.trim(F.substring(clean, s + 1, F.lit(size))))
+    parts = F.transform(starts, lambda s: strip(F.substring(clean, s + 1, F.lit(size))))
     return F.filter(parts, lambda c: c != "")
 
 

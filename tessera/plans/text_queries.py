@@ -39,8 +39,8 @@ def surface_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH c AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(trim(regexp_replace(regexp_replace(coalesce(html, ''),
-    '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]+>', ' ', 'g'), ' '), '\r\n|\r|\n'), lambda x: trim(x, ' ')), lambda x: x <> ''), chr(10)) AS t FROM pages),
-s AS (SELECT page_id, list_filter(list_transform(range(0, CAST(len(t) AS BIGINT), 280), lambda i: trim(substr(t, i + 1, 300), ' ')), lambda x: x <> '') AS parts FROM c)
+    '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]+>', ' ', 'g'), ' '), '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS t FROM pages),
+s AS (SELECT page_id, list_filter(list_transform(range(0, CAST(len(t) AS BIGINT), 280), lambda i: regexp_replace(substr(t, i + 1, 300), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM c)
 SELECT page_id, unnest(range(1, len(parts) + 1)) AS chunk, unnest(parts) AS text FROM s""")
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = text.chunks(text.strip_tags(F.col("html")), 300, 20)

@@ -144,7 +144,7 @@ EXPANSION = _expansion_sql("steps")
 def expansion(spark: SparkSession, sf_dir: str, directed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sim, signals, best) of two hops from each query's two most similar memories; the best four are the base."""
     nodes = base.vec(spark, sf_dir)
-    s = base.sim(nodes)
+    s = base.sim(nodes).persist()  # scored once for hits, edges and final scores
     e = base.top_edges(s, "cos").select("src", "dst", F.col("cos").alias("weight"))
     hits = graph.top_k(s, "src", "cos", "dst", K).select(F.col("src").alias("q"), F.col("dst").alias("node"), "rank")
     steps = e.select(F.col("src").alias("node"), F.col("dst").alias("next"), "src", "dst", "weight") if directed else graph.neighbours(e)
@@ -172,20 +172,20 @@ PROFILE_ROWS = "profiles AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {', '
 RERANK = (VEC, SIM, EDGES, BASE_HITS, NEIGHBOURS, EXPANSION, FEATURES, PROFILE_ROWS, RANKED)
 
 
-def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best paths with their score in every profile."""
+def reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sim, best paths with their score in every profile)."""
     s, signals, best = expansion(spark, sf_dir)
     used = base.vec(spark, sf_dir).select("id", "usage")
     with_acts = signals.withColumn("relation", F.lit("embedding_similarity")).withColumn("prior", F.expr("path[size(path) - 2]"))
     with_acts = with_acts.join(used.select(F.col("id").alias("prior"), F.col("usage").alias("u1")), "prior").join(used.select(F.col("id").alias("node"), F.col("usage").alias("u2")), "node").withColumn("activations", F.least("u1", "u2"))
     rows = best.join(s.select(F.col("src").alias("q"), F.col("dst").alias("node"), "cos", "usage", "conf"), ["q", "node"]).join(graph.path_features(with_acts), ["q", "node"], "left")
     scored = F.array(*[F.struct(F.lit(p).alias("profile"), F.round(graph.rerank(rows, p), 9).alias("score")) for p in graph.PROFILES])
-    return rows.withColumn("_s", F.explode(scored)).select("q", "node", "path", "g", F.coalesce("n_paths", F.lit(0)).alias("n_paths"), F.coalesce("path_support", F.lit(0.0)).alias("path_support"), "_s.profile", "_s.score")
+    return s, rows.withColumn("_s", F.explode(scored)).select("q", "node", "path", "g", F.coalesce("n_paths", F.lit(0)).alias("n_paths"), F.coalesce("path_support", F.lit(0.0)).alias("path_support"), "_s.profile", "_s.score")
 
 
 @query(with_(*RERANK) + "SELECT profile, q AS query_id, node AS node_id, n_paths, round(score, 6) AS score FROM ranked")
 def path_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reranked(spark, sf_dir).select("profile", F.col("q").alias("query_id"), F.col("node").alias("node_id"), F.col("n_paths").cast("long").alias("n_paths"), F.round("score", 6).alias("score"))
+    return reranked(spark, sf_dir)[1].select("profile", F.col("q").alias("query_id"), F.col("node").alias("node_id"), F.col("n_paths").cast("long").alias("n_paths"), F.round("score", 6).alias("score"))
 
 
 ANCHORED = """sup AS (SELECT profile, q, avg(path_support) FILTER (WHERE len(path) > 1) AS s FROM ranked GROUP BY 1, 2),
@@ -197,8 +197,7 @@ def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final four: one vector hit keeps its place (two if the expanded paths have little support), then the best scores."""
     from pyspark.sql import Window
 
-    r = reranked(spark, sf_dir)
-    s = base.sim(base.vec(spark, sf_dir))
+    s, r = reranked(spark, sf_dir)
     hits = graph.top_k(s, "src", "cos", "dst", K).select(F.col("src").alias("q"), F.col("dst").alias("node"), F.col("rank").alias("anchor_rank"))
     support = r.groupBy("profile", "q").agg(F.avg(F.when(F.size("path") > 1, F.col("path_support"))).alias("s"))
     keep = F.when(F.coalesce("s", F.lit(0.0)) < 0.75, 2).otherwise(1)

@@ -34,7 +34,7 @@ _POS = 20
 #: Lanes of one lockstep run times leaves; keeps a run's trees in the processor's cache.
 LANE_LEAVES = 1 << 17
 #: Bytes of text in a block: more of them share their parts.
-TEXT_BLOCK = 4 << 20
+TEXT_BLOCK = 2 << 20
 #: Parts made of these bytes alone hold no white space, control or special token and so need no care of their own.
 _CLEAN = byte_class((0x21, 0x7E), (0x80, 0xBF), (0xC3, 0xC9))
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ALNUM, FOLDED, Rolling, blocks, gather_ranges, spans, text_bytes
-from .shared import _NO_ID, materialize, row_key, without
+from .shared import _NO_ID, map_materialize, row_key, without
 
 WINDOW = 13
 INDEX = "shard long, doc_ids array<long>, text_hashes array<long>, first array<long>, n_words array<long>, terms binary, counts binary, positions binary"
@@ -89,7 +89,8 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, min_run: int = 1, gap:
             )
             shard += 1
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text, doc_id)["_text"].alias("text_hash")).mapInArrow(build, INDEX)
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text, doc_id)["_text"].alias("text_hash"))
+    return map_materialize(keyed, build, INDEX, "positional-index")
 
 
 def _postings(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,12 +229,12 @@ def query_blocks(benchmark: DataFrame, query_bytes: int, text: str = "text", ite
         yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, query_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, query_bytes: int = 2 << 20) -> DataFrame:
     """One row per document: doc_id, text_hash, n_words, n_hit, n_items, items (sorted ids), hits (word ordinals inside benchmark windows)."""
     found = []
     for items in query_blocks(benchmark, query_bytes):
         phrases = PhraseSet(items, window)
-        index = materialize(build_index(docs, phrases.vocabulary, max(1, phrases.shortest)), "positional-index")
+        index = build_index(docs, phrases.vocabulary, max(1, phrases.shortest))
         found.append(_query(index, phrases, term_frequencies(index, len(phrases.vocabulary))))
     if not found:
         found.append(_query(build_index(docs, np.zeros(0, np.uint64)), PhraseSet([]), np.zeros(0, np.int64)))

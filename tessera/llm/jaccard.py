@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 from tessera.operators.components import connected_components as components_of
 
 from .blocks import FOLDED, NOT_SPACE, U64, Rolling, blocks, mix, spans
-from .shared import _NO_ID, materialize, row_key, without
+from .shared import _NO_ID, map_materialize, materialize, row_key, without
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: The longest prefix extension that is tried, and the cost of verifying a pair's token against that of visiting a posting.
 MOST_MATCHES, VERIFY_COST = 8, 0.25
+#: Bytes of text whose tokens are dealt together: larger blocks make fewer rows.
+DEAL_BYTES = 3 << 20
 #: Entries of a posting list that are looked through at once.
 LIST = 4096
 _META = "doc_ids array<long>, text_keys array<long>, sizes array<long>, first_keys array<long>, second_keys array<long>"
@@ -94,7 +96,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _deal(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = TaskContext.get().partitionId() << 32
-        for rows, buf, off in blocks(batches, "text"):
+        for rows, buf, off in blocks(batches, "text", DEAL_BYTES):
             h, r = shingles(buf, off)
             by = np.argsort(r, kind="stable")
             sizes = np.bincount(r, minlength=rows.num_rows)
@@ -210,7 +212,7 @@ def _postings(classes: DataFrame) -> DataFrame:
             names = [c.split()[0] for c in _POSTINGS.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else [], t) for p, t in zip(parts, types, strict=True)], names)
 
-    return classes.select("id", "n", "tokens", "frequencies").mapInArrow(run, _POSTINGS)
+    return map_materialize(classes.select("id", "n", "tokens", "frequencies"), run, _POSTINGS, "prefix-postings")
 
 
 def _verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -228,7 +230,8 @@ def _verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     left = classes.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x"))
     right = classes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
+    return map_materialize(both, run, "a long, b long", "verified-links")
 
 
 def _meet(met: DataFrame) -> DataFrame:
@@ -307,7 +310,7 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     identity = F.xxhash64("first_key", "second_key", "n")
     chosen = able.groupBy(identity.alias("id")).agg(F.min("doc_id").alias("least_doc"), F.min("key").alias("key"))
     classes = materialize(able.join(chosen.select("id", "key"), "key").select("id", "n", "tokens", "frequencies"), "shingle-classes")
-    postings = materialize(_postings(classes), "prefix-postings")
+    postings = _postings(classes)
     repeated = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     postings = materialize(postings.join(repeated, "token"), "prefix-postings")
     labels = classes.select("id", F.col("id").alias("label"))
@@ -315,7 +318,7 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     for turn in range(hub_rounds + 1):
         pairs = _cross_pairs(postings, labels) if turn == hub_rounds else _hub_pairs(postings, labels, turn)
         pairs = materialize(pairs.select("a", "b"), "candidate-pairs")
-        linked = materialize(_verify(pairs, classes), "verified-links")
+        linked = _verify(pairs, classes)
         if linked.isEmpty():
             continue
         # further rounds link whole components, by their labels

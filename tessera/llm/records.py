@@ -6,7 +6,7 @@ int64 doc_id, the ids. Beside it stands an offset index of 20 bytes a record (in
 bytes), so that a shuffled reader fetches any record without the others.
 
 Files hold ascending runs of doc_id in file order (a range partitioning and a sort within each part). A task's files have
-names of its attempt; the manifest, a table, names those of the attempts that count. Positions of a file's first id come
+names of its attempt; the manifest, a row a file, names those of the attempts that count. Positions of a file's first id come
 from a sum over the manifest, which has one row a file.
 
 Defined results: null texts are empty documents of the end id alone; null doc_ids come first; documents with equal doc_ids
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import bpe, files
 from .blocks import blocks, gather_ranges
 from .crc import crc32c
-from .shared import materialize, new_dir
+from .shared import collected, new_dir
 
 END_ID = 1
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4")])
@@ -78,7 +78,7 @@ def parse(raw: bytes, offset: np.ndarray, size: np.ndarray) -> Iterator[tuple[in
 
 
 def write(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Tokenise with the library, append end_id to each document and write the record files. Returns the manifest, stored."""
+    """Tokenise with the library, append end_id to each document and write the record files. Returns the manifest."""
     folder = folder or new_dir(docs.sparkSession, "token-records")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +106,7 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None =
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [names[0]], "index": [names[1]], "records": [records], "tokens": [tokens], "bytes": [written]})
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(run, MANIFEST), "token-manifest")
+    return collected(ordered.mapInArrow(run, MANIFEST))
 
 
 def read(manifest: DataFrame, chunk: int = 8 << 20) -> DataFrame:

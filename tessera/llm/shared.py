@@ -5,10 +5,22 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from . import files
+from .blocks import give_back
+
+#: Bytes of rows that make a row group of a table in the shared folder.
+GROUP_BYTES = 4 << 20
+#: Rows that go to a Python worker at once: whole texts, so a batch has some MB.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _RUN: dict[str, str] = {}
 
 
@@ -19,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     an error, as no folder of one machine is visible to all.
     """
     sc = spark.sparkContext
+    small_batches(spark)
     app = sc.applicationId
     if app not in _RUN:
         root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -38,10 +51,81 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later stages survive lost executors and never rerun what lies before."""
-    path = new_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet to the shared folder and read it back: later stages survive lost executors and never rerun what lies before.
+
+    Tasks write files of their attempt's own name, and only those that a finished attempt reports are read, so nothing has
+    to be renamed or committed. A store that pyarrow doesn't know is written by Spark's own writer.
+    """
+    spark, path, schema = df.sparkSession, new_dir(df.sparkSession, name), df.schema
+    try:
+        files.store(path)
+    except (pa.ArrowException, OSError, ValueError):
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+    return _read(spark, [r.path for r in df.mapInArrow(_writer(path), "path string").collect()], schema)
+
+
+def map_materialize(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str) -> DataFrame:
+    """materialize(df.mapInArrow(run, schema)), run and written by one worker."""
+    spark, path = df.sparkSession, new_dir(df.sparkSession, name)
+    try:
+        files.store(path)
+    except (pa.ArrowException, OSError, ValueError):
+        return materialize(df.mapInArrow(run, schema), name)
+    write = _writer(path)
+    kind = StructType.fromDDL(schema)
+    return _read(spark, [r.path for r in df.mapInArrow(lambda batches: write(run(batches)), "path string").collect()], kind)
+
+
+def _read(spark: SparkSession, written: list[str], schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
+
+
+def _writer(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes a task's rows to a file of its own in the folder and yields the file's name, if there were rows."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = out = writer = None
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal target, out, writer, size
+            if writer is None:
+                target = files.new_file(path, "part", ".parquet")
+                out = files.create(target)
+                writer = pq.ParquetWriter(out, held[0].schema, compression="zstd")
+            writer.write_table(pa.Table.from_batches(held))
+            held.clear()
+            size = 0
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+                if size >= GROUP_BYTES:
+                    flush()
+        if held:
+            flush()
+        if writer is not None:
+            writer.close()
+            out.close()
+            yield pa.RecordBatch.from_pydict({"path": [target]})
+        give_back()
+
+    return write
+
+
+def collected(df: DataFrame) -> DataFrame:
+    """df's rows, run now and kept in the driver: for manifests, of a row a file."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in batches of BATCH_ROWS instead of the default 10,000; a setting of the user's own stays."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 _NO_ID = -(1 << 63)

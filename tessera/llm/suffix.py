@@ -29,13 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import U64, Rolling, blocks, gather_ranges
+from .blocks import U64, Rolling, blocks, gather_ranges, give_back
 from .shared import _NO_ID, materialize
 
 LENGTH = 400
 GRAM = 40
 #: Leading bytes that are sampled to choose splitters, and bytes of suffixes that a bucket should get.
-SAMPLE, BUCKET_BYTES = 20_000, 12 << 20
+SAMPLE, BUCKET_BYTES = 20_000, 8 << 20
+#: Bytes of text that are scanned for anchors at once: several 64-bit values a byte are held.
+SCAN_BYTES = 1 << 20
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -189,7 +191,7 @@ _SPANS = "key1 long, key2 long, start int, stop int"
 
 def _find_anchors(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, off in blocks(batches, "text"):
+        for rows, buf, off in blocks(batches, "text", SCAN_BYTES):
             row, place, gram, lead, low, high = anchors(buf, off, length)
             of = lambda c: rows.column(c).take(pa.array(row))  # noqa: B023, E731
             small = lambda a: pa.array(a, pa.int32())
@@ -250,6 +252,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: s
         of_hit = np.repeat(of_hit, members[line])
         flat = lambda c: pc.list_flatten(table.column(c)).combine_chunks().take(at)
         place = np.array(flat("place"), np.int64)
+        give_back()
         return pa.table({"key1": flat("key1"), "key2": flat("key2"), "start": pa.array(place - hit[of_hit, 2], pa.int32()), "stop": pa.array(place - hit[of_hit, 1] + length, pa.int32())})
 
     of_text = suffixes.groupBy("key1", "key2", "doc_id").agg(F.collect_list(F.struct("gram", "lead", "place", "low", "high")).alias("places"))

@@ -7,7 +7,7 @@ index (tab-separated: offset, member bytes, type, page id, payload digest) by wh
 Payloads of equal digest are stored once: the record of the largest page_id is the response, the others are revisits whose
 HTTP header keeps the payload's length and whose WARC headers name the digest and the response's page.
 
-Tasks write files with names of their attempt; manifests (tables in the shared folder) name those that count, so a lost
+Tasks write files with names of their attempt; manifests (a row a file) name those that count, so a lost
 executor costs only its tasks' work. Pages are never shuffled by digest with their payloads: only (digest, page_id) is
 aggregated, with map-side combining, and what joins back is salted, so copies that hold a third of all pages are no one
 task's work.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .shared import materialize, new_dir
+from .shared import collected, new_dir
 
 #: What WARC-Date says of every record; a parameter, as runs must not differ by their clock.
 DATE = "2024-01-01T00:00:00Z"
@@ -113,7 +113,7 @@ def inflate(source, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def write_monolithic(pages: DataFrame, folder: str | None = None, level: int = 1) -> DataFrame:
-    """Write records (page_id, url, html, payload_digest, kind, refers_to) as one gzip stream a task. Returns the stored manifest: path, records."""
+    """Write records (page_id, url, html, payload_digest, kind, refers_to) as one gzip stream a task. Returns the manifest: path, records."""
     folder = folder or new_dir(pages.sparkSession, "warc-monolithic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,11 +131,11 @@ def write_monolithic(pages: DataFrame, folder: str | None = None, level: int = 1
             yield pa.RecordBatch.from_pydict({"path": [name], "records": [n]})
 
     wanted = pages.select("page_id", "url", "html", "payload_digest", "kind", "refers_to")
-    return materialize(wanted.mapInArrow(run, "path string, records long"), "warc-manifest")
+    return collected(wanted.mapInArrow(run, "path string, records long"))
 
 
 def normalise(archives: DataFrame, folder: str | None = None, level: int = 6) -> DataFrame:
-    """Rewrite each gzip archive (column path) with a member a record and a sidecar index. Returns the stored manifest: path, index, records."""
+    """Rewrite each gzip archive (column path) with a member a record and a sidecar index. Returns the manifest: path, index, records."""
     folder = folder or new_dir(archives.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def normalise(archives: DataFrame, folder: str | None = None, level: int = 6) ->
                 yield pa.RecordBatch.from_pydict({"path": [name], "index": [name + ".idx"], "records": [n]})
 
     spread = archives.select("path").repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism), "path")
-    return materialize(spread.mapInArrow(run, "path string, index string, records long"), "warc-index")
+    return collected(spread.mapInArrow(run, "path string, index string, records long"))
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tessera.operators.components import connected_components as components_of
 
 from .blocks import FOLDED, NOT_SPACE, U64, Rolling, blocks, mix, spans
-from .shared import _NO_ID, map_materialize, materialize, row_key, without
+from .shared import _NO_ID, in_groups, map_materialize, materialize, row_key, without
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -292,7 +292,7 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-longest // LIST))))
     lists = p.groupBy("token", part.alias("part")).agg(F.collect_list(F.struct("id", "n", "have", "prefix", "size", "label")).alias("list"))
     asked = p.where("not waits").select("token", "id", "n", "have", "prefix", "size", "label").join(lists, "token")
-    return asked.groupBy("id", "part").applyInArrow(_count_shared, "a long, b long")
+    return asked.groupBy("id", "part").applyInArrow(_count_shared, "a long, b long").distinct()
 
 
 def bucket_bits(docs: DataFrame) -> int:
@@ -305,7 +305,7 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(text, doc_id)["_text"].alias("text_key"))
     dealt = _deal(docs, bucket_bits(docs))
     counted = dealt.groupBy("bucket").applyInArrow(_count, f"{_PACKED}, frequencies binary, {_META}")
-    sets = materialize(counted.groupBy("batch").applyInArrow(_gather, _DOCS), "shingle-sets")
+    sets = map_materialize(*in_groups(counted, ["batch"], _gather), _DOCS, "shingle-sets")
     able = sets.where("tokens is not null")
     identity = F.xxhash64("first_key", "second_key", "n")
     chosen = able.groupBy(identity.alias("id")).agg(F.min("doc_id").alias("least_doc"), F.min("key").alias("key"))

@@ -78,6 +78,30 @@ def map_materialize(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Ite
     return _read(spark, [r.path for r in df.mapInArrow(lambda batches: write(run(batches)), "path string").collect()], kind)
 
 
+def in_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table]) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """(rows, run) for map_materialize: run gives each group of the keys to work, as one table. A group should be of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current: tuple | None = None
+        for b in batches:
+            names = list(zip(*[b.column(b.schema.get_field_index(k)).to_pylist() for k in keys], strict=True))
+            start = 0
+            for end in range(1, len(names) + 1):
+                if end < len(names) and names[end] == names[start]:
+                    continue
+                if held and names[start] != current:
+                    yield from work(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                current = names[start]
+                held.append(b.slice(start, end - start))
+                start = end
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys), run
+
+
 def _read(spark: SparkSession, written: list[str], schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
 

@@ -25,7 +25,7 @@ def explain_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.col("q").alias("query_id"), F.col("node").alias("node_id"), F.col("rank").cast("long").alias("rank"), F.round("cos", 4).alias("similarity"), F.round("g", 4).alias("graph_score"), F.round("path_support", 4).alias("path_support"), F.array_join("path", ">").alias("path"))
 
 
-@query(with_(*FINAL, SUPPORT, METRICS) + "SELECT arg_max(profile, {'r': round(r, 9), 'm': round(m, 9), 'p': profile}) AS best_profile, round(max(r) - max(CASE WHEN profile = 'balanced' THEN r END), 6) AS gain_over_balanced FROM (SELECT profile, sum(found) / sum(wanted) AS r, avg(coalesce(1.0 / first, 0)) AS m FROM x GROUP BY 1)")
+@query(with_(*FINAL, SUPPORT, METRICS) + "SELECT arg_max(profile, {'r': round(r, 6), 'm': round(m, 6), 'p': profile}) AS best_profile, round(max(round(r, 6)) - max(CASE WHEN profile = 'balanced' THEN round(r, 6) END), 6) AS gain_over_balanced FROM (SELECT profile, sum(found) / sum(wanted) AS r, avg(coalesce(1.0 / first, 0)) AS m FROM x GROUP BY 1)")
 def best_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reranker profile of the best recall, then the best reciprocal rank."""
     m = ranking_metrics(spark, sf_dir)

@@ -230,7 +230,7 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("profile", *[F.round(c, 6).alias(c) if c in rates else F.col(c) for c in out.columns if c != "profile"])
 
 
-@query(with_(VEC, SIM, EDGES, BASE_HITS, "dsteps AS (SELECT src AS node, dst AS nxt, src, dst, weight FROM edges)", _expansion_sql("dsteps")) + """SELECT b.q AS query_id, b.node AS node_id, round(0.7 * cos + 0.3 * g, 6) AS score,
+@query(with_(VEC, SIM, EDGES, BASE_HITS, "dsteps AS (SELECT src AS node, dst AS nxt, src, dst, weight FROM edges)", _expansion_sql("dsteps")) + """SELECT b.q AS query_id, b.node AS node_id, round(round(0.7 * cos + 0.3 * g, 9), 6) AS score,
   row_number() OVER (PARTITION BY b.q ORDER BY round(0.7 * cos + 0.3 * g, 9) DESC, b.node) AS rank FROM best b JOIN sim ON src = b.q AND dst = b.node QUALIFY rank <= 4""")
 def strategy_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, _, best = expansion(spark, sf_dir, directed=True)

@@ -1,9 +1,9 @@
 """BPE encoding and decoding with a segment tree over adjacent pair ranks.
 
-A word's symbols are the leaves' left ends; leaf i of the tree holds (rank << 20 | i) of the pair that starts at symbol i,
-so the root holds the leftmost of the lowest-ranked pairs. A merge changes three leaves; each is carried to the root in
-log2(leaves) steps; the word is done when the root holds no mergeable pair. Words of one size class are worked on side by
-side, a tree each in one numpy array.
+A word's symbols are the leaves' left ends; leaf i of the tree holds (rank << log2(leaves) | i) of the pair that starts at
+symbol i, so the root holds the leftmost of the lowest-ranked pairs. A merge changes three leaves; each is carried to the
+root in log2(leaves) steps; the word is done when the root holds no mergeable pair. Words of one size class are worked on
+side by side, a tree each in one numpy array; very long ones, of which few fit into a run, one after the other.
 
 Texts are cut at ASCII white space, which no piece of the supported tokenizers crosses; each distinct part of a block of
 texts is encoded once. Normalising and splitting are the tokenizer's own components, so their Unicode tables are too.
@@ -18,6 +18,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,9 +31,10 @@ from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 from .blocks import NOT_SPACE, Rolling, blocks, byte_class, gather_ranges, spans
 
 NONE = np.int64(1 << 62)
-_POS = 20
 #: Lanes of one lockstep run times leaves; keeps a run's trees in the processor's cache.
 LANE_LEAVES = 1 << 17
+#: Words of more leaves are worked on one by one: too few of them fit into a run to share its steps.
+LONG = 1 << 13
 #: Bytes of text in a block: more of them share their parts.
 TEXT_BLOCK = 2 << 20
 #: Parts made of these bytes alone hold no white space, control or special token and so need no care of their own.
@@ -122,6 +124,7 @@ class SegmentTreeBPE:
     def _lockstep(self, sym: np.ndarray, size: np.ndarray) -> None:
         """Merge the words in the rows of sym (ids; row r has size[r]) in place; what a merge swallows becomes -1."""
         lanes, leaves = sym.shape
+        bits = leaves.bit_length() - 1
         inner = sym.ravel()
         at = np.arange(lanes * leaves)
         nxt, prev = at + 1, at - 1
@@ -130,7 +133,7 @@ class SegmentTreeBPE:
         has = pos[None, :-1] + 1 < size[:, None]
         rank = np.full(has.shape, -1, np.int64)
         rank[has] = self.rank(sym[:, :-1][has], sym[:, 1:][has])
-        tree[:, leaves : 2 * leaves - 1] = np.where(rank >= 0, (rank << _POS) | pos[:-1], NONE)
+        tree[:, leaves : 2 * leaves - 1] = np.where(rank >= 0, (rank << bits) | pos[:-1], NONE)
         level = leaves // 2
         while level:
             tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
@@ -141,7 +144,7 @@ class SegmentTreeBPE:
             node = p + leaves
             flat[lane * 2 * leaves + node] = value
             base = lane * 2 * leaves
-            for _ in range(leaves.bit_length() - 1):
+            for _ in range(bits):
                 node = node >> 1
                 flat[base + node] = np.minimum(flat[base + 2 * node], flat[base + 2 * node + 1])
 
@@ -151,23 +154,73 @@ class SegmentTreeBPE:
             lane, root = lane[root < NONE], root[root < NONE]
             if not len(lane):
                 return
-            p = root & ((1 << _POS) - 1)
+            p = root & (leaves - 1)
             at, end = lane * leaves + p, lane * leaves + size[lane]
             gone = nxt[at]
-            inner[at], inner[gone] = self.merged[root >> _POS], -1
+            inner[at], inner[gone] = self.merged[root >> bits], -1
             after, before = nxt[gone], prev[at]
             nxt[at] = after
             more = after < end
             prev[after[more]] = at[more]
             fresh = np.full(len(lane), NONE)
             r = self.rank(inner[at[more]], inner[after[more]])
-            fresh[more] = np.where(r >= 0, (r << _POS) | p[more], NONE)
+            fresh[more] = np.where(r >= 0, (r << bits) | p[more], NONE)
             put(lane, gone - lane * leaves, NONE)
             put(lane, p, fresh)
             left = before >= lane * leaves
             r = self.rank(inner[before[left]], inner[at[left]])
             q = before[left] - lane[left] * leaves
-            put(lane[left], q, np.where(r >= 0, (r << _POS) | q, NONE))
+            put(lane[left], q, np.where(r >= 0, (r << bits) | q, NONE))
+
+    def _alone(self, sym: np.ndarray) -> None:
+        """_lockstep for one word: the same tree, climbed only as far as a node's value changes."""
+        n = len(sym)
+        bits = (n - 1).bit_length()
+        leaves = 1 << bits
+        none = int(NONE)
+        tree = array("q", [none]) * (2 * leaves)
+        flat = np.frombuffer(tree, np.int64)
+        rank = self.rank(sym[:-1], sym[1:])
+        flat[leaves : leaves + n - 1] = np.where(rank >= 0, (rank << bits) | np.arange(n - 1), NONE)
+        level = leaves // 2
+        while level:
+            flat[level : 2 * level] = np.minimum(flat[2 * level : 4 * level : 2], flat[2 * level + 1 : 4 * level : 2])
+            level //= 2
+        inner, nxt, prev = array("q", sym.tobytes()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        merged, known = self.merged.tolist(), {}
+
+        def key(a: int, b: int, i: int) -> int:
+            r = known.get((a, b))
+            if r is None:
+                r = known[a, b] = int(self.rank(np.array([a]), np.array([b]))[0])
+            return (r << bits) | i if r >= 0 else none
+
+        def put(p: int, value: int) -> None:
+            node = p + leaves
+            while tree[node] != value:
+                tree[node] = value
+                if node == 1:
+                    return
+                other = tree[node ^ 1]
+                if other < value:
+                    value = other
+                node >>= 1
+
+        while (root := tree[1]) != none:
+            p = root & (leaves - 1)
+            gone = nxt[p]
+            inner[p], inner[gone] = merged[root >> bits], -1
+            after, before = nxt[gone], prev[p]
+            nxt[p] = after
+            put(gone, none)
+            if after < n:
+                prev[after] = p
+                put(p, key(inner[p], inner[after], p))
+            else:
+                put(p, none)
+            if before >= 0:
+                put(before, key(inner[before], inner[p], before))
+        sym[:] = np.frombuffer(inner, np.int64)
 
     def words(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids one word after the other, number of ids of each word) of the byte ranges."""
@@ -178,9 +231,11 @@ class SegmentTreeBPE:
         flat[total[1:][some] - 1] = self.last[buf[end[some] - 1]]
         leaves = np.where(n < 2, 0, 1 << np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64))
         for width in np.unique(leaves[leaves > 0]):
-            if width > 1 << _POS:
-                raise ValueError(f"a word of {width // 2} bytes or more")
             mine = np.flatnonzero(leaves == width)
+            if width > LONG:
+                for w in mine.tolist():
+                    self._alone(flat[total[w] : total[w + 1]])
+                continue
             step = max(1, LANE_LEAVES // int(width))
             for lo in range(0, len(mine), step):
                 w = mine[lo : lo + step]

@@ -221,6 +221,16 @@ def test_bpe_is_the_librarys(spark):
     assert bpe.round_trip(frame(spark, []), WORD_BPE).count() == 0
 
 
+def test_bpe_of_runs_of_any_length(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("etaoinshrdlu", k=n)) for n in (8192, 8193, (1 << 20) + 1)] + ["x " + "é" * 6000 + "=-" * 5000, "a" * 8191]
+    tok = Tokenizer.from_file(WORD_BPE)
+    got = {r.doc_id: r for r in bpe.round_trip(frame(spark, list(enumerate(texts))), WORD_BPE).collect()}
+    for i, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
 def test_token_records_round_trip(spark):
     tok = Tokenizer.from_file(WORD_BPE)
     rows = [*enumerate(TEXTS), (3, "again"), (None, "no id")]

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def read_log(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
-    """The Parquet files of that name in a folder, as they come."""
+    """The Parquet table of that name in a folder, one file or a directory of them, as its files come."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(f"{folder}/{name}")
+    return stream.option("pathGlobFilter", name).parquet(folder)  # a stream's path must be a directory
 
 
 def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:

@@ -88,7 +88,7 @@ def answer_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT item_id, doc_id FROM (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS r FROM benchmark b JOIN documents d ON contains(d.text, b.text)) WHERE r = 1""")
 def evidence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark passage's first document that contains it. Candidates come by an equi-join on the passage's rarest long word, so no pair is scanned that shares none."""
+    """Each benchmark passage's first document that contains it. Candidates come by an equi-join on the passage's rarest inner word, so no pair is scanned that shares none; the few passages without one (empty or of one or two words) are sent to all documents."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: t != ""))
     # the first and last word may be parts of words in the document
@@ -97,4 +97,6 @@ def evidence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rare = in_docs.groupBy("w").agg(F.count("*").alias("df"))
     pick = whole.join(rare, "w").groupBy("item_id", "passage").agg(F.min(F.struct("df", "w")).alias("m")).select("item_id", "passage", "m.w")
     found = pick.join(in_docs, "w").join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage"))
+    short = b.where(F.size(F.split("text", r"\s+")) < 3).select("item_id", F.col("text").alias("passage")).distinct()
+    found = found.select("item_id", "doc_id").unionByName(d.join(F.broadcast(short), F.contains("text", "passage")).select("item_id", "doc_id"))
     return found.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))

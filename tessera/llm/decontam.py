@@ -4,6 +4,7 @@ The index is partitioned by document: one row ("shard") holds, for a block of tr
 (term -> word positions) of all terms that occur in the benchmark. A first query sums the terms' corpus frequencies; the
 second intersects, shard by shard, the offset-adjusted posting lists of each phrase, from its rarest term on. No row of a
 document is ever shuffled, so a hot source or a passage in a third of all documents costs no more than its own postings.
+decontaminate() returns exact phrases, proximity() words of a phrase that stand near each other.
 
 Benchmark items go in blocks of `query_bytes` of text; only such a block (a stated query set of bounded size) is sent to
 the executors. With more than one block, the index is built for each block's terms and the hits are merged by document.
@@ -29,6 +30,7 @@ from .shared import _NO_ID, map_materialize, row_key, without
 
 WINDOW = 13
 INDEX = "shard long, doc_ids array<long>, text_hashes array<long>, first array<long>, n_words array<long>, terms binary, counts binary, positions binary"
+NEAR = "doc_id long, text_hash long, item_id long, first long, last long"
 HITS = "shard long, doc_id long, text_hash long, n_words long, hits array<int>, items array<long>"
 
 
@@ -116,6 +118,8 @@ def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted), bool)
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
     return keys[at] == wanted
@@ -151,28 +155,29 @@ def exact_matches(terms: np.ndarray, counts: np.ndarray, positions: np.ndarray,
 
 
 def near_matches(terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, wanted: list[int], frequency: np.ndarray, span: int) -> list[tuple[int, int]]:
-    """(first, last) position of the occurrences of the term set `wanted` in some order within `span` places, one for each place of its rarest term."""
-    begin = dict(zip(terms.tolist(), np.concatenate([[0], np.cumsum(counts)[:-1]]).tolist(), strict=True))
-    size = dict(zip(terms.tolist(), counts.tolist(), strict=True))
+    """(first, last) position of each occurrence of the term set `wanted`, in any order, within `span` places that holds no smaller one."""
     todo = sorted(set(wanted), key=lambda t: (frequency[t], t))
-    if not todo or any(t not in begin for t in todo):
+    if not todo or not _find(terms, np.array(todo)).all():
         return []
-    lists = [positions[begin[t] : begin[t] + size[t]].astype(np.int64) for t in todo]
-    out = []
-    for p in lists[0].tolist():
-        inside = []
-        for x in lists[1:]:
-            near = x[np.searchsorted(x, p - span + 1) : np.searchsorted(x, p + span)]
-            if not len(near):
-                break
-            inside.append(near)
-        else:
-            for lo in sorted({p, *(int(v) for x in inside for v in x if v <= p)}, reverse=True):  # the narrowest span that holds p
-                tops = [x[np.searchsorted(x, lo) :] for x in inside]
-                if all(len(t) for t in tops) and (hi := max([p, *(int(t[0]) for t in tops)])) - lo < span:
-                    out.append((lo, hi))
-                    break
-    return out
+    end = np.cumsum(counts)
+    lists = [positions[end[i] - counts[i] : end[i]].astype(np.int64) for i in np.searchsorted(terms, todo)]
+
+    def close(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Those of x with one of `to` less than `span` away."""
+        i = np.searchsorted(to, x - span + 1)
+        return x[(i < len(to)) & (to[np.minimum(i, len(to) - 1)] < x + span)]
+
+    rarest = lists[0]
+    for x in lists[1:]:
+        rarest = close(rarest, x)
+        if not len(rarest):
+            return []
+    lo = np.unique(np.concatenate([close(x, rarest) for x in lists]))
+    hi = lo
+    for x in lists:
+        hi = np.maximum(hi, np.append(x, np.iinfo(np.int64).max // 2)[np.searchsorted(x, lo)])
+    keep = (hi - lo < span) & np.append(hi[1:] > hi[:-1], True)
+    return list(zip(lo[keep].tolist(), hi[keep].tolist(), strict=True))
 
 
 def _query(index: DataFrame, phrases: PhraseSet, frequency: np.ndarray) -> DataFrame:
@@ -217,6 +222,40 @@ def _query(index: DataFrame, phrases: PhraseSet, frequency: np.ndarray) -> DataF
     return index.mapInArrow(query, HITS)
 
 
+def _near(index: DataFrame, phrases: PhraseSet, frequency: np.ndarray, span: int) -> DataFrame:
+    sent = index.sparkSession.sparkContext.broadcast((phrases.windows, phrases.items, frequency))
+
+    def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, items, frequency = sent.value
+        for b in batches:
+            for i in range(b.num_rows):
+                doc_ids, hashes = (b.column(c)[i].as_py() for c in ("doc_ids", "text_hashes"))
+                first, postings = np.array(b.column("first")[i].as_py(), np.int64), _postings(b, i)
+                found = set()
+                for window, ids in zip(windows, items, strict=True):
+                    for lo, hi in near_matches(*postings, window, frequency, span):
+                        d = int(np.searchsorted(first, lo, "right")) - 1
+                        found.update((doc_ids[d], hashes[d], item, lo - int(first[d]), hi - int(first[d])) for item in ids)
+                columns = list(zip(*found, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "text_hash", "item_id", "first", "last"])
+
+    return index.mapInArrow(query, NEAR)
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, span: int = 2 * WINDOW, window: int = WINDOW, query_bytes: int = 2 << 20) -> DataFrame:
+    """Where the words of a benchmark window stand in any order within `span` words of a document, whether or not they are its phrase.
+
+    Distinct rows of doc_id, text_hash, item_id, first and last (word ordinals), of the spans that hold no smaller one. A
+    word that a window repeats is asked for once. The index keeps all postings, with `span` places between documents.
+    """
+    out = docs.sparkSession.createDataFrame([], NEAR)
+    for items in query_blocks(benchmark, query_bytes):
+        phrases = PhraseSet(items, window)
+        index = build_index(docs, phrases.vocabulary, gap=span)
+        out = out.unionByName(_near(index, phrases, term_frequencies(index, len(phrases.vocabulary)), span))
+    return out.distinct()
+
+
 def query_blocks(benchmark: DataFrame, query_bytes: int, text: str = "text", item_id: str = "item_id") -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator():

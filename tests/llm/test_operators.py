@@ -204,6 +204,24 @@ def test_proximity_matches():
     assert near("a y", 3) == []
 
 
+def test_proximity_of_benchmark_windows(spark):
+    rows = [(1, "a x b x c y"), (2, "a b c"), (3, "c c A x x b"), (4, "a"), (5, "b c"), (6, "a x x x x b c"), (7, None), (8, "q a b a c b z c a"), (8, "q a b a c b z c a"), (9, "d e f x e d")]
+    items = [(1, "a b c"), (2, "d e f g"), (2, "d e"), (3, "C b a b"), (4, "..."), (5, None), (None, "a b"), (6, "a")]
+    for span, window, query_bytes in ((5, 3, 1 << 20), (4, 13, 3)):
+        want = set()
+        for d, t in rows:
+            w = (t or "").lower().split()
+            for item, q in items:
+                v = re.findall("[a-z]+", (q or "").lower())
+                for need in [set(v[a : a + window]) for a in range(max(1, len(v) - window + 1)) if v and item is not None]:
+                    spans = [(i, j) for i in range(len(w)) for j in range(i, min(i + span, len(w))) if need <= set(w[i : j + 1])]
+                    want |= {(d, item, i, j) for i, j in spans if (i + 1, j) not in spans and (i, j - 1) not in spans}
+        b = spark.createDataFrame([(i, t, 1) for i, t in items], BENCHMARK)
+        got = decontam.proximity(frame(spark, rows), b, span, window, query_bytes).select("doc_id", "item_id", "first", "last")
+        assert rows_of(got) == sorted(want, key=repr) and len(want) > 15
+    assert decontam.proximity(frame(spark, rows), spark.createDataFrame([], BENCHMARK)).count() == 0
+
+
 TEXTS = ["", None, "don't  we'll\tI'M x_1 ÀÉ é", "<|startoftext|>hi<|endoftext|>there <|b|> <|StartOfText|>", "語義 记忆 42 ½ ²", "İstanbul ΣΑΣ ẞ ×5÷3", "a" * 3000, "ab" * 700 + "!!?", "\x00\x01\x7f a\x1cb", "👩‍👩‍👧 🙂🙂", "a\u0085b 　c", "ﬁx Å", "word " * 500]
 
 

@@ -436,13 +436,37 @@ def store(docs: DataFrame, lpc: int = 1, text: str = "text", doc_id: str = "doc_
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[np.ndarray]]]:
+    """(rows, streams, payloads) of store()'s rows."""
+    for rows, _, _ in blocks(batches, "media"):
+        media = rows.column("media").to_pylist()
+        yield rows, media, decode(media)
+
+
+def pcm_blocks(stored: DataFrame) -> DataFrame:
+    """store()'s rows, read back as unsigned 8-bit PCM: doc_id, media_sha256, first_sample and pcm, a row a frame of BLOCK samples.
+
+    first_sample is the block's place in its stream, so samples a to b are those of the rows from a // BLOCK * BLOCK to b.
+    media_sha256 tells streams of one doc_id apart; repeated rows give their blocks each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, media, payloads in _decoded(batches):
+            n = np.array([len(p) // BLOCK for p in payloads], np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            first = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * BLOCK
+            pcm = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BLOCK), len(row), [None, pa.py_buffer(np.concatenate(payloads))]).cast(pa.binary())
+            sha = pa.array([hashlib.sha256(m).hexdigest() for m in media])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), sha.take(pa.array(row)), pa.array(first, pa.int64()), pcm], ["doc_id", "media_sha256", "first_sample", "pcm"])
+
+    return stored.mapInArrow(run, "doc_id long, media_sha256 string, first_sample long, pcm binary")
+
+
 def describe(stored: DataFrame) -> DataFrame:
     """store()'s rows, read back: sizes, digests and features of what the media column holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, _ in blocks(batches, "media"):
-            media = rows.column("media").to_pylist()
-            payloads = decode(media)
+        for rows, media, payloads in _decoded(batches):
             raws = [p.tobytes() for p in payloads]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -305,6 +305,23 @@ def test_media_column(spark):
     assert flac.describe(flac.store(frame(spark, []))).count() == 0
 
 
+def test_pcm_blocks_of_the_media_column(spark):
+    rows = [*corpus(), (50, "é" * 400000)]
+    stored = flac.store(frame(spark, rows))
+    want = []
+    for d, t in rows:
+        raw = (t or "").encode()
+        p = raw + b"\xff" * (max(1, math.ceil(len(raw) / 576)) * 576 - len(raw))
+        want += [(d, i, p[i : i + 576]) for i in range(0, len(p), 576)]
+    blocks = flac.pcm_blocks(stored)
+    assert rows_of(blocks.select("doc_id", "first_sample", F.col("pcm"))) == sorted(want, key=repr)
+    a, b = 70_000, 71_500  # by their offsets alone
+    found = blocks.where(f"doc_id = 50 and first_sample between {a // 576 * 576} and {b}").orderBy("first_sample").collect()
+    assert b"".join(r.pcm for r in found)[a % 576 :][: b - a] == ("é" * 400000).encode()[a:b] and len(found) == 4
+    assert {r.media_sha256 for r in found} == {r.media_sha256 for r in flac.describe(stored.where("doc_id = 50")).collect()}
+    assert flac.pcm_blocks(flac.store(frame(spark, []))).count() == 0
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a", "<p>x</p>"), (2, "http://b", "<p>x</p>"), (3, None, None), (4, "u\r\nv", ""), (5, "http://é", "é" * 5000), (5, "http://é", "é" * 5000), (None, "n", "<p>x</p>"), (6, "w", "WARC/1.1\r\n\r\n\r\n")]
     df = spark.createDataFrame([(*p, "k", 1) for p in pages], "page_id long, url string, html string, key string, salt int").repartition(2)

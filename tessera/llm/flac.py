@@ -134,7 +134,7 @@ def _subframes(x: np.ndarray, lpc: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.full(rows, 8 + BITS * n, np.int64)  # verbatim
     kind = np.full(rows, -1)
     tries: list[tuple[int, bool, np.ndarray, np.ndarray]] = []
-    for order in range(3):
+    for order in range(5):
         tries.append((order, False, np.tile(np.array(_FIXED[order], np.int32), (rows, 1)), np.zeros(rows, np.int32)))
     for order in range(1, lpc + 1):
         tries.append((order, True, *_linear(x, order)))

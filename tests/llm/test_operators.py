@@ -286,6 +286,15 @@ def test_flac_round_trip_and_seeking():
         flac.decode([bytes(broken)])
 
 
+def test_flac_tries_every_fixed_order():
+    rng = np.random.default_rng(1)
+    waves = {4: 100 * np.sin(np.arange(576) * 2 * np.pi / 12), 3: 100 * np.sin(np.arange(576) * 2 * np.pi / 36), 1: np.cumsum(rng.integers(-1, 2, 576)), 0: rng.integers(-9, 10, 576)}
+    payloads = [np.rint(w + 128).astype(np.uint8) for w in waves.values()]
+    streams = flac.encode(payloads, 0)
+    assert [s[flac.Stream(s).audio + 6] >> 1 for s in streams] == [0b001000 | order for order in waves]
+    assert all((a == b).all() for a, b in zip(flac.decode(streams), payloads, strict=True))
+
+
 def test_flac_frame_numbers():
     for n in (0, 127, 128, 2047, 2048, 65535, 65536, 2_000_000):
         raw = flac._frame_number(n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,18 +49,28 @@ def byte_values(lower: bool) -> np.ndarray:
 
 
 PLAIN, FOLDED = byte_values(False), byte_values(True)
+#: Each byte, A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Ranges of so many bytes are hashed by a digest: sums modulo a power of two are equal for some pairs of longer ones, whatever the base.
+DIGESTED = 256
 
 
 class Rolling:
-    """Hashes of any ranges of one byte buffer."""
+    """Hashes of any ranges of one byte buffer; with lower, A-Z count as a-z. Equal bytes have equal hashes; whoever takes equal hashes for equal bytes must compare them."""
 
-    def __init__(self, buf: np.ndarray, values: np.ndarray = PLAIN):
+    def __init__(self, buf: np.ndarray, lower: bool = False):
+        self.buf, self.lower = buf, lower
         self.sums = np.zeros(len(buf) + 1, U64)
-        np.cumsum(values[buf] * powers(_BASE, len(buf)), out=self.sums[1:])
+        np.cumsum((FOLDED if lower else PLAIN)[buf] * powers(_BASE, len(buf)), out=self.sums[1:])
         self.inv = powers(_BASE_INV, len(buf) + 1)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inv[start] + (end - start).astype(U64))
+        out = mix((self.sums[end] - self.sums[start]) * self.inv[start] + (end - start).astype(U64))
+        for i in np.flatnonzero(end - start >= DIGESTED).tolist():
+            raw = self.buf[start[i] : end[i]]
+            out[i] = int.from_bytes(hashlib.blake2b(LOWER[raw] if self.lower else raw, digest_size=8).digest(), "little")
+        return out
 
     def grams(self, k: int) -> np.ndarray:
         """Of the k bytes from each position on."""
@@ -141,5 +152,15 @@ def gather_ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - count - start, count)
 
 
+def differing(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each pair of ranges of `size` bytes, one of a and one of b, whether their bytes differ."""
+    out = np.zeros(len(size), bool)
+    some = np.flatnonzero(size)
+    if len(some):
+        n = size[some]
+        out[some] = np.logical_or.reduceat(a[gather_ranges(a_start[some], n)] != b[gather_ranges(b_start[some], n)], np.cumsum(n) - n)
+    return out
+
+
 def binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())

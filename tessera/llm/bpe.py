@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
 
-from .blocks import NOT_SPACE, Rolling, blocks, byte_class, gather_ranges, spans
+from .blocks import DIGESTED, NOT_SPACE, Rolling, blocks, byte_class, differing, gather_ranges, spans
 
 NONE = np.int64(1 << 62)
 #: Lanes of one lockstep run times leaves; keeps a run's trees in the processor's cache.
@@ -325,41 +325,67 @@ class SegmentTreeBPE:
 
 
 class PartCache:
-    """Ids of parts seen before, by the part's 64-bit hash; emptied when it would pass `most` parts. It saves time only."""
+    """Bytes and ids of short parts seen before, found by a hash and compared byte by byte; emptied when it would pass `most` parts. It saves time only."""
 
     def __init__(self, most: int = 2_000_000):
         self.most = most
-        self.keys, self.begin, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def missing(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.sum() + len(self.keys) > self.most:
+        self.keys, self.ids, self.raw = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.begin, self.count, self.raw_begin, self.size = (np.zeros(0, np.int64) for _ in range(4))
+
+    def find(self, keys: np.ndarray, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the key is, or -1; whether the bytes are the same there)."""
+        if not len(self.keys):
+            return np.full(len(keys), -1), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        same = known & (self.size[at] == size)
+        k = np.flatnonzero(same)
+        same[k] = ~differing(buf, start[k], self.raw, self.raw_begin[at[k]], size[k])
+        return np.where(known, at, -1), same
+
+    def add(self, keys: np.ndarray, raw: np.ndarray, size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Sorted keys that aren't there yet; the parts' bytes and ids lie one after the other."""
+        if len(keys) + len(self.keys) > self.most:
             self.__init__(self.most)
-            new[:] = True
-        return new
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        begin = len(self.pool) + np.cumsum(count) - count
         at = np.searchsorted(self.keys, keys)
-        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
-        self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
+        new = {"keys": keys, "begin": len(self.ids) + np.cumsum(count) - count, "count": count, "raw_begin": len(self.raw) + np.cumsum(size) - size, "size": size}
+        for name, values in new.items():
+            setattr(self, name, np.insert(getattr(self, name), at, values))
+        self.ids, self.raw = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.raw, raw])
 
 
 def encode_distinct(buf: np.ndarray, off: np.ndarray, encode, cache: PartCache | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of texts; encode(buf, starts, ends) -> (ids, counts) sees each distinct white-space-free part once."""
+    """(ids, offsets) of texts; encode(buf, starts, ends) -> (ids, counts) sees each distinct white-space-free part once.
+
+    Parts of one hash are compared with the first of them, and with the cache's; those of other bytes are encoded by themselves.
+    """
     cache = PartCache() if cache is None else cache
     start, end, row = spans(buf, off, NOT_SPACE)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     keys, first, part = np.unique(Rolling(buf).ranges(start, end), return_index=True, return_inverse=True)
-    new = cache.missing(keys)
-    if new.any():
-        cache.add(keys[new], *encode(buf, start[first[new]], end[first[new]]))
-    at = np.searchsorted(cache.keys, keys)
-    count = cache.count[at][part]
-    ids = cache.pool[gather_ranges(cache.begin[at][part], count)]
-    return ids, np.concatenate([[0], np.cumsum(np.bincount(row, weights=count, minlength=len(off) - 1).astype(np.int64))])
+    size = end - start
+    other = size != size[first][part]
+    k = np.flatnonzero(~other & (np.arange(len(part)) != first[part]))
+    other[k] = differing(buf, start[k], buf, start[first[part[k]]], size[k])
+    odd = np.flatnonzero(other)
+    at, same = cache.find(keys, buf, start[first], size[first])
+    todo = np.flatnonzero(~same)
+    old = len(cache.ids)
+    begin, count = np.zeros(len(keys) + len(odd), np.int64), np.zeros(len(keys) + len(odd), np.int64)
+    hit = np.flatnonzero(same)
+    begin[hit], count[hit] = cache.begin[at[hit]], cache.count[at[hit]]
+    fresh, ids = np.concatenate([first[todo], odd]), cache.ids
+    if len(fresh):
+        new_ids, n = encode(buf, start[fresh], end[fresh])
+        slots = np.concatenate([todo, len(keys) + np.arange(len(odd))])
+        begin[slots], count[slots] = old + np.cumsum(n) - n, n
+        ids = np.concatenate([ids, new_ids.astype(np.int32)])
+        kept = todo[(at[todo] < 0) & (size[first[todo]] < DIGESTED)]
+        cache.add(keys[kept], buf[gather_ranges(start[first[kept]], size[first[kept]])], size[first[kept]], ids[gather_ranges(begin[kept], count[kept])], count[kept])
+    which = np.where(other, len(keys) + np.cumsum(other) - 1, part)
+    total = np.bincount(row, weights=count[which], minlength=len(off) - 1).astype(np.int64)
+    return ids[gather_ranges(begin[which], count[which])], np.concatenate([[0], np.cumsum(total)])
 
 
 _models: dict[str, SegmentTreeBPE] = {}

@@ -6,8 +6,8 @@ second intersects, shard by shard, the offset-adjusted posting lists of each phr
 document is ever shuffled, so a hot source or a passage in a third of all documents costs no more than its own postings.
 decontaminate() returns exact phrases, proximity() words of a phrase that stand near each other.
 
-Benchmark items go in blocks of `query_bytes` of text; only such a block (a stated query set of bounded size) is sent to
-the executors. With more than one block, the index is built for each block's terms and the hits are merged by document.
+Terms are found by hash and compared byte by byte. Benchmark items go in blocks of `query_bytes` of text, long ones in
+pieces; only such a block (a stated query set of bounded size) is sent to the executors. With more than one block, the index is built for each block's terms and the hits are merged by document.
 
 Defined results: null or word-less documents have 0 words and 0 hits and are not contaminated; items with null ids or
 without words match nothing; rows repeated in either table count as they stand (equal item_ids once); other columns of the
@@ -25,39 +25,79 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ALNUM, FOLDED, Rolling, blocks, gather_ranges, spans, text_bytes
+from .blocks import ALNUM, LOWER, Rolling, blocks, differing, gather_ranges, spans, text_bytes
 from .shared import _NO_ID, map_materialize, row_key, without
 
 WINDOW = 13
+#: Bytes of benchmark text that are queried together.
+QUERY_BYTES = 4 << 20
 INDEX = "shard long, doc_ids array<long>, text_hashes array<long>, first array<long>, n_words array<long>, terms binary, counts binary, positions binary"
 NEAR = "doc_id long, text_hash long, item_id long, first long, last long"
 HITS = "shard long, doc_id long, text_hash long, n_words long, hits array<int>, items array<long>"
 
 
-def _terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each word."""
+def _terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, hash) of each word."""
     start, end, row = spans(buf, off, ALNUM)
-    return Rolling(buf, FOLDED).ranges(start, end), row
+    return start, end, row, Rolling(buf, True).ranges(start, end)
+
+
+class Vocabulary:
+    """Distinct words, numbered by their hash; words of one hash follow each other and are told apart by their bytes."""
+
+    def __init__(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray):
+        raw = LOWER[buf].tobytes()
+        found = sorted(set(zip(hashes.tolist(), (raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)), strict=True)))
+        self.hashes = np.array([h for h, _ in found], np.uint64)
+        self.raw, self.size = np.frombuffer(b"".join(w for _, w in found), np.uint8), np.array([len(w) for _, w in found], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.most = int(np.unique(self.hashes, return_counts=True)[1].max(initial=0))
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __call__(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Each word's number, or -1: equal hash and equal bytes."""
+        out = np.full(len(start), -1)
+        if not len(self):
+            return out
+        low, first, n = LOWER[buf], np.searchsorted(self.hashes, hashes), end - start
+        for k in range(self.most):
+            at = np.minimum(first + k, len(self) - 1)
+            some = np.flatnonzero((self.hashes[at] == hashes) & (self.size[at] == n) & (out < 0))
+            same = some[~differing(low, start[some], self.raw, self.begin[at[some]], n[some])]
+            out[same] = at[same]
+        return out
 
 
 class PhraseSet:
-    """The distinct windows of one block of benchmark items, as term numbers."""
+    """The distinct windows of one block of benchmark items, as term numbers padded with -1, and the items of each."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         buf, off = text_bytes(pa.array([t for _, t in items], pa.large_string()))
-        hashes, row = _terms(buf, off)
-        self.vocabulary, term = np.unique(hashes, return_inverse=True)
-        found: dict[tuple[int, ...], set[int]] = {}
-        for r, (item, _) in enumerate(items):
-            words = term[row == r].tolist()
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), set()).add(item)
-        self.windows, self.items = list(found), [sorted(x) for x in found.values()]
-        self.shortest = min(map(len, self.windows), default=0)
-
-
-def build_index(docs: DataFrame, vocabulary: np.ndarray, min_run: int = 1, gap: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The positional index of the given terms (sorted hashes), one row per block of documents.
+        start, end, row, hashes = _terms(buf, off)
+        self.vocabulary = Vocabulary(buf, start, end, hashes)
+        term = self.vocabulary(buf, start, end, hashes)
+        n_words = np.bincount(row, minlength=len(items)).astype(np.int64)
+        begin, some = np.cumsum(n_words) - n_words, np.flatnonzero(n_words)
+        count = np.maximum(1, n_words - window + 1)[some]
+        first, of = gather_ranges(begin[some], count), np.repeat(some, count)
+        length = np.minimum(window, n_words[of])
+        column = np.arange(window)
+        inside = column < length[:, None]
+        windows = np.where(inside, np.append(term, -1)[np.where(inside, first[:, None] + column, len(term))], -1).astype(np.int32)
+        self.windows, which = np.unique(windows, axis=0, return_inverse=True) if len(windows) else (windows, np.zeros(0, np.int64))
+        pairs = np.unique(np.stack([which.ravel(), np.array([i for i, _ in items], np.int64)[of]], 1), axis=0) if len(windows) else np.zeros((0, 2), np.int64)
+        self.item_of, self.item_cut = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
+        self.lengths = (self.windows >= 0).sum(axis=1)
+        self.shortest = int(self.lengths.min(initial=window)) if len(self.windows) else 0
+
+    def items(self, window: int) -> list[int]:
+        return self.item_of[self.item_cut[window] : self.item_cut[window + 1]].tolist()
+
+
+def build_index(docs: DataFrame, vocabulary: Vocabulary, min_run: int = 1, gap: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The positional index of the given terms, one row per block of documents.
 
     Positions count words, with `gap` empty places between documents. min_run: postings outside runs of so many
     neighbouring indexed terms are left out; a phrase of at least min_run terms cannot touch them.
@@ -66,13 +106,12 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, min_run: int = 1, gap:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for rows, buf, off in blocks(batches):
-            hashes, row = _terms(buf, off)
+            start, end, row, hashes = _terms(buf, off)
             n_words = np.bincount(row, minlength=rows.num_rows)
             first = np.concatenate([[0], np.cumsum(n_words)[:-1]]) + np.arange(rows.num_rows) * gap
             place = np.arange(len(row)) + row * gap
-            at = np.searchsorted(vocabulary, hashes)
-            at[at == len(vocabulary)] = 0
-            keep = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(row), bool)
+            at = vocabulary(buf, start, end, hashes)
+            keep = at >= 0
             if min_run > 1 and keep.any():
                 p = place[keep]
                 cut = np.flatnonzero(np.diff(p) != 1) + 1
@@ -181,17 +220,13 @@ def near_matches(terms: np.ndarray, counts: np.ndarray, positions: np.ndarray, w
 
 
 def _query(index: DataFrame, phrases: PhraseSet, frequency: np.ndarray) -> DataFrame:
-    width = max(map(len, phrases.windows), default=1)
-    windows = np.full((len(phrases.windows), width), -1, np.int64)
-    for i, w in enumerate(phrases.windows):
-        windows[i, : len(w)] = w
-    lengths = np.array([len(w) for w in phrases.windows], np.int64)
-    rare = np.where(windows < 0, np.iinfo(np.int64).max, np.append(frequency, 0)[windows])
-    plan = (windows, lengths, np.argsort(rare, axis=1, kind="stable"), phrases.items)
+    rare = np.where(phrases.windows < 0, np.iinfo(np.int64).max, np.append(frequency, 0)[phrases.windows])
+    plan = (phrases, np.argsort(rare, axis=1, kind="stable").astype(np.int8 if rare.shape[1] < 128 else np.int32))
     sent = index.sparkSession.sparkContext.broadcast(plan)
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, lengths, order, items = sent.value
+        phrases, order = sent.value
+        windows, lengths = phrases.windows, phrases.lengths
         for b in batches:
             for i in range(b.num_rows):
                 doc_ids, hashes, first, n_words = (b.column(c)[i].as_py() for c in ("doc_ids", "text_hashes", "first", "n_words"))
@@ -211,7 +246,7 @@ def _query(index: DataFrame, phrases: PhraseSet, frequency: np.ndarray) -> DataF
                     np.add.at(edge, at[mine] - first[d], 1)
                     np.add.at(edge, at[mine] - first[d] + lengths[w[mine]], -1)
                     hits.append(np.flatnonzero(np.cumsum(edge) > 0))
-                    found.append(sorted({x for k in np.unique(w[mine]) for x in items[k]}))
+                    found.append(sorted({x for k in np.unique(w[mine]).tolist() for x in phrases.items(k)}))
                 yield pa.RecordBatch.from_pydict(
                     {
                         "shard": pa.array([b.column("shard")[i].as_py()] * len(doc_ids), pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "text_hash": pa.array(hashes, pa.int64()),
@@ -223,42 +258,60 @@ def _query(index: DataFrame, phrases: PhraseSet, frequency: np.ndarray) -> DataF
 
 
 def _near(index: DataFrame, phrases: PhraseSet, frequency: np.ndarray, span: int) -> DataFrame:
-    sent = index.sparkSession.sparkContext.broadcast((phrases.windows, phrases.items, frequency))
+    sent = index.sparkSession.sparkContext.broadcast((phrases, frequency))
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, items, frequency = sent.value
+        phrases, frequency = sent.value
         for b in batches:
             for i in range(b.num_rows):
                 doc_ids, hashes = (b.column(c)[i].as_py() for c in ("doc_ids", "text_hashes"))
                 first, postings = np.array(b.column("first")[i].as_py(), np.int64), _postings(b, i)
                 found = set()
-                for window, ids in zip(windows, items, strict=True):
-                    for lo, hi in near_matches(*postings, window, frequency, span):
+                for k, window in enumerate(phrases.windows):
+                    for lo, hi in near_matches(*postings, window[: phrases.lengths[k]].tolist(), frequency, span):
                         d = int(np.searchsorted(first, lo, "right")) - 1
-                        found.update((doc_ids[d], hashes[d], item, lo - int(first[d]), hi - int(first[d])) for item in ids)
+                        found.update((doc_ids[d], hashes[d], item, lo - int(first[d]), hi - int(first[d])) for item in phrases.items(k))
                 columns = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "text_hash", "item_id", "first", "last"])
 
     return index.mapInArrow(query, NEAR)
 
 
-def proximity(docs: DataFrame, benchmark: DataFrame, span: int = 2 * WINDOW, window: int = WINDOW, query_bytes: int = 2 << 20) -> DataFrame:
+def proximity(docs: DataFrame, benchmark: DataFrame, span: int = 2 * WINDOW, window: int = WINDOW, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Where the words of a benchmark window stand in any order within `span` words of a document, whether or not they are its phrase.
 
     Distinct rows of doc_id, text_hash, item_id, first and last (word ordinals), of the spans that hold no smaller one. A
     word that a window repeats is asked for once. The index keeps all postings, with `span` places between documents.
     """
     out = docs.sparkSession.createDataFrame([], NEAR)
-    for items in query_blocks(benchmark, query_bytes):
+    for items in query_blocks(benchmark, query_bytes, window):
         phrases = PhraseSet(items, window)
         index = build_index(docs, phrases.vocabulary, gap=span)
         out = out.unionByName(_near(index, phrases, term_frequencies(index, len(phrases.vocabulary)), span))
     return out.distinct()
 
 
-def query_blocks(benchmark: DataFrame, query_bytes: int, text: str = "text", item_id: str = "item_id") -> Iterator[list[tuple[int, str]]]:
+def pieces(benchmark: DataFrame, piece_words: int, window: int = WINDOW, text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """(i, t): items, long ones as pieces of piece_words words and the window - 1 after them, so that each window is in one piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, off in blocks(batches, "t"):
+            start, end, row = spans(buf, off, ALNUM)
+            words = np.searchsorted(row, np.arange(len(off)))
+            for r, i in enumerate(rows.column("i").to_pylist()):
+                a, b = int(words[r]), int(words[r + 1])
+                first = range(a, max(a + 1, b - window + 1), piece_words) if b > a else []
+                cut = [buf[start[x] : end[min(b, x + piece_words + window - 1) - 1]].tobytes().decode("utf-8", "ignore") for x in first]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(cut), pa.int64()), pa.array(cut, pa.string())], ["i", "t"])
+
+    named = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    return named.mapInArrow(run, "i long, t string")
+
+
+def query_blocks(benchmark: DataFrame, query_bytes: int, window: int = WINDOW) -> Iterator[list[tuple[int, str]]]:
+    """Blocks of (item, text or piece of it) of about query_bytes together."""
     block, size = [], 0
-    for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for r in pieces(benchmark, max(1, query_bytes // 32), window).toLocalIterator():
         block.append((r.i, r.t))
         size += len(r.t)
         if size >= query_bytes:
@@ -268,15 +321,15 @@ def query_blocks(benchmark: DataFrame, query_bytes: int, text: str = "text", ite
         yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, query_bytes: int = 2 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """One row per document: doc_id, text_hash, n_words, n_hit, n_items, items (sorted ids), hits (word ordinals inside benchmark windows)."""
     found = []
-    for items in query_blocks(benchmark, query_bytes):
+    for items in query_blocks(benchmark, query_bytes, window):
         phrases = PhraseSet(items, window)
         index = build_index(docs, phrases.vocabulary, max(1, phrases.shortest))
         found.append(_query(index, phrases, term_frequencies(index, len(phrases.vocabulary))))
     if not found:
-        found.append(_query(build_index(docs, np.zeros(0, np.uint64)), PhraseSet([]), np.zeros(0, np.int64)))
+        found.append(_query(build_index(docs, PhraseSet([]).vocabulary), PhraseSet([]), np.zeros(0, np.int64)))
     out = found[0]
     if len(found) > 1:
         for more in found[1:]:

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components as components_of
 
-from .blocks import FOLDED, NOT_SPACE, U64, Rolling, blocks, mix, spans
-from .shared import _NO_ID, in_groups, map_materialize, materialize, row_key, without
+from .blocks import NOT_SPACE, U64, Rolling, blocks, mix, spans
+from .shared import _NO_ID, in_groups, join_split, map_materialize, materialize, row_key, without
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -47,13 +47,14 @@ DEAL_BYTES = 3 << 20
 #: Entries of a posting list that are looked through at once.
 LIST = 4096
 _META = "doc_ids array<long>, text_keys array<long>, sizes array<long>, first_keys array<long>, second_keys array<long>"
-_PACKED = "batch long, bucket int, low binary, high binary, rows binary"
+#: A token's 64 bits: those of its bucket, then up to 16 as counts of a bucket's sorted tokens by these bits, 16 and 32.
+_PACKED = "batch long, bucket int, counts binary, middle binary, low binary, rows binary"
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the distinct shingles of each text, by hash."""
     start, end, row = spans(buf, off, NOT_SPACE)
-    word = Rolling(buf, FOLDED).ranges(start, end)
+    word = Rolling(buf, True).ranges(start, end)
     counts = np.bincount(row, minlength=len(off) - 1)
     first = np.cumsum(counts) - counts
     hashes, rows = [], []
@@ -95,7 +96,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def _deal(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch = TaskContext.get().partitionId() << 32
+        batch = TaskContext.get().partitionId() << 24
         for rows, buf, off in blocks(batches, "text", DEAL_BYTES):
             h, r = shingles(buf, off)
             by = np.argsort(r, kind="stable")
@@ -108,37 +109,46 @@ def _deal(docs: DataFrame, bits: int) -> DataFrame:
                     keys[i, some] = np.add.reduceat(mix(h[by] ^ U64(salt)), at)
             bucket = (h >> U64(64 - bits)).astype(np.int64)
             cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-            low = ((h >> U64(16 - bits)) & U64(0xFFFFFFFF)).astype("<u4")
-            high = ((h >> U64(48 - bits)) & U64(0xFFFF)).astype("<u2")
             r = r.astype("<u2")
             home = batch % (1 << bits)
-            out = {k: [] for k in ("batch", "bucket", "low", "high", "rows", "doc_ids", "text_keys", "sizes", "first_keys", "second_keys")}
+            out = {k: [] for k in ("batch", "bucket", "counts", "middle", "low", "rows", "doc_ids", "text_keys", "sizes", "first_keys", "second_keys")}
             for b in range(1 << bits):
                 lo, hi = cut[b], cut[b + 1]
                 if lo == hi and b != home:
                     continue
                 mine = b == home
-                values = (batch, b, low[lo:hi].tobytes(), high[lo:hi].tobytes(), r[lo:hi].tobytes(), rows.column("doc_id").to_pylist() if mine else None, rows.column("text_key").to_pylist() if mine else None, sizes if mine else None, keys[0].view(np.int64) if mine else None, keys[1].view(np.int64) if mine else None)
+                values = (batch, b, *_pack(h[lo:hi], bits), r[lo:hi].tobytes(), rows.column("doc_id").to_pylist() if mine else None, rows.column("text_key").to_pylist() if mine else None, sizes if mine else None, keys[0].view(np.int64) if mine else None, keys[1].view(np.int64) if mine else None)
                 for k, v in zip(out, values, strict=True):
                     out[k].append(v)
-            types = [pa.int64(), pa.int32(), *[pa.binary()] * 3, *[pa.list_(pa.int64())] * 5]
+            types = [pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], list(out))
             batch += 1
 
     return docs.mapInArrow(run, f"{_PACKED}, {_META}")
 
 
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(48-bit hashes, row in block, line of the table) of packed tokens."""
+def _pack(h: np.ndarray, bits: int) -> tuple[bytes, bytes, bytes]:
+    """(counts, middle, low) of a bucket's sorted tokens."""
+    counts = np.bincount(((h >> U64(48)) & U64((1 << (16 - bits)) - 1)).astype(np.int64), minlength=1 << (16 - bits))
+    return counts.astype("<u4").tobytes(), ((h >> U64(32)) & U64(0xFFFF)).astype("<u2").tobytes(), (h & U64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(64-bit hashes, row in block, line of the table, bits of a bucket) of packed tokens."""
     join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    low, high, rows = join("low", "<u4"), join("high", "<u2"), join("rows", "<u2")
+    low, middle, rows = join("low", "<u4"), join("middle", "<u2"), join("rows", "<u2")
     sizes = [len(x) // 2 for x in table.column("rows").to_pylist()]
-    return high.astype(U64) << U64(32) | low, rows, np.repeat(np.arange(len(sizes)), sizes)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    counts = join("counts", "<u4").reshape(len(sizes), -1)
+    bits = 17 - counts.shape[1].bit_length()
+    upper = np.repeat(np.tile(np.arange(counts.shape[1]), len(sizes)), counts.ravel()).astype(U64)
+    bucket = np.array(table.column("bucket"), np.int64).astype(U64)[line]
+    return (bucket << U64(16 - bits) | upper) << U64(48) | middle.astype(U64) << U64(32) | low, rows, line, bits
 
 
 def _count(table: pa.Table) -> pa.Table:
     """Of a bucket: the tokens of two documents or more, with their frequencies, by block."""
-    h, rows, line = _unpack(table)
+    h, rows, line, bits = _unpack(table)
     by = np.argsort(h, kind="stable")
     s = h[by]
     begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
@@ -148,8 +158,9 @@ def _count(table: pa.Table) -> pa.Table:
     h, rows, line, packed = h[keep], rows[keep], line[keep], pack_frequency(df[keep])
     cut = np.searchsorted(line, np.arange(table.num_rows + 1))
     part = lambda a, t: [a[x:y].astype(t).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    counts, middle, low = zip(*[_pack(h[x:y], bits) for x, y in zip(cut[:-1], cut[1:], strict=True)], strict=True)
     out = pa.table(
-        {"batch": table.column("batch"), "bucket": table.column("bucket"), "low": pa.array(part(h & U64(0xFFFFFFFF), "<u4"), pa.binary()), "high": pa.array(part(h >> U64(32), "<u2"), pa.binary()),
+        {"batch": table.column("batch"), "bucket": table.column("bucket"), "counts": pa.array(counts, pa.binary()), "middle": pa.array(middle, pa.binary()), "low": pa.array(low, pa.binary()),
          "rows": pa.array(part(rows, "<u2"), pa.binary()), "frequencies": pa.array(part(packed, np.uint8), pa.binary())} | {c: table.column(c) for c in ("doc_ids", "text_keys", "sizes", "first_keys", "second_keys")}
     )
     return out.filter(pa.array((np.diff(cut) > 0) | ~np.array(table.column("sizes").is_null())))
@@ -162,8 +173,7 @@ def _gather(table: pa.Table) -> pa.Table:
     """Of a block: one row a document, with its repeated tokens, rarest first, if there are enough for a link."""
     home = table.filter(table.column("sizes").is_valid())
     ids, texts, sizes, first, second = (home.column(c)[0].as_py() for c in ("doc_ids", "text_keys", "sizes", "first_keys", "second_keys"))
-    h, rows, line = _unpack(table)
-    h = np.array(table.column("bucket"), np.int64).astype(U64)[line] << U64(48) | h
+    h, rows, _, _ = _unpack(table)
     df = np.frombuffer(b"".join(table.column("frequencies").to_pylist()), np.uint8)
     n = np.array(sizes, np.int64)
     have = np.bincount(rows, minlength=len(n))
@@ -307,9 +317,9 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     counted = dealt.groupBy("bucket").applyInArrow(_count, f"{_PACKED}, frequencies binary, {_META}")
     sets = map_materialize(*in_groups(counted, ["batch"], _gather), _DOCS, "shingle-sets")
     able = sets.where("tokens is not null")
-    identity = F.xxhash64("first_key", "second_key", "n")
-    chosen = able.groupBy(identity.alias("id")).agg(F.min("doc_id").alias("least_doc"), F.min("key").alias("key"))
-    classes = materialize(able.join(chosen.select("id", "key"), "key").select("id", "n", "tokens", "frequencies"), "shingle-classes")
+    identity = ["first_key", "second_key", "n"]
+    chosen = materialize(able.groupBy(*identity).agg(F.min("doc_id").alias("least_doc"), F.min("key").alias("id"), F.count("*").alias("copies")), "class-names")
+    classes = materialize(able.join(chosen.select("id"), able["key"] == F.col("id"), "left_semi").select(F.col("key").alias("id"), "n", "tokens", "frequencies"), "shingle-classes")
     postings = _postings(classes)
     repeated = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     postings = materialize(postings.join(repeated, "token"), "prefix-postings")
@@ -329,24 +339,26 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             higher = connected_components(named.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("top"))
             found = labels.join(higher, "label", "left").select("id", F.coalesce("top", "label").alias("label"))
         labels = materialize(classes.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-    named = chosen.select("id", "least_doc").join(labels, "id")
-    least = named.groupBy("label").agg(F.min("least_doc").alias("component_id"))
-    of_class = named.join(least, "label").select("id", "component_id", F.col("label").alias("component"))
+    named = chosen.join(labels, "id")
+    least = named.groupBy("label").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("members"))
+    of_class = join_split(named, materialize(least, "components"), ["label"], "members", classes.count()).select(*identity, "copies", "component_id", F.col("label").alias("component"))
     kept = ["key", "doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "component"]
-    grouped = able.select("key", "doc_id", "text_key", "n", identity.alias("id")).join(of_class, "id").select(*kept)
+    grouped = join_split(able.select("key", "doc_id", "text_key", *identity), materialize(of_class, "classes"), identity, "copies", sets.count()).select(*kept)
     return grouped.unionByName(sets.where("tokens is null").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")}).select(*kept))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs, all columns, with one row of each component: that of the smallest doc_id, null last; of repeated rows, one."""
     found = materialize(similar_components(docs, text, doc_id).where("component is not null").select("component", "doc_id", "text_key", "key"), "components")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")).select("component", F.col("first.key").alias("first"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count("*").alias("members"))
+    first = materialize(first.select("component", F.col("first.key").alias("first"), "members"), "components")
     ident = {"_id": F.coalesce("doc_id", F.lit(_NO_ID)), "_text": F.col("text_key")}
-    state = found.join(first, "component").withColumns(ident).groupBy("_id", "_text").agg(F.max((F.col("key") == F.col("first")).cast("int")).alias("kept"), F.count("*").alias("rows"))
+    state = join_split(found, first, ["component"], "members", found.count()).withColumns(ident).groupBy("_id", "_text").agg(F.max((F.col("key") == F.col("first")).cast("int")).alias("kept"), F.count("*").alias("rows"))
     state = materialize(state.where("kept = 0 or rows > 1"), "components")
     out = without(docs, state, text, doc_id)
     twice = materialize(state.where("kept = 1 and rows > 1"), "components")
     if twice.isEmpty():
         return out
-    again = docs.withColumns(row_key(text, doc_id)).join(twice, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
-    return out.unionByName(again.select(*[f"`{c}`" for c in docs.columns]))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in row_key(text, doc_id).items()])
+    again = held.join(twice, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
+    return out.unionByName(again.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))

@@ -179,7 +179,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: i
     """(features, labels) of at most about max_train labelled documents that are not held out.
 
     The doc_ids of the sample, of bounded number, are sent to the scan of the documents; what comes back are features. Of
-    several documents of one doc_id, all are taken, up to twice max_train rows.
+    several documents of one doc_id, all are taken, up to twice max_train rows, in the order of a hash of doc_id and of the features.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id is not null and y is not null").where(~held_out())
     chosen = known.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -191,7 +191,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: i
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(x, pa.binary()), rows.column("y")], ["doc_id", "x", "y"])
 
     taken = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    out = taken.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x binary, y int").limit(2 * max_train)
+    out = taken.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x binary, y int").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * max_train)
     held = sorted((r.doc_id, bytes(r.x), r.y) for r in out.toLocalIterator())
     return [np.frombuffer(x, "<u4").astype(np.int32) for _, x, _ in held], np.array([y for *_, y in held], np.int64)
 

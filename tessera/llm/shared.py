@@ -152,6 +152,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
+#: A key of more than this part of all rows is hot: there are at most so many, so what belongs to them may be broadcast.
+HOT = 1000
+
+
+def join_split(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """big joined to small, which has one row a key, non-null keys, and in `weight` at least the number of big's rows of that key.
+
+    Rows of a hot key stay where they are and meet the key's one row by broadcast; only the others are shuffled.
+    """
+    hot = small.where(F.col(weight) > max(1, total // HOT)).collect()
+    if not hot:
+        return big.join(small, keys, how)
+    held = F.broadcast(big.sparkSession.createDataFrame(hot, small.schema))
+    rest = big.join(F.broadcast(held.select(*keys)), keys, "left_anti")
+    return big.join(held, keys).unionByName(rest.join(small.where(F.col(weight) <= max(1, total // HOT)), keys, how))
+
+
 _NO_ID = -(1 << 63)
 
 
@@ -162,7 +179,9 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> dict[str, Column]:
 
 def without(docs: DataFrame, keys: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs but for the rows whose row_key() is in keys. keys is written first, so the planner knows its size and picks the join by it."""
-    return docs.withColumns(row_key(text, doc_id)).join(materialize(keys.select("_id", "_text").distinct(), "keys"), ["_id", "_text"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in row_key(text, doc_id).items()])
+    rest = held.join(materialize(keys.select("_id", "_text").distinct(), "keys"), ["_id", "_text"], "left_anti")
+    return rest.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def cleanup(spark: SparkSession) -> None:

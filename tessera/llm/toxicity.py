@@ -4,13 +4,15 @@ Categories are predicted one after the other by linear models on the text's word
 categories before. While training, these probabilities are out of fold: a row gets them from models that have not seen it,
 so that later models learn from probabilities as good as those that unseen texts have.
 
-The categories of a row come from the label table: columns that are there as they are; `toxic` also yields, for the chain,
-`low_quality` (1 - quality) before it, as spam and abuse go together in some corpora. A model is a logistic regression on
+The categories of a row come from the label table: columns that are there as they are, and two that `toxic` and `quality`
+make: `toxic_junk`, toxic text of low quality (spam, shouting), and `toxic_prose`, toxic text that is well written. A row
+counts in each category that its labels settle: without a quality label, a toxic row still teaches `toxic`, and a row that
+isn't toxic is neither of the two. A model is a logistic regression on
 the words that tell the category, scaled by their log-odds for it, fitted by adaptive minibatch gradients on a bounded sample of labelled rows (`max_train`, those whose doc_id
 hashes lowest); scoring covers every whole text in one pass without a shuffle.
 
-Defined results: null, empty and word-less texts have the bias alone; labels with null doc_id or a null category are
-ignored; without labels of both classes a category's probability is its share of ones (a half without labels); repeated rows
+Defined results: null, empty and word-less texts have the bias alone; labels with null doc_id are ignored, and a null
+category for that category; without labels of both classes a category's probability is its share of ones (a half without labels); repeated rows
 get equal scores; other columns of the input, of whatever name, are ignored.
 """
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ALNUM, FOLDED, U64, Rolling, blocks, spans
+from .blocks import ALNUM, U64, Rolling, blocks, spans
 from .quality import held_out
 
 MAX_TRAIN = 12_000
@@ -33,13 +35,13 @@ BITS = 20
 THRESHOLD = 0.5
 #: Words whose rows stray less from the category's share, in standard deviations, have no weight.
 LEAST_Z = 4.0
-CATEGORIES = ("low_quality", "toxic")
+CATEGORIES = ("toxic_junk", "toxic_prose", "toxic")
 
 
 def features(buf: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(hashed words, offsets): the distinct words of each text, by row."""
     start, end, row = spans(buf, off, ALNUM)
-    x = (Rolling(buf, FOLDED).ranges(start, end) >> U64(64 - bits)).astype(np.int64)
+    x = (Rolling(buf, True).ranges(start, end) >> U64(64 - bits)).astype(np.int64)
     key = np.unique(row.astype(np.int64) << bits | x)
     return key & ((1 << bits) - 1), np.searchsorted(key >> bits, np.arange(len(off)))
 
@@ -118,19 +120,23 @@ class Chain:
 
 
 def fit_chain(x: np.ndarray, off: np.ndarray, y: np.ndarray, categories: tuple[str, ...], size: int = 1 << BITS, folds: int = 3) -> Chain:
-    """y: a column of 0 and 1 for each category."""
+    """y: a column for each category: 1, 0, or not a number where a row's labels don't settle it."""
     chain, n = Chain(categories), len(off) - 1
     fold, before = np.arange(n) % folds, np.zeros((n, 0))
+
+    def fit(keep: np.ndarray, k: int) -> Link:
+        count = np.diff(off)[keep]
+        flat = np.repeat(off[keep] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return fit_link(x[flat], np.concatenate([[0], np.cumsum(count)]), before[keep], y[keep, k].astype(np.int64), size)
+
     for k in range(len(categories)):
-        chain.links.append(fit_link(x, off, before, y[:, k], size))
+        known = ~np.isnan(y[:, k])
+        chain.links.append(fit(np.flatnonzero(known), k))
         if k + 1 == len(categories):
             break
         unseen = np.zeros(n)
         for f in range(folds):
-            keep = np.flatnonzero(fold != f)
-            count = np.diff(off)[keep]
-            flat = np.repeat(off[keep] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            part = fit_link(x[flat], np.concatenate([[0], np.cumsum(count)]), before[keep], y[keep, k], size)
+            part = fit(np.flatnonzero(known & (fold != f)), k)
             unseen[fold == f] = part(x, off, before)[fold == f]
         before = np.column_stack([before, unseen])
     return chain
@@ -138,14 +144,16 @@ def fit_chain(x: np.ndarray, off: np.ndarray, y: np.ndarray, categories: tuple[s
 
 def _label_columns(labels: DataFrame, categories: tuple[str, ...]) -> list[Column]:
     have = {c.lower() for c in labels.columns}
-    known = {"low_quality": (1 - F.col("quality").cast("double")) if "quality" in have and "low_quality" not in have else None}
-    return [(known.get(c) if known.get(c) is not None else F.col(c).cast("double")).alias(f"y{i}") for i, c in enumerate(categories)]
+    number = lambda c: F.col(c).cast("double") if c in have else F.lit(None).cast("double")
+    toxic, quality = number("toxic") >= 0.5, number("quality") >= 0.5
+    made = {"toxic_junk": toxic & ~quality, "toxic_prose": toxic & quality}
+    return [(made[c].cast("double") if c in made and c not in have else number(c)).alias(f"y{i}") for i, c in enumerate(categories)]
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_train: int = MAX_TRAIN, text: str = "text", doc_id: str = "doc_id") -> Chain:
     """A chain over the categories, learnt from rows that are not held out. The sample's rows, of bounded number, reach the driver as hashed words."""
     ys = [f"y{i}" for i in range(len(categories))]
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *_label_columns(labels, categories)).dropna().where(~held_out())
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *_label_columns(labels, categories)).where("doc_id is not null").dropna("all", subset=ys).where(~held_out())
     chosen = known.groupBy("doc_id").agg(*[(F.avg(c) >= 0.5).cast("int").alias(c) for c in ys]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +162,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([x[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), *[rows.column(c) for c in ys]], ["doc_id", "x", *ys])
 
     taken = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *ys)
-    rows = taken.mapInArrow(run, "doc_id long, x binary, " + ", ".join(f"{c} int" for c in ys)).limit(2 * max_train)
-    held = sorted(((r.doc_id, bytes(r.x), *[r[c] for c in ys]) for r in rows.toLocalIterator()))
+    rows = taken.mapInArrow(run, "doc_id long, x binary, " + ", ".join(f"{c} int" for c in ys)).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * max_train)
+    held = sorted(((r.doc_id, bytes(r.x), *[math.nan if r[c] is None else float(r[c]) for c in ys]) for r in rows.toLocalIterator()), key=lambda r: r[:2])
     x = np.frombuffer(b"".join(r[1] for r in held), "<u4").astype(np.int64)
     off = np.concatenate([[0], np.cumsum([len(r[1]) // 4 for r in held])]).astype(np.int64)
-    return fit_chain(x, off, np.array([r[2:] for r in held], np.int64).reshape(len(held), len(ys)), categories)
+    return fit_chain(x, off, np.array([r[2:] for r in held], np.float64).reshape(len(held), len(ys)), categories)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

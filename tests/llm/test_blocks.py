@@ -38,3 +38,27 @@ def test_crcs():
     assert crc.crc32c()(digits, np.array([0]), np.array([9]))[0] == 0xE3069283
     assert crc.crc16()(digits, np.array([0]), np.array([9]))[0] == 0xFEE8
     assert crc.crc8([b"123456789"]) == [0xF4]
+
+
+def twins(size):
+    """Two words of that size whose hashes by sums modulo 2**64 would be equal."""
+    a = "a"
+    while len(a) < size:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_of_long_ranges_differ():
+    for size in (1024, 2048):
+        a, b = twins(size)
+        buf, off = blocks.text_bytes(pa.array([a, b, a.upper()]))
+        x, y, z = blocks.Rolling(buf).ranges(off[:-1], off[1:])
+        assert len({int(x), int(y), int(z)}) == 3
+        x, y, z = blocks.Rolling(buf, True).ranges(off[:-1], off[1:])
+        assert x == z != y
+
+
+def test_differing_ranges():
+    a, b = np.frombuffer(b"abcabd", np.uint8), np.frombuffer(b"xabc", np.uint8)
+    zero = np.zeros(4, np.int64)
+    assert blocks.differing(a, np.array([0, 3, 3, 6]), b, zero + 1, np.array([3, 3, 2, 0])).tolist() == [False, True, False, False]

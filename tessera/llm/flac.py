@@ -4,7 +4,8 @@ A stream is `fLaC`, a STREAMINFO block, a SEEKTABLE block and frames of 576 samp
 the smallest of: constant, verbatim, fixed predictors of order 0 to 4 and linear predictors of order 1 to `lpc` with
 quantised coefficients, the residual in one Rice partition. Frames of all documents of a block are worked on side by side,
 in numpy: the Rice decoder takes one residual of each frame at a step. Header CRC-8, frame CRC-16 and the MD5 of all samples
-are checked on reading; any mismatch raises.
+are checked on reading; any mismatch raises. write_pcm() stores the decoded samples in the shared folder, with an index of
+sample offsets by which any range is read without the rest.
 
 Defined results: null and empty texts are one padded block of 255; texts are whole, however long; repeated rows stay and
 equal texts give equal values; other columns of the input, of whatever name, are ignored.
@@ -18,11 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import files
 from .blocks import blocks, gather_ranges
 from .crc import crc8, crc16
+from .shared import collected, new_dir
 
 #: Samples in a frame; payloads are filled up to a positive multiple with 255.
 BLOCK = 576
@@ -34,6 +38,12 @@ SEEK = 4
 #: Frames in one run of the encoder or decoder; bounds its memory.
 LANES = 4096
 BITS = 8
+#: Samples of a zstd frame of the PCM files: a multiple of BLOCK.
+CHUNK = 448 * BLOCK
+PCM_INDEX = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("samples", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("first_sample", pa.int64()), ("count", pa.int64()),
+     ("at", pa.int64()), ("frame", pa.int64()), ("packed", pa.int64()), ("size", pa.int64())]
+)
 _FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
 
@@ -462,19 +472,90 @@ def pcm_blocks(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(run, "doc_id long, media_sha256 string, first_sample long, pcm binary")
 
 
+def write_pcm(stored: DataFrame, folder: str | None = None) -> DataFrame:
+    """Decode store()'s rows and write their samples to files of the shared folder. Returns the manifest, a row a file: path and index.
+
+    A file is a run of zstd frames, each of about CHUNK bytes of whole blocks of samples. The index beside it has a row for
+    each stretch of a stream in a frame: where its first sample stands, in the stream, in the file and in the frame.
+    """
+    folder = folder or new_dir(stored.sparkSession, "pcm")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
+        path, index = (files.new_file(folder, f"part-{shard:06d}", x) for x in (".pcm", ".index"))
+        codec, out, rows, held, offset = pa.Codec("zstd"), None, [], bytearray(), 0
+
+        def flush() -> None:
+            nonlocal offset
+            packed = codec.compress(bytes(held), asbytes=True)
+            for r in rows:
+                if r["frame"] is None:
+                    r.update(frame=offset, packed=len(packed), size=len(held))
+            out.write(packed)
+            offset += len(packed)
+            held.clear()
+
+        for batch, media, payloads in _decoded(batches):
+            if out is None and batch.num_rows:
+                out = files.create(path)
+            for i, (m, p) in enumerate(zip(media, payloads, strict=True)):
+                about = {"doc_id": batch.column("doc_id")[i].as_py(), "n_bytes": batch.column("n_bytes")[i].as_py(), "samples": len(p), "media_bytes": len(m), "media_sha256": hashlib.sha256(m).hexdigest()}
+                for first in range(0, len(p), CHUNK):
+                    part = p[first : first + CHUNK]
+                    if held and len(held) + len(part) > CHUNK:
+                        flush()
+                    rows.append(about | {"first_sample": first, "count": len(part), "at": len(held), "frame": None, "packed": None, "size": None})
+                    held += part.tobytes()
+        if out is not None:
+            flush()
+            out.close()
+            with files.create(index) as f, pa.ipc.new_file(f, PCM_INDEX) as w:
+                w.write_table(pa.Table.from_pylist(rows, PCM_INDEX))
+            yield pa.RecordBatch.from_pydict({"path": [path], "index": [index]})
+
+    return collected(stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "path string, index string"))
+
+
+def _payloads(path: str, index: str) -> Iterator[tuple[dict, bytes]]:
+    """(a stream's index row, its samples) of all streams of a file, a frame at a time."""
+    codec, frame, raw, parts = pa.Codec("zstd"), None, b"", []
+    for r in pa.ipc.open_file(files.read(index)).read_all().to_pylist():
+        if r["frame"] != frame:
+            frame, raw = r["frame"], codec.decompress(files.read_at(path, r["frame"], r["packed"]), r["size"], asbytes=True)
+        parts.append(raw[r["at"] : r["at"] + r["count"]])
+        if r["first_sample"] + r["count"] == r["samples"]:
+            yield r, b"".join(parts)
+            parts = []
+
+
+def read_samples(path: str, index: str, doc_id: int | None, start: int, stop: int) -> bytes:
+    """Samples start to stop of a document, by the index alone: only the frames that hold them are read."""
+    codec, out = pa.Codec("zstd"), []
+    for r in pa.ipc.open_file(files.read(index)).read_all().to_pylist():
+        lo, hi = max(start, r["first_sample"]), min(stop, r["first_sample"] + r["count"])
+        if r["doc_id"] == doc_id and lo < hi:
+            raw = codec.decompress(files.read_at(path, r["frame"], r["packed"]), r["size"], asbytes=True)
+            out.append(raw[r["at"] + lo - r["first_sample"] : r["at"] + hi - r["first_sample"]])
+    return b"".join(out)
+
+
 def describe(stored: DataFrame) -> DataFrame:
-    """store()'s rows, read back: sizes, digests and features of what the media column holds."""
+    """store()'s rows, decoded, written as PCM and read back: sizes, digests and features."""
+    manifest = write_pcm(stored)
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, media, payloads in _decoded(batches):
-            raws = [p.tobytes() for p in payloads]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("doc_id"), rows.column("n_bytes"), pa.array([len(r) for r in raws], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in raws]),
-                    pa.array([zlib.crc32(r[-32:]) for r in raws], pa.int64()), pa.array([len(m) for m in media], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([features(p) for p in payloads]),
-                ],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        for b in batches:
+            for f in b.to_pylist():
+                rows = []
+                for r, p in _payloads(f["path"], f["index"]):
+                    rows.append((r["doc_id"], r["n_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), r["media_bytes"], r["media_sha256"], features(np.frombuffer(p, np.uint8))))
+                    if len(rows) == 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    spread = manifest.repartition(max(1, stored.sparkSession.sparkContext.defaultParallelism), "path")
+    return spread.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -1,17 +1,20 @@
 """Chat formatting by quotation linking.
 
-A line's quote level is the number of > signs before it. Quoted lines are normalised (lower case, one blank for any run of
-white space) and hashed; a message replies to the earlier message of its conversation that has most of its outermost quoted
-lines as own lines (the latest of equals). Conversations are put in reply order, each reply after what it answers and before
-later messages that answer nothing, and messages keep only what is not quoted.
+A line's quote level is the number of > signs before it. Neighbouring lines of one level make a passage; a passage is
+normalised (lower case, one blank for any run of white space, so wrapping doesn't matter) and hashed. What a message quotes
+are its passages of the outermost level, and each line of theirs; what it says are its own paragraphs, their lines, and all
+of them as one. A message replies to the earlier message of its conversation that says most of what it quotes (the latest
+of equals). Units meet by hash, and the link compares their texts.
 
-All of it is DataFrame expressions. The link of a quoted line is an as-of lookup by a window over the occurrences of one
-line in one conversation, of lines that are quoted at all.
+Conversations are put in reply order, each reply after what it answers and before later messages that answer nothing, and
+messages keep only what is not quoted. Depths, sizes of subtrees and places come from pointer doubling over the replies:
+log2 of the longest chain rounds of joins, with a row a message, however long the chain. Places of messages that answer
+nothing are counted over range-partitioned rows, so that one conversation may be split over many tasks.
 
 Defined results: null texts are empty messages; messages without quotes, or whose quotes are found nowhere before, start a
 thread; lines of nothing but quote signs link nothing; messages with equal conv_id and turn share their links and are
-ordered by role and text; rows with a null conv_id or turn are single messages; other columns of the input, of whatever
-name, are ignored.
+ordered by role and text; rows with a null conv_id or turn are single messages at position 1; repeated rows stay; other
+columns of the input, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -32,64 +35,109 @@ def normalised(line: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(line, _SIGNS, ""), r"\s+", " ")))
 
 
+def _runs(parsed: Column) -> Column:
+    """Arrays of the neighbouring lines of equal level; a line that holds nothing belongs to none."""
+    places = F.sequence(F.lit(0), F.size(parsed) - 1)
+
+    def parts(i: Column, j: Column) -> Column:
+        x, y = F.get(parsed, i), F.get(parsed, j)
+        return (x["line"] != "") & (F.coalesce(y["line"], F.lit("")) == "") | (x["line"] != "") & (x["level"] != y["level"])
+
+    first, last = F.filter(places, lambda i: parts(i, i - 1)), F.filter(places, lambda i: parts(i, i + 1))
+    return F.zip_with(first, last, lambda i, j: F.slice(parsed, i + 1, j - i + 1))
+
+
+def _said(passage: Column) -> Column:
+    return F.array_join(F.transform(passage, lambda y: y["line"]), " ")
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (without quotes), quoted and own: arrays of (level, hash) of the lines that hold anything."""
+    """conv_id, turn, role, text (without quotes), n_quoted lines, and quoted and own: the distinct units (normalised texts) of a message."""
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\r?\n")
-    parsed = F.transform("lines", lambda x: F.struct(quote_level(x).alias("level"), normalised(x).alias("line")))
-    hashed = lambda keep: F.transform(F.filter("parsed", lambda p: keep(p["level"]) & (p["line"] != "")), lambda p: F.struct(p["level"].alias("level"), F.xxhash64(p["line"]).alias("hash")))
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), lines.alias("lines"))
-    return base.withColumn("parsed", parsed).select(
-        "conv_id", "turn", "role",
-        F.trim(F.array_join(F.filter("lines", lambda x: quote_level(x) == 0), "\n")).alias("text"),
-        hashed(lambda v: v > 0).alias("quoted"), hashed(lambda v: v == 0).alias("own"),
+    parsed = base.withColumn("parsed", F.transform("lines", lambda x: F.struct(quote_level(x).alias("level"), normalised(x).alias("line"))))
+    runs = parsed.withColumn("runs", _runs(F.col("parsed")))
+    level = F.array_min(F.transform(F.filter("parsed", lambda p: (p["level"] > 0) & (p["line"] != "")), lambda p: p["level"]))
+    units = lambda wanted: F.array_distinct(F.concat(F.transform(wanted, _said), F.flatten(F.transform(wanted, lambda r: F.transform(r, lambda y: y["line"])))))
+    outer = F.filter("runs", lambda r: r[0]["level"] == level)
+    own = F.filter("runs", lambda r: r[0]["level"] == 0)
+    whole = F.array_join(F.transform(own, _said), " ")
+    return runs.select(
+        "conv_id", "turn", "role", F.trim(F.array_join(F.filter("lines", lambda x: quote_level(x) == 0), "\n")).alias("text"),
+        F.size(F.filter("parsed", lambda p: (p["level"] > 0) & (p["line"] != ""))).cast("long").alias("n_quoted"),
+        F.when(level.isNull(), F.array().cast("array<string>")).otherwise(units(outer)).alias("quoted"),
+        F.array_distinct(F.concat(units(own), F.when(F.size(own) > 1, F.array(whole)).otherwise(F.array().cast("array<string>")))).alias("own"),
     )
 
 
 def reply_links(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent): of each message that quotes an earlier one, the turn it answers."""
-    outer = F.expr("filter(quoted, q -> q.level = array_min(transform(quoted, x -> x.level)))")
-    quoted = parsed.where(F.size("quoted") > 0).select("conv_id", "turn", F.explode(outer).alias("q")).select("conv_id", "turn", F.col("q.hash").alias("hash")).distinct()
-    own = parsed.select("conv_id", "turn", F.explode("own").alias("o")).select("conv_id", "turn", F.col("o.hash").alias("hash")).distinct()
+    """(conv_id, turn, parent, matched): of each message that quotes an earlier one, the turn it answers and how many of its units that one says."""
+    unit = lambda c: parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(c).alias("unit")).distinct().withColumn("hash", F.xxhash64("unit"))
+    quoted, own = unit("quoted"), unit("own")
     own = own.join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
     events = quoted.withColumn("origin", F.lit(None).cast("long")).unionByName(own.withColumn("origin", F.col("turn")))
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id", "hash", "unit").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     met = events.withColumn("parent", F.max("origin").over(earlier)).where("origin is null and parent is not null")
     counts = met.groupBy("conv_id", "turn", "parent").agg(F.count("*").alias("n"))
     return counts.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "parent")).alias("best")).select("conv_id", "turn", "best.parent", F.col("best.n").alias("matched"))
 
 
-def thread_paths(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, path) of every message that answers another: the turns from its thread's first message to itself.
-
-    Pointer doubling: each round puts the path of a message's furthest known ancestor before its own.
-    """
-    now = materialize(links.select("conv_id", "turn", F.col("parent").alias("up"), F.array("parent", "turn").alias("path")), "threads")
-    while not now.isEmpty():
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("further"), F.col("path").alias("before"))
-        joined = now.join(above, ["conv_id", "up"], "left")
-        grown = joined.select(
-            "conv_id", "turn", F.coalesce("further", "up").alias("up"),
-            F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat(F.col("before"), F.expr("slice(path, 2, size(path))"))).alias("path"), F.col("further").isNotNull().alias("moved"),
-        )
+def _doubled(now: DataFrame, value: str, down: bool) -> DataFrame:
+    """(conv_id, turn, value) of nodes (conv_id, turn, up, value): value summed over a node's ancestors and itself, or over its subtree (down)."""
+    now = materialize(now, "threads")
+    while not now.where("up is not null").isEmpty():
+        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("further"), F.col(value).alias("more"))
+        if down:
+            below = now.where("up is not null").groupBy("conv_id", "up").agg(F.sum(value).alias("more")).withColumnRenamed("up", "turn")
+            total = now.join(below, ["conv_id", "turn"], "left").select("conv_id", "turn", "up", (F.col(value) + F.coalesce("more", F.lit(0))).alias(value))
+            grown = total.join(above.drop("more"), ["conv_id", "up"], "left").select("conv_id", "turn", F.col("further").alias("up"), value)
+        else:
+            joined = now.join(above, ["conv_id", "up"], "left")
+            grown = joined.select("conv_id", "turn", F.col("further").alias("up"), (F.col(value) + F.coalesce("more", F.lit(0))).alias(value))
         now = materialize(grown, "threads")
-        if now.where("moved").isEmpty():
-            break
-        now = now.drop("moved")
-    return now.select("conv_id", "turn", "path")
+    return now.select("conv_id", "turn", value)
+
+
+def thread_places(parsed: DataFrame, links: DataFrame) -> DataFrame:
+    """(conv_id, turn, parent, top, depth, place) of the nodes of threads: the turn answered, the thread's first turn, the replies above, the rows before in the thread."""
+    ends = links.select("conv_id", "turn", "parent").unionByName(links.select("conv_id", F.col("parent").alias("turn"), F.lit(None).cast("long").alias("parent")))
+    rows = parsed.groupBy("conv_id", "turn").agg(F.count("*").alias("n"))
+    nodes = materialize(ends.groupBy("conv_id", "turn").agg(F.max("parent").alias("up")).join(rows, ["conv_id", "turn"]), "thread-nodes")
+    if nodes.isEmpty():
+        return nodes.select("conv_id", "turn", F.col("up").alias("parent"), F.col("turn").alias("top"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("place"))
+    size = _doubled(nodes.select("conv_id", "turn", "up", F.col("n").alias("size")), "size", True)
+    above = nodes.select("conv_id", F.col("turn").alias("up"), F.col("n").alias("above"))
+    replies = _running(nodes.where("up is not null").select("conv_id", "turn", "up").join(size, ["conv_id", "turn"]), ["conv_id", "up"], ["turn"], "size")
+    steps = replies.join(above, ["conv_id", "up"]).select("conv_id", "turn", "up", (F.col("before") + F.col("above")).alias("place"))
+    place = _doubled(steps.unionByName(nodes.where("up is null").select("conv_id", "turn", "up", F.lit(0).cast("long").alias("place"))), "place", False)
+    depth = _doubled(nodes.select("conv_id", "turn", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth")), "depth", False)
+    top = _doubled(nodes.select("conv_id", "turn", "up", F.when(F.col("up").isNull(), F.col("turn")).otherwise(0).cast("long").alias("top")), "top", False)
+    out = nodes.select("conv_id", "turn", F.col("up").alias("parent"))
+    for part in (top, depth, place):
+        out = out.join(part, ["conv_id", "turn"])
+    return out
+
+
+def _running(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
+    """rows with `before`: the sum of value over the rows of the key that come before. Rows are range-partitioned, so that a key may stretch over many tasks."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(rows.repartitionByRange(parts, *key, *order).withColumn("part", F.spark_partition_id()), "ranged-rows")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*key, "part").agg(F.sum(value).alias("n")).withColumn("_start", F.sum("n").over(earlier(Window.partitionBy(*key).orderBy("part"))))
+    started = sums.where("_start > 0").select(*key, "part", "_start")
+    local = ranged.withColumn("_local", F.sum(value).over(earlier(Window.partitionBy(*key, "part").orderBy(*order))))
+    return local.join(started, [*key, "part"], "left").withColumn("before", F.coalesce("_local", F.lit(0)) + F.coalesce("_start", F.lit(0))).drop("part", "_local", "_start")
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
     """One row a message: conv_id, turn, role, text without quotes, n_quoted lines, parent_turn, depth and position in reply order."""
     parsed = materialize(parse(messages), "parsed-messages")
-    links = materialize(reply_links(parsed), "reply-links")
-    paths = thread_paths(links)
-    known = parsed.join(links, ["conv_id", "turn"], "left").join(paths, ["conv_id", "turn"], "left")
-    path = F.coalesce("path", F.array("turn"))
-    order = Window.partitionBy("conv_id").orderBy("path", "role", "text")
-    return known.withColumn("path", path).select(
-        "conv_id", "turn", "role", "text", F.size("quoted").cast("long").alias("n_quoted"), F.col("parent").alias("parent_turn"),
-        (F.size("path") - 1).cast("long").alias("depth"), F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), F.lit(1)).otherwise(F.row_number().over(order)).cast("long").alias("position"),
-    )
+    places = materialize(thread_places(parsed, materialize(reply_links(parsed), "reply-links")), "thread-places")
+    known = parsed.join(places, ["conv_id", "turn"], "left").withColumns({"top": F.coalesce("top", "turn"), "place": F.coalesce("place", F.lit(0)), "depth": F.coalesce("depth", F.lit(0))})
+    order = ["top", "place", "turn", "role", "text"]
+    ordered = _running(known.select("conv_id", *order, "n_quoted", F.col("parent").alias("parent_turn"), "depth", F.col("turn").isNotNull().cast("int").alias("one")), ["conv_id"], order, "one")
+    single = F.col("conv_id").isNull() | F.col("turn").isNull()
+    return ordered.select("conv_id", "turn", "role", "text", "n_quoted", "parent_turn", "depth", F.when(single, F.lit(1)).otherwise(F.col("before") + 1).cast("long").alias("position"))
 
 
 def conversations(ordered: DataFrame) -> DataFrame:

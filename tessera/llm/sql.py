@@ -42,19 +42,26 @@ FROM d JOIN reach ON reach.a = d.r JOIN d e ON e.r = reach.b LEFT JOIN n ON n.r
 """
 
 OP2 = r"""
-WITH m AS (SELECT conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS lines FROM conversations),
-l AS (SELECT conv_id, turn, role, lines, list_transform(lines, lambda x: {'level': len(regexp_replace(regexp_extract(x, '^(?:[ \t]{0,3}>)+[ \t]?'), '[^>]', '', 'g')),
-        'line': trim(lower(regexp_replace(regexp_replace(x, '^(?:[ \t]{0,3}>)+[ \t]?', ''), '\s+', ' ', 'g')))}) AS p FROM m),
-q AS (SELECT DISTINCT conv_id, turn, e.line AS line FROM (SELECT conv_id, turn, unnest(list_filter(p, lambda y: y.line <> '' AND y.level = list_min(list_transform(list_filter(p, lambda z: z.level > 0 AND z.line <> ''), lambda z: z.level)))) AS e FROM l)),
-o AS (SELECT DISTINCT conv_id, turn, e.line AS line FROM (SELECT conv_id, turn, unnest(list_filter(p, lambda y: y.line <> '' AND y.level = 0)) AS e FROM l)),
-found AS (SELECT q.conv_id, q.turn, q.line, max(o.turn) AS parent FROM q JOIN o ON o.conv_id = q.conv_id AND o.line = q.line AND o.turn < q.turn GROUP BY 1, 2, 3),
+WITH m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS lines FROM conversations),
+x AS (SELECT r, conv_id, turn, i, lines[i] AS raw, len(regexp_replace(regexp_extract(lines[i], '^(?:[ \t]{0,3}>)+[ \t]?'), '[^>]', '', 'g')) AS level,
+        trim(lower(regexp_replace(regexp_replace(lines[i], '^(?:[ \t]{0,3}>)+[ \t]?', ''), '\s+', ' ', 'g'))) AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM m)),
+b AS (SELECT *, CASE WHEN coalesce(lag(line) OVER w, '') = '' OR lag(level) OVER w <> level THEN 1 ELSE 0 END AS fresh FROM x WINDOW w AS (PARTITION BY r ORDER BY i)),
+k AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM b WHERE line <> ''),
+p AS (SELECT r, conv_id, turn, run, any_value(level) AS level, string_agg(line, ' ' ORDER BY i) AS unit FROM k GROUP BY r, conv_id, turn, run),
+u AS (SELECT r, conv_id, turn, level, unit FROM p UNION SELECT r, conv_id, turn, level, line FROM k
+      UNION SELECT r, conv_id, turn, 0, string_agg(unit, ' ' ORDER BY run) FROM p WHERE level = 0 GROUP BY r, conv_id, turn),
+low AS (SELECT r, min(level) AS level FROM u WHERE level > 0 GROUP BY r),
+q AS (SELECT DISTINCT conv_id, turn, unit FROM u JOIN low USING (r, level)),
+o AS (SELECT DISTINCT conv_id, turn, unit FROM u WHERE level = 0),
+found AS (SELECT q.conv_id, q.turn, q.unit, max(o.turn) AS parent FROM q JOIN o ON o.conv_id = q.conv_id AND o.unit = q.unit AND o.turn < q.turn GROUP BY 1, 2, 3),
 links AS (SELECT conv_id, turn, max({'n': n, 'parent': parent}).parent AS parent FROM (SELECT conv_id, turn, parent, count(*) AS n FROM found GROUP BY 1, 2, 3) GROUP BY 1, 2),
-path AS (WITH RECURSIVE r AS (SELECT l.conv_id, l.turn, [l.turn] AS path FROM (SELECT DISTINCT conv_id, turn FROM l) l LEFT JOIN links k USING (conv_id, turn) WHERE k.parent IS NULL
-         UNION ALL SELECT k.conv_id, k.turn, list_append(r.path, k.turn) FROM r JOIN links k ON k.conv_id = r.conv_id AND k.parent = r.turn) SELECT * FROM r),
-f AS (SELECT l.conv_id, l.turn, role, trim(array_to_string(list_transform(list_filter(list_zip(lines, p), lambda z: z[2].level = 0), lambda z: z[1]), chr(10))) AS text,
-        CAST(len(list_filter(p, lambda y: y.level > 0 AND y.line <> '')) AS BIGINT) AS n_quoted, k.parent AS parent_turn, path.path
-      FROM l LEFT JOIN links k USING (conv_id, turn) JOIN path USING (conv_id, turn))
-SELECT conv_id, turn, role, text, n_quoted, parent_turn, CAST(len(path) - 1 AS BIGINT) AS depth, row_number() OVER (PARTITION BY conv_id ORDER BY path, role, text) AS position FROM f
+path AS (WITH RECURSIVE t AS (SELECT l.conv_id, l.turn, [l.turn] AS path FROM (SELECT DISTINCT conv_id, turn FROM m) l LEFT JOIN links k USING (conv_id, turn) WHERE k.parent IS NULL
+         UNION ALL SELECT k.conv_id, k.turn, list_append(t.path, k.turn) FROM t JOIN links k ON k.conv_id = t.conv_id AND k.parent = t.turn) SELECT * FROM t),
+f AS (SELECT m.conv_id, m.turn, m.role, (SELECT coalesce(trim(string_agg(x.raw, chr(10) ORDER BY x.i) FILTER (WHERE x.level = 0)), '') FROM x WHERE x.r = m.r) AS text,
+        (SELECT count(*) FILTER (WHERE x.level > 0 AND x.line <> '') FROM x WHERE x.r = m.r) AS n_quoted, k.parent AS parent_turn, path.path
+      FROM m LEFT JOIN links k USING (conv_id, turn) JOIN path ON path.conv_id IS NOT DISTINCT FROM m.conv_id AND path.turn IS NOT DISTINCT FROM m.turn)
+SELECT conv_id, turn, role, text, n_quoted, parent_turn, CAST(len(path) - 1 AS BIGINT) AS depth,
+       CASE WHEN conv_id IS NULL OR turn IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY path, role, text) END AS position FROM f
 """
 
 SQL = {"op2_quotation_linking": OP2, "op4_jaccard_join": OP4, "op5_warc": OP5, "op7_decontamination": OP7}

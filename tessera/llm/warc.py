@@ -31,12 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .shared import collected, new_dir
+from .shared import collected, join_split, materialize, new_dir
 
 #: What WARC-Date says of every record; a parameter, as runs must not differ by their clock.
 DATE = "2024-01-01T00:00:00Z"
-#: Pages of one payload meet their response's row in so many tasks.
-SALT = 16
 _SPACE = uuid.UUID("5f0c7a4e-6d0e-5c1c-9a55-0d8f3e3a1b2c")
 
 
@@ -196,11 +194,9 @@ def assign_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     with_key = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("key"))
     small = F.octet_length("html") < min_bytes
-    shared = with_key.where(~small).groupBy("key").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).where("n > 1").select("key", "chosen")
-    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    left = with_key.withColumn("salt", F.when(small, F.lit(-1)).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")))
+    shared = with_key.where(~small).groupBy("key").agg(F.max("page_id").alias("chosen"), F.count("*").alias("n")).where("n > 1").select("key", "chosen", "n")
     revisit = F.col("chosen").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("chosen"))
-    return left.join(salted, ["key", "salt"], "left").select(
+    return join_split(with_key, materialize(shared, "payloads"), ["key"], "n", pages.count(), "left").select(
         "page_id", "url", "html", _base32(F.hex("key")).alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("chosen")).alias("refers_to")
     )
 

@@ -94,6 +94,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def give_back() -> None:
     """Return freed memory to the system: idle workers stay alive between tasks."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -152,13 +153,17 @@ def gather_ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - count - start, count)
 
 
-def differing(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Of each pair of ranges of `size` bytes, one of a and one of b, whether their bytes differ."""
+def differing(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """Of each pair of ranges of `size` bytes, one of a and one of b, whether their bytes differ. About `step` bytes are compared at once."""
     out = np.zeros(len(size), bool)
     some = np.flatnonzero(size)
-    if len(some):
-        n = size[some]
-        out[some] = np.logical_or.reduceat(a[gather_ranges(a_start[some], n)] != b[gather_ranges(b_start[some], n)], np.cumsum(n) - n)
+    ends = np.cumsum(size[some])
+    lo = 0
+    while lo < len(some):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + step, "right")))
+        at, n = some[lo:hi], size[some[lo:hi]]
+        out[at] = np.logical_or.reduceat(a[gather_ranges(a_start[at], n)] != b[gather_ranges(b_start[at], n)], np.cumsum(n) - n)
+        lo = hi
     return out
 
 

@@ -138,12 +138,15 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
     low, middle, rows = join("low", "<u4"), join("middle", "<u2"), join("rows", "<u2")
     sizes = [len(x) // 2 for x in table.column("rows").to_pylist()]
-    line = np.repeat(np.arange(len(sizes)), sizes)
+    line = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     counts = join("counts", "<u4").reshape(len(sizes), -1)
     bits = 17 - counts.shape[1].bit_length()
-    upper = np.repeat(np.tile(np.arange(counts.shape[1]), len(sizes)), counts.ravel()).astype(U64)
-    bucket = np.array(table.column("bucket"), np.int64).astype(U64)[line]
-    return (bucket << U64(16 - bits) | upper) << U64(48) | middle.astype(U64) << U64(32) | low, rows, line, bits
+    bucket = np.array(table.column("bucket"), np.int64).astype(U64)
+    h = np.repeat((bucket[:, None] << U64(16 - bits) | np.arange(counts.shape[1], dtype=U64)).ravel(), counts.ravel())
+    for part, shift in ((middle, 16), (low, 32)):
+        h <<= U64(shift)
+        h |= part
+    return h, rows, line, bits
 
 
 def _count(table: pa.Table) -> pa.Table:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -169,6 +170,18 @@ def join_split(big: DataFrame, small: DataFrame, keys: list[str], weight: str, t
     return big.join(held, keys).unionByName(rest.join(small.where(F.col(weight) <= max(1, total // HOT)), keys, how))
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of the shared folder that nothing will read again, and let Spark drop the shuffles that nobody holds."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
 _NO_ID = -(1 << 63)
 
 

@@ -120,17 +120,46 @@ def brute_repeats(rows, length=400):
 
 def test_suffix_dedup(spark):
     rows = corpus()
-    assert rows_of(suffix.digest(frame(spark, rows))) == brute_repeats(rows)
+    got = suffix.digest(frame(spark, rows))
+    assert rows_of(got.drop("text")) == brute_repeats(rows)
+    assert rows_of(got.select("doc_id", "text")) == sorted(((d, t or "") for d, t in brute_passages(rows)), key=repr)
     assert suffix.digest(frame(spark, [])).count() == 0
 
 
 def test_suffix_dedup_of_periodic_texts_and_short_strings(spark):
     rng = random.Random(2)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 40))) + "xyz" * rng.randrange(0, 30)) for i in range(60)]
-    got = rows_of(suffix.digest(frame(spark, rows), 48))
+    got = rows_of(suffix.digest(frame(spark, rows), 48).drop("text"))
     assert got == brute_repeats(rows, 48)
 
 
+def brute_passages(rows, length=50):
+    """The texts without the words that a run of `length` words covers which starts anywhere else."""
+    seen, cut = defaultdict(int), [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for _, t in rows]
+    for w in cut:
+        for i in range(len(w) - length + 1):
+            seen[tuple(x for *_, x in w[i : i + length])] += 1
+    out = []
+    for (d, t), w in zip(rows, cut, strict=True):
+        raw, gone, whole = (t or "").encode(), set(), sum(x == t for _, x in rows) > 1
+        for i in range(len(w) - length + 1):
+            if seen[tuple(x for *_, x in w[i : i + length])] > 1:
+                gone |= set(range(i, i + length))
+        cut_bytes = {b for x in gone for b in range(w[x][0], w[x + 1][0] if x + 1 in gone else w[x][1])}
+        out.append((d, None if t is None else "" if whole and gone else bytes(b for i, b in enumerate(raw) if i not in cut_bytes).decode()))
+    return sorted(out, key=repr)
+
+
+def test_suffix_dedup_of_words(spark):
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    rows = [*corpus(), (70, passage), (71, f"x {passage} y"), (72, "\n".join(passage.split())), (73, " ".join(passage.split()[:49])), (74, passage.upper()), (75, "q " * 49), (76, "r " * 120)]
+    got = suffix.remove(frame(spark, rows), 50, unit="word")
+    assert rows_of(got.select("doc_id", "text")) == brute_passages(rows)
+    assert rows_of(suffix.remove(frame(spark, rows[:40]), 3, unit="word").select("doc_id", "text")) == brute_passages(rows[:40], 3)
+    assert suffix.remove(frame(spark, []), 50, unit="word").count() == 0
+
+
 def test_suffix_remove_keeps_columns_and_nulls(spark):
     rows = corpus()
     cut = {(r.doc_id, r.text) for r in suffix.remove(frame(spark, rows)).collect()}
@@ -329,6 +358,9 @@ def test_pcm_blocks_of_the_media_column(spark):
     assert b"".join(r.pcm for r in found)[a % 576 :][: b - a] == ("é" * 400000).encode()[a:b] and len(found) == 4
     assert {r.media_sha256 for r in found} == {r.media_sha256 for r in flac.describe(stored.where("doc_id = 50")).collect()}
     assert flac.pcm_blocks(flac.store(frame(spark, []))).count() == 0
+    files = [tuple(r) for r in flac.write_pcm(stored).collect()]
+    for d, t, a, b in ((50, "é" * 400000, 300_001, 600_007), (50, "é" * 400000, 799_990, 900_000), (8, dict(rows)[8], 5, 3000), (8, dict(rows)[8], 7, 7)):
+        assert b"".join(flac.read_samples(*f, d, a, b) for f in files).rstrip(b"\xff") == t.encode()[a:b]
 
 
 def test_warc_round_trip(spark):
@@ -413,6 +445,67 @@ def test_toxicity_chain(spark):
     assert rows[600].score == rows[601].score
     none = toxicity.score(docs, toxicity.train(docs, labels.limit(0)))
     assert {round(r.score, 6) for r in none.collect()} == {0.5}
+    alone = {r.doc_id: r for r in toxicity.score(docs, toxicity.train(docs, labels.drop("quality"))).collect()}
+    assert sum(alone[r.doc_id].predicted == int(r.doc_id % 5 == 0) for r in unseen) / len(unseen) > 0.97  # labels that settle one category alone
+
+
+def test_chain_feeds_out_of_fold_probabilities(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, size = 60, 40
+    texts = [np.unique(rng.integers(0, size, 8)) for _ in range(n)]
+    x, off = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    y = np.stack([rng.integers(0, 2, n), rng.integers(0, 2, n)], 1).astype(float)
+    y[::7, 0] = np.nan
+    seen = []
+    real = toxicity.fit_link
+
+    def watched(x, off, before, y, size):
+        seen.append((off, before, y))
+        return real(x, off, before, y, size, epochs=3)
+
+    monkeypatch.setattr(toxicity, "fit_link", watched)
+    monkeypatch.setattr(toxicity, "LEAST_Z", 0.0)
+    chain = toxicity.fit_chain(x, off, y, ("a", "b"), size)
+    plain = lambda m, t, odds: 1 / (1 + math.exp(-(sum(m.words[w] for w in t) + sum(e * o for e, o in zip(m.earlier, odds, strict=True)) + m.bias)))
+    odds = lambda p: math.log(min(max(p, 1e-3), 0.999) / (1 - min(max(p, 1e-3), 0.999)))
+    known = [i for i in range(n) if not math.isnan(y[i, 0])]
+    folds = []
+    for f in range(3):
+        mine = [i for i in known if i % 3 != f]
+        xs = [texts[i] for i in mine]
+        folds.append(real(np.concatenate(xs), np.concatenate([[0], np.cumsum([len(t) for t in xs])]), np.zeros((len(mine), 0)), y[mine, 0].astype(int), size, epochs=3))
+    want = [plain(folds[i % 3], texts[i], []) for i in range(n)]
+    assert len(seen) == 5 and np.allclose(seen[-1][1][:, 0], want)
+    p = chain.probabilities(x, off)
+    for i, t in enumerate(texts):
+        a = plain(chain.links[0], t, [])
+        assert np.allclose(p[i], [a, plain(chain.links[1], t, [odds(a)])])
+
+
+def test_support_vectors_against_plain_python():
+    rng = random.Random(6)
+    rows = [sorted(rng.sample(range(12), rng.randrange(1, 6))) for _ in range(30)]
+    y = [int(sum(r) % 3 > 0) for r in rows]
+    ratio = []
+    for j in range(12):
+        count = lambda v: 1 + sum(j in r for r, c in zip(rows, y, strict=True) if c == v)  # noqa: B023, E731
+        total = lambda v: 12 + sum(len(r) for r, c in zip(rows, y, strict=True) if c == v)
+        ratio.append(math.log(count(1) / total(1)) - math.log(count(0) / total(0)))
+    got = quality.log_count_ratios([np.array(r) for r in rows], np.array(y), 12)
+    assert np.allclose(got, ratio)
+    scaled = [{j: ratio[j] * quality.weight(len(r)) for j in r} for r in rows]
+    share, sign = sum(y) / len(y), [1 if c else -1 for c in y]
+    most = [0.5 / share if c else 0.5 / (1 - share) for c in y]
+    w, bias = quality.dual_coordinate_descent([np.array(r) for r in rows], np.array(y), got, 1.0, 3000)
+    plain, b, dual = [0.0] * 12, 0.0, [0.0] * len(rows)
+    for _ in range(6000):  # each dual variable in turn, exactly
+        for i, v in enumerate(scaled):
+            step = min(max(dual[i] - (sign[i] * (sum(plain[j] * u for j, u in v.items()) + b) - 1) / (sum(u * u for u in v.values()) + 1), 0), most[i]) - dual[i]
+            dual[i] += step
+            b += step * sign[i]
+            for j, u in v.items():
+                plain[j] += step * sign[i] * u
+    assert np.allclose(w, [plain[j] * ratio[j] for j in range(12)], atol=0.02) and abs(b - bias) < 0.02
 
 
 def test_quotation_linking(spark):

@@ -254,7 +254,7 @@ def _repeated(found: DataFrame) -> DataFrame:
     most = max(1, found.count() // HOT)
     again = materialize(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeated-grams")
     hot = F.broadcast(again.where(F.col("n") > most).select("gram"))
-    rest = found.join(hot, "gram", "left_anti").join(again.where(F.col("n") <= most).select("gram"), "gram", "left_semi")
+    rest = found.join(hot, "gram", "left_anti").join(again.where(F.col("n") <= most).select("gram").hint("merge"), "gram", "left_semi")
     out = materialize(found.join(hot, "gram", "left_semi").unionByName(rest), "repeated-anchors")
     forget(again, found)
     return out

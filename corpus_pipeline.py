@@ -17,30 +17,37 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of label 1. Learnt from what documents these are and the labels' training rows."""
+    """Documents that the classifier predicts to be of label 1. Learnt from what documents these are and the labels' training rows.
+
+    Null and empty texts have the score of the bias alone; repeated rows get equal scores; an empty table gives an empty one.
+    """
     small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep(docs, model).select(*COLUMNS)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates, the document of the smallest doc_id; of repeated rows of that doc_id, one."""
+    """Of each component of near-duplicates, the document of the smallest doc_id; of repeated rows of that doc_id, one. Texts without words are groups of their own and stay."""
     return jaccard.keep_one(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that 400-byte repeats cover; n_chars follows the text."""
-    cut = suffix.remove(docs)
+    """All documents, without passages of fifty words or more that start anywhere else too; n_chars follows the text.
+
+    Null texts stay null, and texts that lose nothing stay as they are; a text that stands in several rows goes whole if it
+    has fifty words.
+    """
+    cut = suffix.remove(docs, suffix.PASSAGE, unit="word")
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark rule does not call contaminated."""
+    """Documents that the benchmark rule does not call contaminated. Null and word-less texts stay, and so do all documents if the benchmark is empty; repeated rows go or stay together."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256, a row a document: null and empty texts have 0 tokens, repeated rows stay."""
     small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 

@@ -20,9 +20,19 @@ def tokens(text: Column) -> Column:
 
 
 def top_tokens(toks: Column, limit: int) -> Column:
-    """The most frequent tokens of a short array, those that come first of equals. For long texts use keywords()."""
-    ranked = F.transform(F.array_distinct(toks), lambda t: F.struct((-F.size(F.filter(toks, lambda x: x == t))).alias("c"), F.array_position(toks, t).alias("p"), t.alias("t")))
-    return F.transform(F.slice(F.array_sort(ranked), 1, limit), lambda s: s["t"])
+    """The most frequent tokens of a short array, those that come first of equals: its sorted tokens, counted run by run. For long texts use keywords()."""
+    kind = "array<struct<c:int,p:int,t:string>>"
+    entry = lambda s: F.array(F.struct((-s["c"]).alias("c"), s["p"].alias("p"), s["t"].alias("t")))
+    start = F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("c"), F.lit(0).alias("p"), F.lit("").alias("t"))
+
+    def add(s: Column, x: Column) -> Column:
+        again = F.struct(s["out"].alias("out"), (s["c"] + 1).alias("c"), s["p"].alias("p"), s["t"].alias("t"))
+        fresh = F.struct(F.concat(s["out"], entry(s)).alias("out"), F.lit(1).alias("c"), x["p"].alias("p"), x["t"].alias("t"))
+        return F.when(x["t"] == s["t"], again).otherwise(fresh)
+
+    placed = F.array_sort(F.transform(toks, lambda t, i: F.struct(F.coalesce(t, F.lit("")).alias("t"), i.alias("p"))))
+    counted = F.aggregate(placed, start, add, lambda s: F.concat(s["out"], entry(s)))
+    return F.transform(F.slice(F.array_sort(F.filter(counted, lambda s: s["c"] < 0)), 1, limit), lambda s: s["t"])
 
 
 def keywords(texts: DataFrame, key: str, text: str, limit: int = 8) -> DataFrame:

@@ -23,6 +23,12 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(fits, dot(a, b) / scale).otherwise(F.lit(0.0))
 
 
+def cosine_of_shared(a: Column, b: Column) -> Column:
+    """Cosine over the dimensions that both have: the longer vector is cut to the shorter one's length."""
+    n = F.least(F.size(a), F.size(b))
+    return F.when(n > 0, cosine(F.slice(a, 1, n), F.slice(b, 1, n))).otherwise(F.lit(0.0))
+
+
 def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
     """A token's dimension: the first four bytes of its SHA-1."""
     return (F.conv(F.substring(F.sha1(token.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
@@ -41,12 +47,15 @@ def hash_embedding(rows: DataFrame, keys: list[str], toks: str, dimensions: int
     return summed.join(norms, keys).select(*keys, "idx", (F.col("s") / F.col("norm")).alias("val"))
 
 
-def sparse_cosine(pairs: DataFrame, emb: DataFrame, left: str, right: str, key: str) -> DataFrame:
-    """pairs with cos: their hash embeddings' dot product, 0 without a common dimension."""
-    a = emb.select(F.col(key).alias(left), "idx", F.col("val").alias("_x"))
-    b = emb.select(F.col(key).alias(right), "idx", F.col("val").alias("_y"))
-    scored = pairs.select(left, right).join(a, left).join(b, [right, "idx"]).groupBy(left, right).agg(F.sum(F.col("_x") * F.col("_y")).alias("cos"))
-    return pairs.join(scored, [left, right], "left").withColumn("cos", F.coalesce("cos", F.lit(0.0)))
+def packed_embedding(rows: DataFrame, keys: list[str], toks: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """rows with their hash embedding as `lookup`, a map of dimension to value. To be stored, and made dense() before pairs are."""
+    held = hash_embedding(rows, keys, toks, dimensions).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("idx", "val"))).alias("lookup"))
+    return rows.join(held, keys, "left")
+
+
+def dense(lookup: Column, dimensions: int = DIMENSIONS) -> Column:
+    """The map as an array of all dimensions, absent ones 0."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at(lookup, i), F.lit(0.0)))
 
 
 def centroid(rows: DataFrame, keys: list[str], vector: str, weight: Column) -> DataFrame:

@@ -7,13 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder if the session names one, else df cached (local runs)."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.cache()
 
-
-def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """(id, label) of every node of edges (a, b), label the smallest id of its component.
 
     Alternating large-star and small-star: every round hooks each node's neighbours to its smallest neighbour, first the

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weights of the path reranker's parts, by profile.
+from .stored import stored
+
+#: Weights of the path reranker's parts, by profile.
 PROFILES = {
     "balanced": dict(similarity=0.56, graph=0.21, path_support=0.09, edge_memory=0.05, confidence=0.04, usage_scale=0.045, usage_cap=0.14, recency=0.015),
     "semantic_heavy": dict(similarity=0.68, graph=0.14, path_support=0.05, edge_memory=0.03, confidence=0.04, usage_scale=0.03, usage_cap=0.10, recency=0.01),
@@ -78,7 +80,7 @@ def relation_noise(signals: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def rerank(rows: DataFrame, profile: str) -> Column:
-    """The total path score. rows: cos, g, n_paths.., usage, conf; nulls of path features count as 0."""
+    """The total path score. rows: cos, g, n_paths.., usage, conf and, where relations are audited, relation_noise; nulls of path features count as 0."""
     w = PROFILES[profile]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     similarity = F.when((F.col("g") >= 0.8) & (zero("path_support") >= 0.45), F.greatest(F.lit(0.0), "cos")).otherwise(F.col("cos"))
@@ -86,27 +88,50 @@ def rerank(rows: DataFrame, profile: str) -> Column:
     recency = F.when(F.col("usage") > 0, w["recency"]).otherwise(0.0)
     return (
         w["similarity"] * similarity + w["graph"] * F.col("g") + w["path_support"] * zero("path_support") + w["edge_memory"] * zero("edge_memory")
-        + usage + recency + w["confidence"] * F.col("conf") - zero("noise") - zero("weak")
+        + usage + recency + w["confidence"] * F.col("conf") - zero("noise") - zero("weak") - (zero("relation_noise") if "relation_noise" in rows.columns else 0.0)
     )
 
 
-def pagerank(priors: DataFrame, edges: DataFrame, steps: int = 18, damping: float = 0.78, cut: int = 6) -> DataFrame:
-    """(q, node, rank) after a fixed number of steps, all queries in one loop. Nodes without edges out lose their rank.
+def pagerank(priors: DataFrame, edges: DataFrame, part: str, steps: int = 18, damping: float = 0.78, rows: int = 400_000) -> DataFrame:
+    """(q, node, rank) after a fixed number of steps. Nodes without edges out lose their rank.
 
-    priors: (q, node, p), each query's summing to 1. Lineage is cut every `cut` steps by a checkpoint in the shared folder
-    if the session has one.
+    priors: (part, q, node, p), each query's summing to 1; edges: (part, src, dst, weight). A query's nodes and their edges
+    are of its part. A part's queries go in chunks of about `rows` prior rows; a task takes all steps for its chunk, as
+    products of its ranks with the part's edges. One shuffle in all; a task holds its chunk and one part's edges.
     """
-    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
-    start = priors.select("q", "node", "p")
-    ranks = start.withColumn("rank", F.col("p"))
-    durable = bool(priors.sparkSession.conf.get("spark.checkpoint.dir", None))
-    for i in range(1, steps + 1):
-        moved = ranks.select("q", F.col("node").alias("src"), "rank").join(share, "src").groupBy("q", F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        ranks = start.join(moved, ["q", "node"], "left").select("q", "node", "p", ((1 - damping) * F.col("p") + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
-        if durable and i % cut == 0 and i < steps:
-            ranks = ranks.checkpoint()
-    return ranks.select("q", "node", "rank")
+    import numpy as np
+    import pyarrow as pa
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, node, p = (left.column(c).to_numpy() for c in ("q", "node", "p"))
+        src, dst, weight = (right.column(c).to_numpy() for c in ("src", "dst", "weight"))
+        queries, row = np.unique(q, return_inverse=True)
+        nodes, col = np.unique(node, return_inverse=True)
+        prior, there = np.zeros((len(queries), len(nodes))), np.zeros((len(queries), len(nodes)))
+        prior[row, col], there[row, col] = p, 1.0
+        sources, s = np.unique(src, return_inverse=True)
+        share = weight / np.bincount(s, weights=weight)[s] if len(src) else weight
+        at = lambda x: np.minimum(np.searchsorted(nodes, x), max(0, len(nodes) - 1))
+        known = (nodes[at(src)] == src) & (nodes[at(dst)] == dst) if len(nodes) else np.zeros(len(src), bool)
+        a, b, share = at(src)[known], at(dst)[known], share[known]
+        by = np.argsort(b, kind="stable")
+        a, b, share = a[by], b[by], share[by]
+        ends, first = np.unique(b, return_index=True)
+        rank = prior
+        for _ in range(steps if len(a) else 0):
+            moved = np.zeros_like(rank)
+            moved[:, ends] = np.add.reduceat(rank[:, a] * share, first, axis=1)
+            rank = ((1 - damping) * prior + damping * moved) * there
+        if not len(a):
+            rank = prior * ((1 - damping) if steps else 1.0)
+        return pa.table({"q": left.column("q"), "node": left.column("node"), "rank": rank[row, col]})
+
+    chunks = stored(priors.groupBy(part).agg(F.ceil(F.count("*") / rows).cast("int").alias("_chunks")))
+    left = priors.join(chunks, part).select(part, F.pmod(F.xxhash64("q"), F.col("_chunks")).cast("int").alias("_chunk"), "q", "node", F.col("p").cast("double").alias("p"))
+    held = edges.select(F.col(part).alias("_part"), "src", "dst", "weight").join(chunks.withColumnRenamed(part, "_part"), "_part")
+    right = held.select(F.col("_part"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "src", "dst", F.col("weight").cast("double").alias("weight"))
+    kinds = dict(priors.dtypes)
+    return left.groupBy(part, "_chunk").cogroup(right.groupBy("_part", "_chunk")).applyInArrow(walk, f"q {kinds['q']}, node {kinds['node']}, rank double")
 
 
 def ranking_metrics(hits: DataFrame, support: DataFrame, queries: DataFrame, k: int, keys: list[str]) -> DataFrame:

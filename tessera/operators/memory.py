@@ -48,8 +48,9 @@ def shared_keyword_pairs(memories: DataFrame, key: str, keywords: str, limit: in
 
 
 def hybrid_score(cos: Column, kw_a: Column, kw_b: Column, ev_a: Column, ev_b: Column, answer_a: Column, answer_b: Column) -> Column:
+    """kw_a and kw_b: the sides' content() keywords."""
     same = F.when((answer_a != "") & (answer_a == answer_b), 1.0).otherwise(0.0)
-    return 0.35 * F.greatest(F.lit(0.0), cos) + 0.35 * text.jaccard(content(kw_a, 16), content(kw_b, 16)) + 0.20 * text.jaccard(ev_a, ev_b) + 0.10 * F.coalesce(same, F.lit(0.0))
+    return 0.35 * F.greatest(F.lit(0.0), cos) + 0.35 * text.jaccard(kw_a, kw_b) + 0.20 * text.jaccard(ev_a, ev_b) + 0.10 * F.coalesce(same, F.lit(0.0))
 
 
 def greedy_clusters(memories: DataFrame, group: str, key: str, vector: str, threshold: float = 0.82) -> DataFrame:

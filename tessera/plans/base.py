@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vectors, words
+from tessera.operators.stored import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +28,24 @@ def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(used, v.id == used.user_id, "left").select("id", "grp", "v", vectors.norm(F.col("v")).alias("norm"), F.coalesce("n", F.lit(0)).alias("usage"), F.lit(CONFIDENCE).alias("conf"))
 
 
+def tiled(a: DataFrame, b: DataFrame, context: str, a_id: str, b_id: str, tile: int = 4096) -> DataFrame:
+    """All pairs of a and b within a context, as tiles of about tile x tile rows: a context of any size is many tasks' work, and a row goes to as many tiles as its context has on a side."""
+    most = a.groupBy(context).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n, parts = max(1, -(-most // tile)), int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = a.withColumn("_i", place(a_id)).withColumn("_j", every).repartition(parts, context, "_i", "_j")
+    right = b.withColumn("_j", place(b_id)).withColumn("_i", every).repartition(parts, context, "_i", "_j")
+    return left.join(right, [context, "_i", "_j"]).drop("_i", "_j")
+
+
 def sim(nodes: DataFrame) -> DataFrame:
     """(src, dst, grp, cos, usage, conf): each memory as a query against the others of its context group; usage and conf are dst's."""
+    nodes = stored(nodes)
     a = nodes.select("grp", F.col("id").alias("src"), F.col("v").alias("va"), F.col("norm").alias("na"))
     b = nodes.select("grp", F.col("id").alias("dst"), F.col("v").alias("vb"), F.col("norm").alias("nb"), "usage", "conf")
     cos = F.round(vectors.cosine(F.col("va"), F.col("vb"), F.col("na"), F.col("nb")), 9)
-    return a.join(b, "grp").where("src <> dst").select("src", "dst", "grp", cos.alias("cos"), "usage", "conf")
+    return tiled(a, b, "grp", "src", "dst").where("src <> dst").select("src", "dst", "grp", cos.alias("cos"), "usage", "conf")
 
 
 VEC = f"""vec AS (SELECT vec_id AS id, label AS grp, CAST(embedding AS DOUBLE[]) AS v, coalesce(n, 0) AS usage, CAST({CONFIDENCE} AS DOUBLE) AS conf
@@ -79,7 +92,7 @@ def sql_entities(text_sql: str, limit: int = 8) -> str:
 
 
 def msg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")  # the work on a text is far more than moving it, and a file may be one split
     toks = text.tokens(F.col("text"))
     base = c.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("conv_id").alias("conv"), "turn", "role", "text", toks.alias("toks"), text.surface_entities(F.col("text")).alias("ents"))
     return base.withColumn("kw", text.top_tokens(F.col("toks"), 8))
@@ -88,7 +101,7 @@ def msg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs(messages: DataFrame, columns: list[str]) -> DataFrame:
     """All ordered pairs of different messages of one conversation, the context that bounds them, with columns of both (a_.., b_..)."""
     side = lambda p: messages.select("conv", *[F.col(c).alias(f"{p}_{c}") for c in ("id", *columns)])
-    return side("a").join(side("b"), "conv").where("a_id <> b_id")
+    return tiled(side("a"), side("b"), "conv", "a_id", "b_id").where("a_id <> b_id")
 
 
 def message_embeddings(messages: DataFrame) -> DataFrame:
@@ -107,7 +120,7 @@ PAIRS = """pairs AS MATERIALIZED (SELECT a.conv AS conv, a.id AS a_id, b.id AS b
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pairs() of messages with cos."""
-    m = msg(spark, sf_dir)
-    p = pairs(m, ["turn", "role", "kw", "ents"])
-    return vectors.sparse_cosine(p, message_embeddings(m), "a_id", "b_id", "id").withColumn("cos", F.round("cos", 9))
+    """pairs() of messages with cos. Messages are tokenised and embedded once; a pair's score needs no shuffle of its own."""
+    m = stored(vectors.packed_embedding(msg(spark, sf_dir), ["id"], "toks").drop("toks", "text"))
+    p = pairs(m.withColumn("v", vectors.dense(F.col("lookup"))), ["turn", "role", "kw", "ents", "v"])
+    return p.withColumn("cos", F.round(vectors.dot(F.col("a_v"), F.col("b_v")), 9)).drop("a_v", "b_v")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
+from tessera.operators.stored import stored
 
 from . import base
 from .base import EDGES, EMB, MSG, PAIRS, SIM, VEC
@@ -144,7 +145,7 @@ EXPANSION = _expansion_sql("steps")
 def expansion(spark: SparkSession, sf_dir: str, directed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sim, signals, best) of two hops from each query's two most similar memories; the best four are the base."""
     nodes = base.vec(spark, sf_dir)
-    s = base.sim(nodes).persist()  # scored once for hits, edges and final scores
+    s = stored(base.sim(nodes))  # scored once for hits, edges and final scores
     e = base.top_edges(s, "cos").select("src", "dst", F.col("cos").alias("weight"))
     hits = graph.top_k(s, "src", "cos", "dst", K).select(F.col("src").alias("q"), F.col("dst").alias("node"), "rank")
     steps = e.select(F.col("src").alias("node"), F.col("dst").alias("next"), "src", "dst", "weight") if directed else graph.neighbours(e)
@@ -172,14 +173,14 @@ PROFILE_ROWS = "profiles AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {', '
 RERANK = (VEC, SIM, EDGES, BASE_HITS, NEIGHBOURS, EXPANSION, FEATURES, PROFILE_ROWS, RANKED)
 
 
-def reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(sim, best paths with their score in every profile)."""
+def reranked(spark: SparkSession, sf_dir: str, profiles: tuple[str, ...] = tuple(graph.PROFILES)) -> tuple[DataFrame, DataFrame]:
+    """(sim, best paths with their score in each of the profiles)."""
     s, signals, best = expansion(spark, sf_dir)
     used = base.vec(spark, sf_dir).select("id", "usage")
     with_acts = signals.withColumn("relation", F.lit("embedding_similarity")).withColumn("prior", F.expr("path[size(path) - 2]"))
     with_acts = with_acts.join(used.select(F.col("id").alias("prior"), F.col("usage").alias("u1")), "prior").join(used.select(F.col("id").alias("node"), F.col("usage").alias("u2")), "node").withColumn("activations", F.least("u1", "u2"))
     rows = best.join(s.select(F.col("src").alias("q"), F.col("dst").alias("node"), "cos", "usage", "conf"), ["q", "node"]).join(graph.path_features(with_acts), ["q", "node"], "left")
-    scored = F.array(*[F.struct(F.lit(p).alias("profile"), F.round(graph.rerank(rows, p), 9).alias("score")) for p in graph.PROFILES])
+    scored = F.array(*[F.struct(F.lit(p).alias("profile"), F.round(graph.rerank(rows, p), 9).alias("score")) for p in profiles])
     return s, rows.withColumn("_s", F.explode(scored)).select("q", "node", "path", "g", F.coalesce("n_paths", F.lit(0)).alias("n_paths"), F.coalesce("path_support", F.lit(0.0)).alias("path_support"), "_s.profile", "_s.score")
 
 
@@ -193,11 +194,12 @@ anch AS (SELECT r.*, h.rank AS anchor_rank, h.rank IS NOT NULL AND h.rank <= CAS
 final AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY profile, q ORDER BY anchor DESC, CASE WHEN anchor THEN anchor_rank END, score DESC, node) AS rank FROM anch QUALIFY rank <= 4)"""
 
 
-def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def anchored(spark: SparkSession, sf_dir: str, profiles: tuple[str, ...] = tuple(graph.PROFILES)) -> DataFrame:
     """Final four: one vector hit keeps its place (two if the expanded paths have little support), then the best scores."""
     from pyspark.sql import Window
 
-    s, r = reranked(spark, sf_dir)
+    s, r = reranked(spark, sf_dir, profiles)
+    r = stored(r)
     hits = graph.top_k(s, "src", "cos", "dst", K).select(F.col("src").alias("q"), F.col("dst").alias("node"), F.col("rank").alias("anchor_rank"))
     support = r.groupBy("profile", "q").agg(F.avg(F.when(F.size("path") > 1, F.col("path_support"))).alias("s"))
     keep = F.when(F.coalesce("s", F.lit(0.0)) < 0.75, 2).otherwise(1)
@@ -251,15 +253,15 @@ def _walk_sql(steps: int) -> list[str]:
 
 @query(with_(VEC, SIM, EDGES, PRIORS, SHARE, *_walk_sql(18)) + "SELECT r18.q AS query_id, r18.node AS node_id, round(rank, 6) AS pagerank, round(0.52 * rank + 0.40 * cos + 0.03 * conf, 6) AS score FROM r18 JOIN sim ON src = r18.q AND dst = r18.node")
 def ppr_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personalised PageRank of all queries in one loop of 18 steps."""
+    """Personalised PageRank of all queries, 18 steps."""
     from pyspark.sql import Window
 
-    s = base.sim(base.vec(spark, sf_dir))
-    e = base.top_edges(s, "cos").select("src", "dst", F.col("cos").alias("weight"))
+    s = stored(base.sim(base.vec(spark, sf_dir)))
+    e = stored(base.top_edges(s, "cos").select("grp", "src", "dst", F.col("cos").alias("weight")))
     prior = F.greatest(F.lit(0.0), "cos")
     total = F.sum(prior).over(Window.partitionBy("src"))
-    priors = s.select(F.col("src").alias("q"), F.col("dst").alias("node"), (prior / F.when(total == 0, 1.0).otherwise(total)).alias("p"))
-    ranks = graph.pagerank(priors, e)
+    priors = s.select("grp", F.col("src").alias("q"), F.col("dst").alias("node"), (prior / F.when(total == 0, 1.0).otherwise(total)).alias("p"))
+    ranks = graph.pagerank(priors, e, "grp")
     rows = ranks.join(s.select(F.col("src").alias("q"), F.col("dst").alias("node"), "cos", "conf"), ["q", "node"])
     return rows.select(F.col("q").alias("query_id"), F.col("node").alias("node_id"), F.round("rank", 6).alias("pagerank"), F.round(0.52 * F.col("rank") + 0.40 * F.col("cos") + 0.03 * F.col("conf"), 6).alias("score"))
 
@@ -275,7 +277,7 @@ RATES = "SELECT *, CASE WHEN missing = 0 THEN 0 ELSE round(rescued / missing, 6)
 
 @query(with_(VEC, SIM, EDGES, BASE_HITS, SUPPORT, RESCUE) + RATES.format(RESCUE_TOTALS.format(keys="", group="")))
 def evidence_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = base.sim(base.vec(spark, sf_dir))
+    s = stored(base.sim(base.vec(spark, sf_dir)))
     hits = graph.top_k(s, "src", "cos", "dst", K).select(F.col("src").alias("q"), F.col("dst").alias("node"), "rank")
     e = base.top_edges(s, "cos").select("src", "dst", F.col("cos").alias("weight"))
     cases = graph.rescue(hits, support(spark, sf_dir), e, s.select(F.col("src").alias("q"), F.col("dst").alias("node")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text, vectors, words
 from tessera.operators import graph, memory
 from tessera.operators.components import connected_components
+from tessera.operators.stored import stored
 
 from . import base
 from .base import EDGES, EMB, MSG, PAIRS, SIM, VEC, quoted, sql_tokens, sql_top, table
@@ -22,7 +23,7 @@ CONS = """cons AS MATERIALIZED (SELECT q, CASE WHEN len(good) > 0 THEN good ELSE
 
 
 def heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anchored(spark, sf_dir).where("profile = 'semantic_heavy'")
+    return anchored(spark, sf_dir, ("semantic_heavy",))
 
 
 @query(with_(*FINAL, HEAVY, SUPPORT, CONS) + "SELECT q AS query_id, array_to_string(nodes, ',') AS nodes, n_support, round(confidence, 6) AS confidence, 'con_' || substr(sha1(array_to_string(nodes, ',')), 1, 16) AS id FROM cons")
@@ -51,7 +52,8 @@ def con(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = base.msg(spark, sf_dir)
     held = m.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.max_by(F.expr("try_element_at(kw, 1)"), "turn").alias("answer"), F.array_distinct(F.flatten(F.collect_list("ents"))).alias("ev"))
     joined = held.select("conv", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("text"), "answer", "ev").withColumn("toks", text.tokens(F.col("text")))
-    return joined.withColumn("kw", text.top_tokens(F.col("toks"), 20))
+    ranked = text.keywords(joined, "conv", "text", 20).groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("r"))
+    return joined.join(ranked, "conv", "left").withColumn("kw", F.coalesce(F.transform("r", lambda x: x["token"]), F.array().cast("array<string>"))).drop("r")
 
 
 @query(with_(MSG, CON, f"e AS (SELECT conv, unnest(k) AS kw, unnest(range(len(k))) AS pos FROM (SELECT conv, {MEANING} AS k FROM con))", "n AS (SELECT kw, count(*) AS n FROM e GROUP BY 1)",
@@ -75,12 +77,15 @@ hyb AS MATERIALIZED (SELECT c.a AS a, c.b AS b, round(0.35 * greatest(0.0, coale
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = con(spark, sf_dir)
+    return hybrid_of(stored(con(spark, sf_dir)))
+
+
+def hybrid_of(c: DataFrame) -> DataFrame:
+    """(a, b, score) of con()'s rows that share a keyword. c should be stored: it is read for the pairs and for both of their sides."""
     pairs = memory.shared_keyword_pairs(c, "conv", "kw")
-    emb = vectors.hash_embedding(c, ["conv"], "toks")
-    scored = vectors.sparse_cosine(pairs, emb, "a", "b", "conv")
-    side = lambda p: c.select(F.col("conv").alias(p), F.col("kw").alias(f"kw_{p}"), F.col("ev").alias(f"ev_{p}"), F.col("answer").alias(f"answer_{p}"))
-    rows = scored.join(side("a"), "a").join(side("b"), "b")
+    c = stored(vectors.packed_embedding(c, ["conv"], "toks").withColumn("kw", memory.content(F.col("kw"), 16)).drop("toks", "text"))
+    side = lambda p: c.select(F.col("conv").alias(p), F.col("kw").alias(f"kw_{p}"), F.col("ev").alias(f"ev_{p}"), F.col("answer").alias(f"answer_{p}"), vectors.dense(F.col("lookup")).alias(f"v_{p}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cos", vectors.dot(F.col("v_a"), F.col("v_b")))
     return rows.select("a", "b", F.round(memory.hybrid_score(*[F.col(x) for x in ("cos", "kw_a", "kw_b", "ev_a", "ev_b", "answer_a", "answer_b")]), 9).alias("score"))
 
 
@@ -97,9 +102,10 @@ def recon_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
        + f"""SELECT component, count(*) AS size, round(CASE WHEN count(*) = 1 THEN 1.0 ELSE coalesce(any_value(s), 0) / (count(*) * (count(*) - 1) / 2) END, 6) AS cohesion FROM comp LEFT JOIN (SELECT x.component AS component, sum(score) AS s FROM hyb JOIN comp x ON x.conv = a JOIN comp y ON y.conv = b AND y.component = x.component WHERE score >= {LINKED} GROUP BY 1) USING (component) GROUP BY component""")
 def recon_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reconstruction groups: components of the hybrid links, with their mean pair score."""
-    h = hybrid(spark, sf_dir).where(F.col("score") >= LINKED).cache()
+    c = stored(con(spark, sf_dir))
+    h = stored(hybrid_of(c).where(F.col("score") >= LINKED))
     found = connected_components(h.select("a", "b"))
-    all_ = con(spark, sf_dir).select("conv").join(found, F.col("conv") == F.col("id"), "left").select("conv", F.coalesce("label", "conv").alias("component")).cache()
+    all_ = stored(c.select("conv").join(found, F.col("conv") == F.col("id"), "left").select("conv", F.coalesce("label", "conv").alias("component")))
     inner = h.join(all_.select(F.col("conv").alias("a"), "component"), "a").groupBy("component").agg(F.sum("score").alias("s"))
     n = F.col("size")
     out = all_.groupBy("component").agg(F.count("*").alias("size")).join(inner, "component", "left")
@@ -109,7 +115,7 @@ def recon_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def recon_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy centroid clusters of each label's memories; the order-dependent one, without SQL."""
-    return memory.greedy_clusters(base.vec(spark, sf_dir), "grp", "id", "v", 0.35)
+    return memory.greedy_clusters(base.vec(spark, sf_dir), "grp", "id", "v")
 
 
 @query(with_(MSG, CON) + """SELECT b.conv_id AS case_id, b.other AS other_case, b.shared, round(0.62 * b.cos + 0.18 * least(1.0, b.shared / 4.0), 6) AS score, row_number() OVER (PARTITION BY b.conv_id ORDER BY round(0.62 * b.cos + 0.18 * least(1.0, b.shared / 4.0), 9) DESC, b.other) AS rank FROM (
@@ -133,11 +139,10 @@ LEXICAL = f"CASE WHEN len(q16) = 0 THEN 0.0 ELSE least(1.0, 0.62 * {RATIO.format
 
 def lexical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored pairs with the lexical activation of b by a's keywords. A message's title is its role."""
-    m = base.msg(spark, sf_dir).select(F.col("id").alias("b_id"), "text")
-    p = base.scored_pairs(spark, sf_dir).join(m, "b_id")
-    joined = F.concat_ws(" ", "b_role", F.substring("text", 1, 180), F.array_join("b_kw", " "), F.array_join("b_ents", " "))
-    p = p.withColumns({"toks": text.tokens(joined), "title": text.tokens(F.col("b_role")), "ent_toks": text.tokens(F.array_join("b_ents", " ")), "q16": F.slice("a_kw", 1, 8)})
-    p = p.withColumns({"terms": text.top_tokens(F.col("toks"), 48), "ents": text.top_tokens(F.col("ent_toks"), 16)})
+    joined = F.concat_ws(" ", "role", F.substring("text", 1, 180), F.array_join("kw", " "), F.array_join("ents", " "))
+    sides = {"long": text.tokens(joined), "title": text.tokens(F.col("role")), "ent_toks": text.tokens(F.array_join("ents", " "))}
+    m = base.msg(spark, sf_dir).withColumns(sides).select(F.col("id").alias("b_id"), "title", text.top_tokens(F.col("long"), 48).alias("terms"), text.top_tokens(F.col("ent_toks"), 16).alias("ents"))
+    p = base.scored_pairs(spark, sf_dir).join(stored(m), "b_id").withColumn("q16", F.slice("a_kw", 1, 8))
     exact = F.contains(F.array_join("q16", " "), F.array_join("title", " ")).cast("int")
     part = lambda c: text.overlap_ratio(F.col("q16"), F.col(c))
     lexical = F.when(F.size("q16") == 0, 0.0).otherwise(F.least(F.lit(1.0), 0.62 * part("terms") + 0.25 * exact + 0.06 * part("title") + 0.07 * part("ents")))

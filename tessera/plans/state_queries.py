@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text, words
 from tessera.operators import state
+from tessera.operators.stored import stored
 
 from . import base
 from .base import EMB, MSG, PAIRS, quoted, table
@@ -228,7 +229,7 @@ def agent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
        + "SELECT conv AS conv_id, array_to_string(rels, '>') AS pattern, count(*) AS n FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) GROUP BY 1, 2")
 def relation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each sequence of relations occurs on the simple directed paths of up to three edges of a conversation."""
-    e = rules(spark, sf_dir).where("relation_type is not null").select("conv", "a_id", "b_id", "relation_type").cache()
+    e = stored(rules(spark, sf_dir).where("relation_type is not null").select("conv", "a_id", "b_id", "relation_type"))
     now = e.select("conv", F.array("a_id", "b_id").alias("path"), F.array("relation_type").alias("rels"))
     out = now
     for _ in range(2):

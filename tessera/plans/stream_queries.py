@@ -12,10 +12,11 @@ from .registry import query
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = events.run_available(events.windowed_counts(events.read_log(spark, sf_dir)), "stream_event_counts")
+    # a table's files come in no order of time, so no event of it is late
+    out = events.run_available(events.windowed_counts(events.read_log(spark, sf_dir), late="36500 days"), ["start", "event_type"])
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @query("SELECT user_id, count(*) AS usage, max(event_id) AS last_event FROM events GROUP BY 1")
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.run_available(events.usage_counts(events.read_log(spark, sf_dir)), "stream_usage")
+    return events.run_available(events.usage_counts(events.read_log(spark, sf_dir)), ["user_id"])

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tessera.operators.stored import folder
 
 
 def read_log(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -27,7 +30,22 @@ def usage_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.count("*").alias("usage"), F.max("event_id").alias("last_event"))
 
 
-def run_available(stream: DataFrame, table: str, mode: str = "complete") -> DataFrame:
-    """Run all that is there through the stream and return the result as a table in memory: for tests and small results."""
-    stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(table)
+def run_available(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run all that is there through the stream; the result has each key's latest row.
+
+    Every micro-batch writes the rows that it changed to the shared folder, under its number, so a batch that runs again
+    replaces what it wrote; the stream's own state and progress are checkpointed beside them. In update mode a watermark lets
+    old state go, and nothing but the batches' names reaches the driver.
+    """
+    spark, root = stream.sparkSession, folder(stream)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/rows")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{root}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, *[F.col("_last")[c].alias(c) for c in rest])

@@ -107,9 +107,11 @@ def test_dense_paths_score_below_sparse_ones(spark):
 
 
 def test_pagerank_loses_dangling_mass(spark):
-    p = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5)], "q int, node int, p double")
-    e = spark.createDataFrame([(1, 2, 0.4)], "src int, dst int, weight double")
-    got = {r.node: r.rank for r in graph.pagerank(p, e).collect()}
+    p = spark.createDataFrame([("g", 0, 1, 0.5), ("g", 0, 2, 0.5), ("h", 9, 8, 1.0)], "part string, q int, node int, p double")
+    e = spark.createDataFrame([("g", 1, 2, 0.4), ("g", 2, 0, 0.4)], "part string, src int, dst int, weight double")
+    for rows in (400_000, 1):
+        got = {r.node: r.rank for r in graph.pagerank(p, e, "part", rows=rows).collect()}
+        assert math.isclose(got[8], 0.22) and len(got) == 3
     assert math.isclose(got[1], 0.11) and math.isclose(got[2], 0.11 + 0.78 * 0.11)
 
 

@@ -27,3 +27,16 @@ def test_streams_read_the_whole_table(spark, tmp_path, form):
     counts = plans.QUERIES["stream_event_counts"](spark, str(tmp_path)).collect()
     want = log.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n")).collect()
     assert sorted((r.day, r.event_type, r.n) for r in counts) == sorted(map(tuple, want))
+
+
+def test_late_events_are_dropped_and_batches_add_up(spark, tmp_path):
+    from tessera.streaming import events
+
+    day = lambda d, n, first: [(first + i, 1, "view", datetime.datetime(2024, 1, d, 6)) for i in range(n)]
+    for name, rows in (("a", day(1, 3, 0)), ("b", day(9, 2, 10) + day(1, 1, 20)), ("c", day(1, 5, 30) + day(9, 4, 40)), ("d", day(1, 7, 50) + day(9, 1, 60))):
+        spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    log = events.read_log(spark, str(tmp_path))
+    counts = {r.start.day: r.n for r in events.run_available(events.windowed_counts(log), ["start", "event_type"]).collect()}
+    assert counts == {1: 9, 9: 7}  # the last file's seven were more than a day late by what earlier batches had seen
+    usage = events.run_available(events.usage_counts(events.read_log(spark, str(tmp_path))), ["user_id"]).first()
+    assert (usage.usage, usage.last_event) == (23, 60)

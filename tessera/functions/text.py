@@ -124,3 +124,8 @@ def term_coverage(gold: Column, haystack: Column) -> Column:
 
 def safe_divide(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator == 0, F.lit(0.0)).otherwise(numerator / denominator)
+
+
+def json_object(answer: Column) -> Column:
+    """The JSON text from the first opening to the last closing brace, whatever fence or prose stands around it; empty without one."""
+    return F.regexp_extract(answer, r"(?s)\{.*\}", 0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, flac, jaccard, quality, quotes, records, suffix, toxicity, warc
+from . import balltree, bpe, decontam, flac, jaccard, quality, quotes, records, suffix, toxicity, urls, warc, whitening
 from .shared import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.dedup_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.hard_negatives(balltree.vectors(table(spark, sf_dir, "embeddings"), scale=256, relabel=7))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 

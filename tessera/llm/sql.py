@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+from . import urls
+
 OP7 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN text IS NULL THEN [] ELSE
         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM documents),
@@ -64,4 +68,45 @@ SELECT conv_id, turn, role, text, n_quoted, parent_turn, CAST(len(path) - 1 AS B
        CASE WHEN conv_id IS NULL OR turn IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY path, role, text) END AS position FROM f
 """
 
-SQL = {"op2_quotation_linking": OP2, "op4_jaccard_join": OP4, "op5_warc": OP5, "op7_decontamination": OP7}
+
+
+def _op11() -> str:
+    rules = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(v, h + p, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))") for v, h, p in rules]
+    rule, verdict = (f"CASE {' '.join(f"WHEN {c} THEN '{x[i]}'" for x in fits for c in x[2:])} END" for i in (1, 0))
+    n, parts = urls.ORDER, r"(?s)^.*?://([^/?#]*)([^?#]*)"
+    steps = [f"c{n} AS MATERIALIZED (SELECT g, coalesce(sum(n) FILTER (WHERE part = 'train allow'), 0) AS a, coalesce(sum(n) FILTER (WHERE part = 'train block'), 0) AS r FROM place GROUP BY g)"]
+    steps += [f"c{k} AS MATERIALIZED (SELECT substr(g, 2) AS g, sum(a) AS a, sum(r) AS r FROM c{k + 1} GROUP BY 1)" for k in reversed(range(n))]
+    for k in range(n + 1):
+        shorter = f"JOIN p{k - 1} q ON q.g = substr(c.g, 2)" if k else "CROSS JOIN (SELECT 1.0::DOUBLE / (count(*) + 1) AS pa, 1.0::DOUBLE / (count(*) + 1) AS pr FROM c0) q"
+        chance = lambda c: f"CASE WHEN c{c} > 0 THEN ({c} + t{c} * q.p{c}) / (c{c} + t{c})::DOUBLE ELSE q.p{c} END AS p{c}"
+        steps.append(f"""p{k} AS MATERIALIZED (SELECT c.g, {chance("a")}, {chance("r")} FROM (SELECT *, sum(a) OVER w AS ca, count(*) FILTER (WHERE a > 0) OVER w AS ta, sum(r) OVER w AS cr,
+            count(*) FILTER (WHERE r > 0) OVER w AS tr FROM c{k} WINDOW w AS (PARTITION BY substr(g, 1, {k}))) c {shorter})""")
+    return f"""
+WITH h AS (SELECT page_id, coalesce(url, '') AS u, translate(regexp_extract(coalesce(url, ''), '{parts}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '{parts}', 2) AS path FROM pages),
+ruled AS MATERIALIZED (SELECT *, {rule} AS rule, {verdict} AS by_rule FROM h),
+u AS MATERIALIZED (SELECT u, CASE WHEN by_rule IS NULL THEN 'judge' WHEN substr(md5(u), 1, 1) IN ('0', '1', '2') THEN 'test ' || by_rule ELSE 'train ' || by_rule END AS part, count(*) AS n FROM ruled GROUP BY 1, 2),
+place AS MATERIALIZED (SELECT u, part, n, substr(repeat(chr(2), {n}) || u || chr(3), i, {n + 1}) AS g FROM (SELECT *, unnest(range(1, length(u) + 2)) AS i FROM u)),
+{", ".join(steps)},
+score AS MATERIALIZED (SELECT u, part, n, CAST(floor(sum(CAST(round((ln(pa) - ln(pr)) * {urls.NAT}) AS BIGINT)) / count(*)) AS BIGINT) AS score FROM place JOIN p{n} USING (g) WHERE part NOT LIKE 'train%' GROUP BY u, part, n),
+bin AS (SELECT floor(score / {urls.BIN}) AS b, coalesce(sum(n) FILTER (WHERE part = 'test allow'), 0) AS a, coalesce(sum(n) FILTER (WHERE part = 'test block'), 0) AS r FROM score WHERE part <> 'judge' GROUP BY 1),
+above AS (SELECT b, coalesce(lead(b) OVER w + 1, b) AS e, sum(a) OVER w AS a, sum(r) OVER w AS r, sum(a) OVER () AS na, sum(r) OVER () AS nr FROM bin WINDOW w AS (ORDER BY b DESC)),
+least AS (SELECT coalesce((SELECT (b + e) * {urls.BIN // 2} FROM above WHERE na > 0 AND nr > 0 ORDER BY a::DOUBLE / na - r::DOUBLE / nr DESC, b LIMIT 1), 0) AS t)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN score >= t THEN 'allow' ELSE 'block' END) AS verdict
+FROM ruled LEFT JOIN (SELECT u, score FROM score WHERE part = 'judge') s USING (u) CROSS JOIN least
+"""
+
+
+OP12 = """
+WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+s AS MATERIALIZED (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label = b.label AS own, b.r, b.vec_id, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS s FROM e a JOIN e b ON b.r <> a.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT ar, anchor_id, r, vec_id AS positive_id, s AS positive_score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY ar ORDER BY s DESC, r) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.s AS negative_score
+FROM p JOIN s ON s.ar = p.ar AND NOT s.own AND 50 * positive_score <= 100 * s.s AND 100 * s.s <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.ar, p.r ORDER BY s.s DESC, s.r) QUALIFY rank <= 3
+"""
+
+SQL = {"op11_url_language_models": _op11(), "op12_hard_negatives": OP12, "op2_quotation_linking": OP2, "op4_jaccard_join": OP4, "op5_warc": OP5, "op7_decontamination": OP7}

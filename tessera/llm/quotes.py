@@ -2,9 +2,14 @@
 
 A line's quote level is the number of > signs before it. Neighbouring lines of one level make a passage; a passage is
 normalised (lower case, one blank for any run of white space, so wrapping doesn't matter) and hashed. What a message quotes
-are its passages of the outermost level, and each line of theirs; what it says are its own paragraphs, their lines, and all
-of them as one. A message replies to the earlier message of its conversation that says most of what it quotes (the latest
-of equals). Units meet by hash, and the link compares their texts.
+at a level are its passages of that level, and each line of theirs; what it says are its own paragraphs, their lines, and all
+of them as one. At each level it is linked with the earlier message of its conversation that says most of what it quotes
+there (the latest of equals), and it replies to that of the outermost level that is linked. Units meet by hash, and the link
+compares their texts.
+
+A unit that at most `RARE` messages of its conversation say leads to each of them. Those that more say are hot: messages that
+say the same hot units are one class, as are those that quote the same ones, and only the latest earlier message of a class
+is looked up, so that lines which everybody says and quotes make no pairs of messages.
 
 Conversations are put in reply order, each reply after what it answers and before later messages that answer nothing, and
 messages keep only what is not quoted. Depths, sizes of subtrees and places come from pointer doubling over the replies:
@@ -19,11 +24,15 @@ columns of the input, of whatever name, are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import join_split, materialize
 
+#: A unit that more messages of a conversation say is hot.
+RARE = 64
 _SIGNS = r"^(?:[ \t]{0,3}>)+[ \t]?"
 
 
@@ -52,34 +61,65 @@ def _said(passage: Column) -> Column:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (without quotes), n_quoted lines, and quoted and own: the distinct units (normalised texts) of a message."""
+    """conv_id, turn, role, text (without quotes), n_quoted lines, quoted (level and unit) and own: the distinct units (normalised texts) of a message."""
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\r?\n")
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), lines.alias("lines"))
     parsed = base.withColumn("parsed", F.transform("lines", lambda x: F.struct(quote_level(x).alias("level"), normalised(x).alias("line"))))
     runs = parsed.withColumn("runs", _runs(F.col("parsed")))
-    level = F.array_min(F.transform(F.filter("parsed", lambda p: (p["level"] > 0) & (p["line"] != "")), lambda p: p["level"]))
     units = lambda wanted: F.array_distinct(F.concat(F.transform(wanted, _said), F.flatten(F.transform(wanted, lambda r: F.transform(r, lambda y: y["line"])))))
-    outer = F.filter("runs", lambda r: r[0]["level"] == level)
+    quoted = F.filter("runs", lambda r: r[0]["level"] > 0)
+    at = lambda r, u: F.struct(r[0]["level"].alias("level"), u.alias("unit"))
+    each = F.concat(F.transform(quoted, lambda r: at(r, _said(r))), F.flatten(F.transform(quoted, lambda r: F.transform(r, lambda y: at(r, y["line"])))))
     own = F.filter("runs", lambda r: r[0]["level"] == 0)
     whole = F.array_join(F.transform(own, _said), " ")
     return runs.select(
         "conv_id", "turn", "role", F.trim(F.array_join(F.filter("lines", lambda x: quote_level(x) == 0), "\n")).alias("text"),
         F.size(F.filter("parsed", lambda p: (p["level"] > 0) & (p["line"] != ""))).cast("long").alias("n_quoted"),
-        F.when(level.isNull(), F.array().cast("array<string>")).otherwise(units(outer)).alias("quoted"),
+        F.array_distinct(each).alias("quoted"),
         F.array_distinct(F.concat(units(own), F.when(F.size(own) > 1, F.array(whole)).otherwise(F.array().cast("array<string>")))).alias("own"),
     )
 
 
+def quote_links(parsed: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, parent, matched): of each level at which a message quotes an earlier one, that one's turn and how many of the level's units it says."""
+    named, place = parsed.where("conv_id is not null and turn is not null"), ["conv_id", "hash", "unit"]
+    hashed = lambda rows: rows.distinct().withColumn("hash", F.xxhash64("unit"))
+    quoted = materialize(hashed(named.select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.level", "q.unit")), "quoted-units")
+    asked = quoted.groupBy(*place).agg(F.count("*").alias("asked"))
+    own = materialize(hashed(named.select("conv_id", "turn", F.explode("own").alias("unit"))).join(asked, place), "own-units")
+    total = quoted.count()
+    said = own.groupBy(*place, "asked").agg(F.count("*").alias("sayers"))
+    hot = materialize(said.where(F.col("sayers") > RARE).withColumn("hid", F.monotonically_increasing_id()), "hot-units")
+    rare = own.join(hot.select(*place), place, "left_anti").groupBy(*place, "asked").agg(F.collect_list("turn").alias("turns"))
+    ways = join_split(quoted, rare, place, "asked", total).select("conv_id", "turn", "level", F.explode("turns").alias("parent")).where("parent < turn")
+    found = ways.groupBy("conv_id", "turn", "level", "parent").agg(F.count("*").alias("n"))
+    if not hot.isEmpty():
+        found = _with_hot(found, quoted, own, hot, total)
+    best = found.groupBy("conv_id", "turn", "level").agg(F.max(F.struct("n", "parent")).alias("best"))
+    return best.select("conv_id", "turn", "level", "best.parent", F.col("best.n").alias("matched"))
+
+
+def _with_hot(found: DataFrame, quoted: DataFrame, own: DataFrame, hot: DataFrame, total: int) -> DataFrame:
+    """found (conv_id, turn, level, parent, n) with hot units counted in, and the latest parents of those that share hot units alone."""
+    place, sets = ["conv_id", "hash", "unit"], F.array_sort(F.collect_list("hid")).alias("hs")
+    asks = materialize(join_split(quoted, hot.select(*place, "asked", "hid"), place, "asked", total).groupBy("conv_id", "turn", "level").agg(sets), "hot-quoted")
+    says = materialize(join_split(own.drop("asked"), hot.select(*place, "sayers", "hid"), place, "sayers", own.count()).groupBy("conv_id", "turn").agg(sets), "hot-said")
+    both = found.join(asks, ["conv_id", "turn", "level"], "left").join(says.select("conv_id", F.col("turn").alias("parent"), F.col("hs").alias("ps")), ["conv_id", "parent"], "left")
+    more = F.coalesce(F.size(F.array_intersect("hs", "ps")), F.lit(0))
+    counted = both.select("conv_id", "turn", "level", "parent", (F.col("n") + F.when(F.col("hs").isNull() | F.col("ps").isNull(), 0).otherwise(more)).alias("n"))
+    kind = lambda rows, c: rows.select("conv_id", F.col("hs").alias(c)).distinct().select("conv_id", c, F.explode(c).alias("hid"))
+    pairs = kind(asks, "qs").join(kind(says, "ps"), ["conv_id", "hid"]).groupBy("conv_id", "qs", "ps").agg(F.count("*").alias("n"))
+    pairs = materialize(pairs.withColumn("pair", F.monotonically_increasing_id()), "hot-classes")
+    asking = asks.withColumnRenamed("hs", "qs").join(pairs, ["conv_id", "qs"]).select("pair", "conv_id", "turn", "level", "n", F.lit(0).alias("says"), F.lit(None).cast("long").alias("origin"))
+    saying = says.withColumnRenamed("hs", "ps").join(pairs, ["conv_id", "ps"]).select("pair", "conv_id", "turn", F.lit(0).alias("level"), "n", F.lit(1).alias("says"), F.col("turn").alias("origin"))
+    met = _running(asking.unionByName(saying), ["pair"], ["turn", "says"], "origin", F.max).where("says = 0 and before is not null")
+    return counted.unionByName(met.select("conv_id", "turn", "level", F.col("before").alias("parent"), "n"))
+
+
 def reply_links(parsed: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent, matched): of each message that quotes an earlier one, the turn it answers and how many of its units that one says."""
-    unit = lambda c: parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(c).alias("unit")).distinct().withColumn("hash", F.xxhash64("unit"))
-    quoted, own = unit("quoted"), unit("own")
-    own = own.join(quoted.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi")
-    events = quoted.withColumn("origin", F.lit(None).cast("long")).unionByName(own.withColumn("origin", F.col("turn")))
-    earlier = Window.partitionBy("conv_id", "hash", "unit").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    met = events.withColumn("parent", F.max("origin").over(earlier)).where("origin is null and parent is not null")
-    counts = met.groupBy("conv_id", "turn", "parent").agg(F.count("*").alias("n"))
-    return counts.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "parent")).alias("best")).select("conv_id", "turn", "best.parent", F.col("best.n").alias("matched"))
+    """(conv_id, turn, parent, matched): of each message that quotes an earlier one, the turn it answers, by the outermost level that is found, and how many of that level's units that one says."""
+    outer = quote_links(parsed).groupBy("conv_id", "turn").agg(F.min(F.struct("level", "parent", "matched")).alias("l"))
+    return outer.select("conv_id", "turn", "l.parent", "l.matched")
 
 
 def _doubled(now: DataFrame, value: str, down: bool) -> DataFrame:
@@ -118,15 +158,16 @@ def thread_places(parsed: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _running(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """rows with `before`: the sum of value over the rows of the key that come before. Rows are range-partitioned, so that a key may stretch over many tasks."""
+def _running(rows: DataFrame, key: list[str], order: list[str], value: str, fold: Callable[[str], Column] = F.sum) -> DataFrame:
+    """rows with `before`: the sum (or another fold: then null where there is none) of value over the rows of the key that come before. Rows are range-partitioned, so that a key may stretch over many tasks."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(rows.repartitionByRange(parts, *key, *order).withColumn("part", F.spark_partition_id()), "ranged-rows")
     earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy(*key, "part").agg(F.sum(value).alias("n")).withColumn("_start", F.sum("n").over(earlier(Window.partitionBy(*key).orderBy("part"))))
-    started = sums.where("_start > 0").select(*key, "part", "_start")
-    local = ranged.withColumn("_local", F.sum(value).over(earlier(Window.partitionBy(*key, "part").orderBy(*order))))
-    return local.join(started, [*key, "part"], "left").withColumn("before", F.coalesce("_local", F.lit(0)) + F.coalesce("_start", F.lit(0))).drop("part", "_local", "_start")
+    sums = ranged.groupBy(*key, "part").agg(fold(value).alias("n")).withColumn("_start", fold("n").over(earlier(Window.partitionBy(*key).orderBy("part"))))
+    started = sums.where("_start is not null").select(*key, "part", "_start")
+    local = ranged.withColumn("_local", fold(value).over(earlier(Window.partitionBy(*key, "part").orderBy(*order))))
+    both = F.coalesce("_local", F.lit(0)) + F.coalesce("_start", F.lit(0)) if fold is F.sum else F.greatest("_local", "_start")
+    return local.join(started, [*key, "part"], "left").withColumn("before", both).drop("part", "_local", "_start")
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:

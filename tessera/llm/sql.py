@@ -54,11 +54,10 @@ k AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM b WHERE
 p AS (SELECT r, conv_id, turn, run, any_value(level) AS level, string_agg(line, ' ' ORDER BY i) AS unit FROM k GROUP BY r, conv_id, turn, run),
 u AS (SELECT r, conv_id, turn, level, unit FROM p UNION SELECT r, conv_id, turn, level, line FROM k
       UNION SELECT r, conv_id, turn, 0, string_agg(unit, ' ' ORDER BY run) FROM p WHERE level = 0 GROUP BY r, conv_id, turn),
-low AS (SELECT r, min(level) AS level FROM u WHERE level > 0 GROUP BY r),
-q AS (SELECT DISTINCT conv_id, turn, unit FROM u JOIN low USING (r, level)),
+q AS (SELECT DISTINCT conv_id, turn, level, unit FROM u WHERE level > 0),
 o AS (SELECT DISTINCT conv_id, turn, unit FROM u WHERE level = 0),
-found AS (SELECT q.conv_id, q.turn, q.unit, max(o.turn) AS parent FROM q JOIN o ON o.conv_id = q.conv_id AND o.unit = q.unit AND o.turn < q.turn GROUP BY 1, 2, 3),
-links AS (SELECT conv_id, turn, max({'n': n, 'parent': parent}).parent AS parent FROM (SELECT conv_id, turn, parent, count(*) AS n FROM found GROUP BY 1, 2, 3) GROUP BY 1, 2),
+found AS (SELECT q.conv_id, q.turn, q.level, o.turn AS parent, count(*) AS n FROM q JOIN o ON o.conv_id = q.conv_id AND o.unit = q.unit AND o.turn < q.turn GROUP BY 1, 2, 3, 4),
+links AS (SELECT conv_id, turn, parent FROM found QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, parent DESC) = 1),
 path AS (WITH RECURSIVE t AS (SELECT l.conv_id, l.turn, [l.turn] AS path FROM (SELECT DISTINCT conv_id, turn FROM m) l LEFT JOIN links k USING (conv_id, turn) WHERE k.parent IS NULL
          UNION ALL SELECT k.conv_id, k.turn, list_append(t.path, k.turn) FROM t JOIN links k ON k.conv_id = t.conv_id AND k.parent = t.turn) SELECT * FROM t),
 f AS (SELECT m.conv_id, m.turn, m.role, (SELECT coalesce(trim(string_agg(x.raw, chr(10) ORDER BY x.i) FILTER (WHERE x.level = 0)), '') FROM x WHERE x.r = m.r) AS text,

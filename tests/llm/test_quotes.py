@@ -1,9 +1,12 @@
 """Quotation linking on planted conversations, against its SQL."""
 
 import random
+import re
+from collections import defaultdict
 
 import duckdb
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quotes
@@ -56,6 +59,52 @@ def test_planted_quotations(spark):
     assert sum(r[5] is not None for r in got) > 60 and max(r[6] for r in got) >= 4 and sum(r[4] for r in got) > 150
 
 
+def brute_parents(rows):
+    """Each message's parent, message by message."""
+
+    def units(lines):
+        runs, last = [], None
+        for line in lines:
+            signs = re.match(r"(?:[ \t]{0,3}>)+[ \t]?", line)
+            level, plain = (signs[0].count(">") if signs else 0), " ".join(line[signs.end() if signs else 0 :].lower().split())
+            if plain and last == level:
+                runs[-1][1].append(plain)
+            elif plain:
+                runs.append((level, [plain]))
+            last = level if plain else None
+        out = defaultdict(set)
+        for level, said in runs:
+            out[level] |= {" ".join(said), *said}
+        if out[0]:
+            out[0].add(" ".join(" ".join(said) for level, said in runs if level == 0))
+        return out
+
+    messages = defaultdict(lambda: defaultdict(set))
+    for c, t, _, text in rows:
+        for level, found in units(re.split("\r?\n", text or "")).items():
+            messages[c, t][level] |= found
+    parents = {}
+    for (c, t), mine in messages.items():
+        for level in sorted(mine, reverse=True):
+            shared = {u: len(mine[level] & other[0]) for (d, u), other in messages.items() if level and c == d and c is not None and None not in (t, u) and u < t}
+            if any(shared.values()):
+                parents[c, t] = max(u for u in shared if shared[u] == max(shared.values()))
+    return parents
+
+
+@pytest.mark.parametrize("rare", [quotes.RARE, 1, 0])
+def test_parents_against_brute_force(spark, monkeypatch, rare):
+    """Also with most or all units hot."""
+    monkeypatch.setattr(quotes, "RARE", rare)
+    rows = planted(12, seed=7)
+    rows += [(80, 0, "u", "A\nB\nC"), (80, 1, "a", "A\nB"), (80, 2, "u", "> A\n> B\n> C\nyes"), (80, 3, "a", "> A\n> B\nno"), (80, 4, "u", "x\nA\n\nB"), (80, 5, "u", "> gone\n>> x\n>>> C"), (80, 6, "u", ">> B\n> A\n> C")]
+    rows += [(81, t, "u", "+1" if t % 3 else f"> +1\n> thanks\n+1\nthanks {t % 5}\nthanks") for t in range(60)]
+    parsed = quotes.parse(spark.createDataFrame([(*r, "k", "u", 1, 2) for r in rows], SCHEMA).repartition(3))
+    got = {(r.conv_id, r.turn): r.parent for r in quotes.reply_links(parsed).collect()}
+    assert got == brute_parents(rows) and (got[80, 2], got[80, 3], got[80, 5]) == (0, 1, 4)
+    assert {(r.level, r.parent) for r in quotes.quote_links(parsed).where("conv_id = 80 and turn = 5").collect()} == {(2, 4), (3, 0)}
+
+
 def test_a_long_chain_and_a_wide_thread(spark):
     chain = [(1, 0, "u", "m0")] + [(1, t, "u", f"> m{t - 1}\nm{t}") for t in range(1, 70)]
     wide = [(2, 0, "u", "root")] + [(2, t, "u", f"> root\nw{t}") for t in range(1, 40)] + [(2, 40 + t, "u", f"> w{t}\nz") for t in range(1, 40, 3)]

@@ -5,7 +5,8 @@ Rows are whole-number vectors, stored in the order of (vec_id, vector) with a nu
 queries, chunk after chunk from files of the shared folder, go down a tree side by side: for a ball of centre c and radius r,
 q.c - r|q| and q.c + r|q| bound all inner products in it. A query leaves a ball whose upper bound lies strictly beneath its
 current k-th score, or whose bounds don't meet its window of scores; at the leaves, products are computed and counted
-exactly. What a block finds, at most k rows a query, meets in one window per query.
+exactly. The k-th score among one row in `SAMPLE` is a query's first bound, so that all blocks together find some k *
+`SAMPLE` rows a query, however many they are; these meet in one window per query.
 
 Positives: the best rows of the anchor's own label. Negatives: the best rows of other labels whose score lies between
 `low` and `high` percent of the positive's. Higher scores come first, ties by smaller vec_id, then by vector.
@@ -34,6 +35,8 @@ from .vectors import finite_rows, whole
 
 #: Bytes of a block's matrix, of a chunk of queries, and rows of a leaf.
 BLOCK_BYTES, CHUNK_BYTES, LEAF = 16 << 20, 1 << 20, 256
+#: One row in so many gives the first bounds of the k-th scores. What is found doesn't depend on it.
+SAMPLE = 16
 _LEAST = -(1 << 63) + 1
 ROWS = "vec_id long, label int, x array<long>"
 CHUNKS = "rid array<long>, label array<int>, dims int, x binary, lo array<long>, hi array<long>"
@@ -251,6 +254,14 @@ def best_rows(rows: DataFrame, asked: DataFrame, k: int, may: Callable[[np.ndarr
     return found.withColumn("rank", F.row_number().over(W.partitionBy("query", "slot").orderBy(F.desc("score"), "rid"))).where(F.col("rank") <= k)
 
 
+def first_k(rows: DataFrame, anchors: DataFrame, k: int, may: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """best_rows() of the anchors (rid, label, x, lo, hi), whose lower bounds are first raised to their k-th scores in a sample."""
+    some = best_rows(rows.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0), chunks(anchors), k, may).where(F.col("rank") == k)
+    kth = some.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("kth"))  # a slot once
+    raised = F.transform("lo", lambda low, i: F.greatest(low, F.try_element_at("kth", i)))
+    return best_rows(rows, chunks(anchors.join(kth, anchors.rid == kth["query"], "left").withColumn("lo", raised)), k, may)
+
+
 def hard_negatives(rows: DataFrame, every: int = 50, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score, for anchors whose vec_id `every` divides.
 
@@ -259,7 +270,7 @@ def hard_negatives(rows: DataFrame, every: int = 50, positives: int = 5, negativ
     by_label = dealt(rows)
     anchors = rows.where(F.col("vec_id") % every == 0)
     everything = lambda v: F.array(F.lit(v).cast("long"))
-    own = best_rows(by_label, chunks(anchors.withColumn("lo", everything(_LEAST)).withColumn("hi", everything(-_LEAST))), positives, np.equal)
+    own = first_k(by_label, anchors.withColumn("lo", everything(_LEAST)).withColumn("hi", everything(-_LEAST)), positives, np.equal)
     own = materialize(own.select("query", "rank", "score", F.col("vec_id").alias("positive_id")), "positives")
     # percentages without overflow: s * p / 100 = s // 100 * p + s % 100 * p / 100
     share = lambda p, to: F.expr(f"(score - pmod(score, 100)) div 100 * {p} + {to}(pmod(score, 100) * {p} / 100.0)")
@@ -267,7 +278,7 @@ def hard_negatives(rows: DataFrame, every: int = 50, positives: int = 5, negativ
     slots = windows.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "lo", "hi"))).alias("w"))  # at most `positives` each
     padded = lambda c, none: F.concat(F.col(f"w.{c}"), F.array_repeat(F.lit(none).cast("long"), F.lit(positives) - F.size("w")))
     asked = anchors.join(slots, anchors.rid == slots.query).select("rid", "label", "x", padded("lo", -_LEAST).alias("lo"), padded("hi", _LEAST).alias("hi"))
-    other = best_rows(by_label, chunks(asked), negatives, np.not_equal)
+    other = first_k(by_label, asked, negatives, np.not_equal)
     found = other.select("query", (F.col("slot") + 1).alias("_p"), F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     pairs = own.select("query", F.col("rank").alias("_p"), "positive_id", F.col("score").alias("positive_score")).join(anchors.select(F.col("rid").alias("query"), F.col("vec_id").alias("anchor_id")), "query")
     return found.join(pairs, ["query", "_p"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

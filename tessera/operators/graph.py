@@ -152,13 +152,14 @@ def ranking_metrics(hits: DataFrame, support: DataFrame, queries: DataFrame, k:
     )
 
 
-def rescue(baseline: DataFrame, support: DataFrame, edges: DataFrame, candidates: DataFrame, seed_k: int = 1, per_seed: int = 2) -> DataFrame:
+def rescue(baseline: DataFrame, support: DataFrame, edges: DataFrame, candidates: DataFrame | None = None, seed_k: int = 1, per_seed: int = 2) -> DataFrame:
     """Of each query: what its seeds' strongest edges bring that its baseline lacks (one hop).
 
-    baseline: (q, node, rank); support: (q, node); edges: (src, dst, weight); candidates: (q, node).
+    baseline: (q, node, rank); support: (q, node); edges: (src, dst, weight); candidates: (q, node), or
+    None where any node but the query itself is one.
     """
     ways = baseline.where(F.col("rank") <= seed_k).select("q", F.col("node").alias("src")).join(edges.select("src", "dst", "weight"), "src")
-    ways = ways.join(candidates.select("q", F.col("node").alias("dst")), ["q", "dst"])
+    ways = ways.where("dst <> q") if candidates is None else ways.join(candidates.select("q", F.col("node").alias("dst")), ["q", "dst"])
     taken = ways.withColumn("r", F.row_number().over(Window.partitionBy("q", "src").orderBy(F.desc("weight"), "dst"))).where(F.col("r") <= per_seed)
     fresh = taken.select("q", F.col("dst").alias("node")).distinct().join(baseline.select("q", "node"), ["q", "node"], "left_anti")
     rel = support.select("q", "node").withColumn("rel", F.lit(1))

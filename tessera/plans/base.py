@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text, vectors, words
+from tessera.operators.nearest import nearest
 from tessera.operators.stored import stored
 
 
@@ -29,13 +30,14 @@ def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiled(a: DataFrame, b: DataFrame, context: str, a_id: str, b_id: str, tile: int = 4096) -> DataFrame:
-    """All pairs of a and b within a context, as tiles of about tile x tile rows: a context of any size is many tasks' work, and a row goes to as many tiles as its context has on a side."""
-    most = a.groupBy(context).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    n, parts = max(1, -(-most // tile)), int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = a.withColumn("_i", place(a_id)).withColumn("_j", every).repartition(parts, context, "_i", "_j")
-    right = b.withColumn("_j", place(b_id)).withColumn("_i", every).repartition(parts, context, "_i", "_j")
+    """All pairs of a and b within a context, as tiles of about tile x tile rows: a context of any size is many tasks' work, and a row goes to as many tiles as its own context has on a side, which is one up to `tile` rows."""
+    large = a.groupBy(context).agg(F.ceil(F.count("*") / tile).cast("int").alias("_n")).where("_n > 1")  # at most a row for each `tile` rows of a
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = lambda rows: rows.join(large, context, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    place = lambda c: F.pmod(F.xxhash64(c), F.col("_n")).cast("int")
+    left = sized(a).withColumn("_i", place(a_id)).withColumn("_j", every).drop("_n").repartition(parts, context, "_i", "_j")
+    right = sized(b).withColumn("_j", place(b_id)).withColumn("_i", every).drop("_n").repartition(parts, context, "_i", "_j")
     return left.join(right, [context, "_i", "_j"]).drop("_i", "_j")
 
 
@@ -48,6 +50,18 @@ def sim(nodes: DataFrame) -> DataFrame:
     return tiled(a, b, "grp", "src", "dst").where("src <> dst").select("src", "dst", "grp", cos.alias("cos"), "usage", "conf")
 
 
+def near(nodes: DataFrame, k: int, least: float | None = None, bonus: Column | None = None) -> DataFrame:
+    """(src, dst, cos, score, rank): each memory's best k of its context group, without scoring all pairs; score is cos, with a bonus of dst's if there is one."""
+    return nearest(nodes.select("id", "grp", "v", (F.lit(0.0) if bonus is None else bonus).alias("bonus")), k, least)
+
+
+def pair_cos(pairs: DataFrame, nodes: DataFrame, q: str = "q", node: str = "node") -> DataFrame:
+    """pairs with cos, usage and conf (of node), scored pair by pair."""
+    a, b = nodes.select(F.col("id").alias(q), F.col("v").alias("_a"), F.col("norm").alias("_na")), nodes.select(F.col("id").alias(node), F.col("v").alias("_b"), F.col("norm").alias("_nb"), "usage", "conf")
+    both = pairs.join(a, q).join(b, node)
+    return both.withColumn("cos", F.round(vectors.cosine(F.col("_a"), F.col("_b"), F.col("_na"), F.col("_nb")), 9)).drop("_a", "_b", "_na", "_nb")
+
+
 VEC = f"""vec AS (SELECT vec_id AS id, label AS grp, CAST(embedding AS DOUBLE[]) AS v, coalesce(n, 0) AS usage, CAST({CONFIDENCE} AS DOUBLE) AS conf
   FROM embeddings LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) u ON user_id = vec_id)"""
 SIM = """sim AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, a.grp AS grp, round(list_cosine_similarity(a.v, b.v), 9) AS cos, b.usage AS usage, b.conf AS conf
@@ -66,7 +80,8 @@ def top_edges(scored: DataFrame, score: str, k: int = TOP_EDGES, threshold: floa
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_edges(sim(vec(spark, sf_dir)), "cos").select("src", "dst", "grp", F.col("cos").alias("weight"))
+    nodes = vec(spark, sf_dir)
+    return near(nodes, TOP_EDGES, THRESHOLD).join(nodes.select(F.col("id").alias("src"), "grp"), "src").select("src", "dst", "grp", F.col("cos").alias("weight"))
 
 
 EDGES = f"""edges AS MATERIALIZED (SELECT src, dst, grp, cos AS weight FROM sim WHERE cos >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY src ORDER BY cos DESC, dst) <= {TOP_EDGES})"""

@@ -11,7 +11,7 @@ from tessera.operators.stored import stored
 
 from . import base
 from .base import EDGES, EMB, MSG, PAIRS, SIM, VEC, table
-from .graph_queries import ALPHA, ALPHAS, ANCHORED, BASE_HITS, CONTEXT, EXPANSION, NEIGHBOURS, RERANK, SCORES, STRATEGY_EDGES, SUPPORT, anchored, expansion, pair_strategies, strategy_edges_of, support
+from .graph_queries import ALPHA, ALPHAS, ANCHORED, BASE_HITS, CONTEXT, EXPANSION, NEIGHBOURS, RERANK, SCORES, STRATEGY_EDGES, SUPPORT, anchored, expansion, pair_strategies, strategy_edges_of, support, support_of
 from .memory_queries import BAD, CONS, HEAVY, bad_flags, case_retrieval, heavy
 from .registry import SQL, query, with_
 
@@ -103,7 +103,8 @@ def insight_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many memories the consolidated ones cover, and how many of them trace back to evidence."""
     from tessera.operators import memory
 
-    c = stored(memory.consolidate(heavy(spark, sf_dir), support(spark, sf_dir)).select("nodes", "n_support", "confidence"))
+    h = stored(heavy(spark, sf_dir))
+    c = stored(memory.consolidate(h, support_of(spark, sf_dir, h)).select("nodes", "n_support", "confidence"))
     rows = c.agg(F.count("*").alias("insights"), F.countDistinct("nodes").alias("distinct_insights"), F.round(F.avg(F.size("nodes")), 6).alias("sources_per_insight"), F.round(F.count_if(F.col("n_support") > 0) / F.count("*"), 6).alias("trace_rate"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
     covered, total = c.select(F.explode("nodes").alias("n")).agg(F.countDistinct("n").alias("n")), table(spark, sf_dir, "embeddings").agg(F.count("*").alias("total"))
     return rows.crossJoin(covered).crossJoin(total).withColumn("coverage", F.round(F.col("n") / F.col("total"), 6)).drop("n", "total")  # one row each
@@ -129,7 +130,8 @@ def recall_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(count(*) FILTER (WHERE len(path) > 1) / count(*), 6) AS graph_share FROM final f LEFT JOIN support s ON s.q = f.q AND s.node = f.node GROUP BY 1""")
 def method_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the final hits of each reranker profile find, and by which paths."""
-    f = anchored(spark, sf_dir).join(support(spark, sf_dir).withColumn("ok", F.lit(True)), ["q", "node"], "left")
+    f = stored(anchored(spark, sf_dir))
+    f = f.join(support_of(spark, sf_dir, f).withColumn("ok", F.lit(True)), ["q", "node"], "left")
     n = F.countDistinct("q")
     return f.groupBy("profile").agg(
         n.alias("queries"), F.count("ok").alias("support_hits"), F.round(F.countDistinct(F.when(F.col("ok"), F.col("q"))) / n, 6).alias("hit_rate"), F.round(F.avg(F.size("path")), 6).alias("path_length"),

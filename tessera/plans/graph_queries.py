@@ -20,8 +20,8 @@ SCORE = "cos + least(0.12, 0.02 * usage) + 0.04 * conf"
 FROM (SELECT *, round({SCORE}, 9) AS s FROM sim) QUALIFY rank <= {K}""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each memory as a query: the best four of its context group by similarity, usage and confidence."""
-    s = base.sim(base.vec(spark, sf_dir)).withColumn("s", F.round(graph.activation_score(F.col("cos"), F.col("usage"), F.col("conf")), 9))
-    return graph.top_k(s, "src", "s", "dst", K).select(F.col("src").alias("query_id"), F.col("dst").alias("node_id"), F.col("rank").cast("long").alias("rank"), F.round("s", 6).alias("score"))
+    bonus = graph.activation_score(F.lit(0.0), F.col("usage"), F.col("conf"))
+    return base.near(base.vec(spark, sf_dir), K, bonus=bonus).select(F.col("src").alias("query_id"), F.col("dst").alias("node_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 # -- pair scores and strategy graphs on messages
@@ -123,6 +123,12 @@ def support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("id").alias("q"), "grp").join(v.withColumnRenamed("id", "node"), "grp").where("q <> node").join(bought, "node").select("q", "node")
 
 
+def support_of(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (q, node), of one context group each, that are gold evidence: support() without its pairs."""
+    bought = base.table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").count().where("count >= 2").select(F.col("user_id").alias("node"))
+    return pairs.select("q", "node").where("q <> node").distinct().join(bought, "node").select("q", "node")
+
+
 NEIGHBOURS = "steps AS (SELECT src AS node, dst AS nxt, src, dst, weight FROM edges UNION ALL SELECT dst, src, src, dst, weight FROM edges)"
 BASE_HITS = "hits AS MATERIALIZED (SELECT src AS q, dst AS node, cos, row_number() OVER (PARTITION BY src ORDER BY cos DESC, dst) AS rank FROM sim QUALIFY rank <= 4)"
 
@@ -143,14 +149,13 @@ EXPANSION = _expansion_sql("steps")
 
 
 def expansion(spark: SparkSession, sf_dir: str, directed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sim, signals, best) of two hops from each query's two most similar memories; the best four are the base."""
-    nodes = base.vec(spark, sf_dir)
-    s = stored(base.sim(nodes))  # scored once for hits, edges and final scores
-    e = base.top_edges(s, "cos").select("src", "dst", F.col("cos").alias("weight"))
-    hits = graph.top_k(s, "src", "cos", "dst", K).select(F.col("src").alias("q"), F.col("dst").alias("node"), "rank")
+    """(hits, signals, best) of two hops from each query's two most similar memories; the best four are the base and, from a threshold on, the edges."""
+    near = stored(base.near(base.vec(spark, sf_dir), K))
+    e = near.where(F.col("cos") >= base.THRESHOLD).select("src", "dst", F.col("cos").alias("weight"))
+    hits = near.select(F.col("src").alias("q"), F.col("dst").alias("node"), "rank")
     steps = e.select(F.col("src").alias("node"), F.col("dst").alias("next"), "src", "dst", "weight") if directed else graph.neighbours(e)
     signals, best = graph.expand(hits.where("rank <= 2"), hits, steps, 2)
-    return s, signals, best
+    return hits, signals, best
 
 
 @query(with_(VEC, SIM, EDGES, BASE_HITS, NEIGHBOURS, EXPANSION) + "SELECT q AS query_id, node AS node_id, depth, round(g, 6) AS graph_score, array_to_string(path, '>') AS path FROM signals")
@@ -174,14 +179,15 @@ RERANK = (VEC, SIM, EDGES, BASE_HITS, NEIGHBOURS, EXPANSION, FEATURES, PROFILE_R
 
 
 def reranked(spark: SparkSession, sf_dir: str, profiles: tuple[str, ...] = tuple(graph.PROFILES)) -> tuple[DataFrame, DataFrame]:
-    """(sim, best paths with their score in each of the profiles)."""
-    s, signals, best = expansion(spark, sf_dir)
-    used = base.vec(spark, sf_dir).select("id", "usage")
+    """(hits, best paths with their score in each of the profiles)."""
+    hits, signals, best = expansion(spark, sf_dir)
+    nodes = stored(base.vec(spark, sf_dir))
+    used = nodes.select("id", "usage")
     with_acts = signals.withColumn("relation", F.lit("embedding_similarity")).withColumn("prior", F.expr("path[size(path) - 2]"))
     with_acts = with_acts.join(used.select(F.col("id").alias("prior"), F.col("usage").alias("u1")), "prior").join(used.select(F.col("id").alias("node"), F.col("usage").alias("u2")), "node").withColumn("activations", F.least("u1", "u2"))
-    rows = best.join(s.select(F.col("src").alias("q"), F.col("dst").alias("node"), "cos", "usage", "conf"), ["q", "node"]).join(graph.path_features(with_acts), ["q", "node"], "left")
+    rows = base.pair_cos(best, nodes).join(graph.path_features(with_acts), ["q", "node"], "left")
     scored = F.array(*[F.struct(F.lit(p).alias("profile"), F.round(graph.rerank(rows, p), 9).alias("score")) for p in profiles])
-    return s, rows.withColumn("_s", F.explode(scored)).select("q", "node", "path", "g", F.coalesce("n_paths", F.lit(0)).alias("n_paths"), F.coalesce("path_support", F.lit(0.0)).alias("path_support"), "_s.profile", "_s.score")
+    return hits, rows.withColumn("_s", F.explode(scored)).select("q", "node", "path", "g", F.coalesce("n_paths", F.lit(0)).alias("n_paths"), F.coalesce("path_support", F.lit(0.0)).alias("path_support"), "cos", "_s.profile", "_s.score")
 
 
 @query(with_(*RERANK) + "SELECT profile, q AS query_id, node AS node_id, n_paths, round(score, 6) AS score FROM ranked")
@@ -198,9 +204,9 @@ def anchored(spark: SparkSession, sf_dir: str, profiles: tuple[str, ...] = tuple
     """Final four: one vector hit keeps its place (two if the expanded paths have little support), then the best scores."""
     from pyspark.sql import Window
 
-    s, r = reranked(spark, sf_dir, profiles)
+    hits, r = reranked(spark, sf_dir, profiles)
     r = stored(r)
-    hits = graph.top_k(s, "src", "cos", "dst", K).select(F.col("src").alias("q"), F.col("dst").alias("node"), F.col("rank").alias("anchor_rank"))
+    hits = hits.withColumnRenamed("rank", "anchor_rank")
     support = r.groupBy("profile", "q").agg(F.avg(F.when(F.size("path") > 1, F.col("path_support"))).alias("s"))
     keep = F.when(F.coalesce("s", F.lit(0.0)) < 0.75, 2).otherwise(1)
     marked = r.join(support, ["profile", "q"]).join(hits, ["q", "node"], "left").withColumn("anchor", F.coalesce(F.col("anchor_rank") <= keep, F.lit(False)))
@@ -235,8 +241,8 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(VEC, SIM, EDGES, BASE_HITS, "dsteps AS (SELECT src AS node, dst AS nxt, src, dst, weight FROM edges)", _expansion_sql("dsteps")) + """SELECT b.q AS query_id, b.node AS node_id, round(round(0.7 * cos + 0.3 * g, 9), 6) AS score,
   row_number() OVER (PARTITION BY b.q ORDER BY round(0.7 * cos + 0.3 * g, 9) DESC, b.node) AS rank FROM best b JOIN sim ON src = b.q AND dst = b.node QUALIFY rank <= 4""")
 def strategy_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, _, best = expansion(spark, sf_dir, directed=True)
-    rows = best.join(s.select(F.col("src").alias("q"), F.col("dst").alias("node"), "cos"), ["q", "node"]).withColumn("s", F.round(0.7 * F.col("cos") + 0.3 * F.col("g"), 9))
+    _, _, best = expansion(spark, sf_dir, directed=True)
+    rows = base.pair_cos(best, base.vec(spark, sf_dir)).withColumn("s", F.round(0.7 * F.col("cos") + 0.3 * F.col("g"), 9))
     return graph.top_k(rows, "q", "s", "node", K).select(F.col("q").alias("query_id"), F.col("node").alias("node_id"), F.round("s", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -277,10 +283,10 @@ RATES = "SELECT *, CASE WHEN missing = 0 THEN 0 ELSE round(rescued / missing, 6)
 
 @query(with_(VEC, SIM, EDGES, BASE_HITS, SUPPORT, RESCUE) + RATES.format(RESCUE_TOTALS.format(keys="", group="")))
 def evidence_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stored(base.sim(base.vec(spark, sf_dir)))
-    hits = graph.top_k(s, "src", "cos", "dst", K).select(F.col("src").alias("q"), F.col("dst").alias("node"), "rank")
-    e = base.top_edges(s, "cos").select("src", "dst", F.col("cos").alias("weight"))
-    cases = graph.rescue(hits, support(spark, sf_dir), e, s.select(F.col("src").alias("q"), F.col("dst").alias("node")))
+    near = stored(base.near(base.vec(spark, sf_dir), K))
+    hits = near.select(F.col("src").alias("q"), F.col("dst").alias("node"), "rank")
+    e = near.where(F.col("cos") >= base.THRESHOLD).select("src", "dst", F.col("cos").alias("weight"))
+    cases = graph.rescue(hits, support(spark, sf_dir), e)
     return graph.rescue_metrics(cases, [])
 
 
@@ -288,11 +294,9 @@ def evidence_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
              "e AS (SELECT k, t, src, dst, cos FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cos DESC, dst) AS r FROM sim), grid WHERE cos >= t AND r <= k)")
        + "SELECT CAST(k AS BIGINT) AS top_k_edges, CAST(t AS DOUBLE) AS threshold, count(*) AS edge_count, count(DISTINCT src) AS sources, round(avg(cos), 6) AS mean_score, round(count(*) / (SELECT count(*) FROM vec), 6) AS edges_per_node FROM e GROUP BY 1, 2")
 def density_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs are scored and ranked once; each setting of the grid keeps a part."""
-    from pyspark.sql import Window
-
+    """The best eight are found once; each setting of the grid keeps a part."""
     v = base.vec(spark, sf_dir)
-    ranked = base.sim(v).withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("cos"), "dst"))).where("r <= 8 and cos >= 0.10")
+    ranked = base.near(v, 8, 0.10).withColumnRenamed("rank", "r")
     grid = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(t).alias("t")) for k in (1, 2, 4, 8) for t in (0.10, 0.18)])
     kept = ranked.withColumn("g", F.explode(grid)).where("cos >= g.t and r <= g.k")
     n = v.agg(F.count("*").alias("n"))

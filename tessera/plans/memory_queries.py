@@ -12,7 +12,7 @@ from tessera.operators.stored import stored
 
 from . import base
 from .base import EDGES, EMB, MSG, PAIRS, SIM, VEC, quoted, sql_tokens, sql_top, table
-from .graph_queries import ANCHORED, BASE_HITS, RERANK, SUPPORT, anchored, support
+from .graph_queries import ANCHORED, BASE_HITS, RERANK, SUPPORT, anchored, support, support_of
 from .registry import query, with_
 from .state_queries import MADE, RULES, SUMMARY, conflict_candidates, rules, summaries
 
@@ -28,7 +28,8 @@ def heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(*FINAL, HEAVY, SUPPORT, CONS) + "SELECT q AS query_id, array_to_string(nodes, ',') AS nodes, n_support, round(confidence, 6) AS confidence, 'con_' || substr(sha1(array_to_string(nodes, ',')), 1, 16) AS id FROM cons")
 def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = memory.consolidate(heavy(spark, sf_dir), support(spark, sf_dir))
+    h = stored(heavy(spark, sf_dir))
+    c = memory.consolidate(h, support_of(spark, sf_dir, h))
     return c.select(F.col("q").alias("query_id"), F.concat_ws(",", F.transform("nodes", lambda x: x.cast("string"))).alias("nodes"), "n_support", F.round("confidence", 6).alias("confidence"), "id")
 
 
@@ -36,7 +37,8 @@ def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
        + "SELECT q AS query_id, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY q)), 6) AS value FROM parts")
 def consolidated_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The centroid of each consolidated memory's sources, weighted by their confidence."""
-    c = memory.consolidate(heavy(spark, sf_dir), support(spark, sf_dir)).select("q", F.explode("nodes").alias("id")).join(base.vec(spark, sf_dir), "id")
+    h = stored(heavy(spark, sf_dir))
+    c = memory.consolidate(h, support_of(spark, sf_dir, h)).select("q", F.explode("nodes").alias("id")).join(base.vec(spark, sf_dir), "id")
     held = vectors.centroid(c, ["q"], "v", F.greatest(F.lit(0.05), "conf"))
     return held.select(F.col("q").alias("query_id"), F.posexplode("embedding").alias("pos", "value")).select("query_id", (F.col("pos") + 1).cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
@@ -235,8 +237,7 @@ def bad_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = heavy(spark, sf_dir).join(rel, ["q", "node"], "left")
     walked = F.size("path") > 1
     mine = hits.groupBy("q").agg(F.count("ok").alias("found"), F.sum((walked & F.col("ok").isNull()).cast("int")).alias("noise"), F.sum(walked.cast("int")).alias("walked"))
-    s = base.sim(base.vec(spark, sf_dir))
-    plain = graph.top_k(s, "src", "cos", "dst", 4).select(F.col("src").alias("q"), F.col("dst").alias("node")).join(rel, ["q", "node"], "left").groupBy("q").agg(F.count("ok").alias("base"))
+    plain = base.near(base.vec(spark, sf_dir), 4).select(F.col("src").alias("q"), F.col("dst").alias("node")).join(rel, ["q", "node"], "left").groupBy("q").agg(F.count("ok").alias("base"))
     wanted = rel.groupBy("q").agg(F.count("*").alias("wanted"))
     return base.vec(spark, sf_dir).select(F.col("id").alias("q")).join(wanted, "q", "left").join(mine, "q", "left").join(plain, "q", "left").fillna(0)
 

@@ -20,8 +20,7 @@ FINAL = (*RERANK, ANCHORED)
 @query(with_(*FINAL) + "SELECT f.q AS query_id, f.node AS node_id, f.rank AS rank, round(s.cos, 4) AS similarity, round(f.g, 4) AS graph_score, round(f.path_support, 4) AS path_support, array_to_string(f.path, '>') AS path FROM final f JOIN sim s ON s.src = f.q AND s.dst = f.node WHERE profile = 'semantic_heavy'")
 def explain_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the final hits' scores are made of, to four digits."""
-    s = base.sim(base.vec(spark, sf_dir)).select(F.col("src").alias("q"), F.col("dst").alias("node"), "cos")
-    f = anchored(spark, sf_dir).where("profile = 'semantic_heavy'").join(s, ["q", "node"])
+    f = anchored(spark, sf_dir, ("semantic_heavy",))
     return f.select(F.col("q").alias("query_id"), F.col("node").alias("node_id"), F.col("rank").cast("long").alias("rank"), F.round("cos", 4).alias("similarity"), F.round("g", 4).alias("graph_score"), F.round("path_support", 4).alias("path_support"), F.array_join("path", ">").alias("path"))
 
 

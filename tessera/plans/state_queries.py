@@ -11,7 +11,7 @@ from tessera.operators.stored import stored
 
 from . import base
 from .base import EMB, MSG, PAIRS, quoted, table
-from .graph_queries import ANCHORED, RERANK, SUPPORT, anchored, support
+from .graph_queries import ANCHORED, RERANK, SUPPORT, anchored, support_of
 from .registry import query, with_
 
 NOISE = quoted(sorted({*words.GENERIC_EDGE_KEYWORDS, *words.LOW_INFORMATION_EDGE_KEYWORDS}))
@@ -122,7 +122,7 @@ STEPS = "walked AS (SELECT q, node, path[i] AS src, path[i + 1] AS dst FROM (SEL
 
 def walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(final hits of the default profile, the edges on their paths)."""
-    hits = anchored(spark, sf_dir).where("profile = 'semantic_heavy'")
+    hits = stored(anchored(spark, sf_dir, ("semantic_heavy",)))
     return hits, state.path_edges(hits, ["q", "node"])
 
 
@@ -141,7 +141,8 @@ adjusted AS (SELECT src, dst, old, up, down, CASE WHEN down > 0 THEN least(1.0,
 def fed_back(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(edges before, edges after feedback on the final hits' paths)."""
     _, used = walked(spark, sf_dir)
-    marked = used.join(support(spark, sf_dir).withColumn("support", F.lit(True)), ["q", "node"], "left").withColumn("support", F.coalesce("support", F.lit(False)))
+    used = stored(used)
+    marked = used.join(support_of(spark, sf_dir, used).withColumn("support", F.lit(True)), ["q", "node"], "left").withColumn("support", F.coalesce("support", F.lit(False)))
     before = base.edges(spark, sf_dir).select("src", "dst", "weight")
     return before, state.adjust(before, marked)
 
@@ -164,7 +165,7 @@ def edge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events that a round of retrieval and feedback appends, by type."""
     hits, used = walked(spark, sf_dir)
-    marked = hits.join(support(spark, sf_dir).withColumn("ok", F.lit(True)), ["q", "node"], "left").where(F.col("ok") | (F.size("path") > 1))
+    marked = hits.join(support_of(spark, sf_dir, hits).withColumn("ok", F.lit(True)), ["q", "node"], "left").where(F.col("ok") | (F.size("path") > 1))
     kinds = hits.select(F.lit("node_retrieved").alias("event_type")).unionAll(used.select(F.lit("edge_traversed").alias("event_type"))).unionAll(marked.select(F.when(F.col("ok"), "support_hit").otherwise("path_rejected").alias("event_type")))
     return kinds.groupBy("event_type").agg(F.count("*").alias("n"))
 

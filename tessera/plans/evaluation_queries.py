@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text
-from tessera.operators import evaluation, graph
+from tessera.functions import text, vectors
+from tessera.operators import evaluation, graph, objects
 from tessera.operators.stored import stored
 
 from . import base
@@ -28,6 +28,46 @@ def cross_graph_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top_k(p, "a_id", "s", "b_id", 3).select(F.col("a_id").alias("query_id"), F.col("b_id").alias("node_id"), F.round("s", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+CROSS_SEEDS, CROSS_HOPS, CROSS_K = 2, 2, 5
+TYPES = {"any": "", "long": "WHERE type = 'long'"}  # a session of more than four messages is a long one
+
+
+def _cross_sql(name: str, only: str) -> list[str]:
+    return [
+        f"{name}_unit AS MATERIALIZED (SELECT * FROM unit {only})", f"{name}_br AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b FROM {name}_unit a JOIN {name}_unit b ON a.entity = b.entity AND a.conv <> b.conv)",
+        f"{name}_s AS MATERIALIZED (SELECT q, node, row_number() OVER (PARTITION BY q ORDER BY s DESC, node) AS rank FROM seed_scores WHERE node IN (SELECT id FROM mtype {only}) QUALIFY rank <= {CROSS_SEEDS})",
+        f"{name}_1 AS MATERIALIZED (SELECT q, b AS node, arg_min([node, b], rank) AS path, min(rank) AS rank FROM {name}_s JOIN {name}_br ON a = node WHERE b <> q GROUP BY 1, 2)",
+        f"{name}_2 AS MATERIALIZED (SELECT q, b AS node, arg_min(list_append(path, b), {{'rank': rank, 'node': node}}) AS path FROM {name}_1 JOIN {name}_br ON a = node WHERE b <> q AND NOT list_contains(path, b) GROUP BY 1, 2)",
+        f"""{name}_best AS MATERIALIZED (SELECT q, node, path, g FROM (SELECT q, node, path, 1.08 AS g, 2 AS d FROM {name}_2 UNION ALL SELECT q, node, path, 0.72, 1 FROM {name}_1 UNION ALL SELECT q, node, [node], 0.0, 0 FROM {name}_s) QUALIFY row_number() OVER (PARTITION BY q, node ORDER BY d DESC) = 1)""",
+        f"""{name}_fin AS (SELECT '{name}' AS object_type, b.q AS query_id, b.node AS node_id, array_to_string(path, '>') AS path, round(score, 6) AS score, row_number() OVER (PARTITION BY b.q ORDER BY score DESC, b.node) AS rank FROM (SELECT b.*, round(0.52 * round(coalesce(c, 0), 9) + 0.36 * g + CASE WHEN len(path) > 1 THEN 0.12 ELSE 0 END + 0.03 * {base.CONFIDENCE}, 9) AS score
+    FROM {name}_best b LEFT JOIN (SELECT x.id AS i, y.id AS j, sum(x.val * y.val) AS c FROM emb x JOIN emb y USING (idx) GROUP BY 1, 2) e ON i = b.q AND j = b.node) b QUALIFY rank <= {CROSS_K})""",
+    ]
+
+
+@query(with_(MSG, EMB, PAIRS, "mtype AS MATERIALIZED (SELECT id, conv, CASE WHEN count(*) OVER (PARTITION BY conv) > 4 THEN 'long' ELSE 'short' END AS type FROM msg)", "unit AS MATERIALIZED (SELECT DISTINCT m.id AS id, m.conv AS conv, type, lower(unnest(ents)) AS entity FROM msg m JOIN mtype USING (id))",
+             "seed_scores AS MATERIALIZED (SELECT a_id AS q, b_id AS node, round(0.62 * cos + 0.38 * CASE WHEN len(a_kw) = 0 THEN 0 ELSE len(list_intersect(a_kw, list_concat(b_kw, list_transform(b_ents, lambda e: lower(e))))) / len(a_kw) END, 9) AS s FROM pairs WHERE a_role = 'user')",
+             *[c for n, only in TYPES.items() for c in _cross_sql(n, only)]) + " UNION ALL ".join(f"SELECT * FROM {n}_fin" for n in TYPES))
+def cross_graph_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' messages enter at the best units of their session and walk over entities to those of other sessions; over sessions of any type, and over long ones alone."""
+    m = stored(vectors.packed_embedding(base.msg(spark, sf_dir), ["id"], "toks").drop("toks", "text"))
+    sizes = m.groupBy("conv").agg(F.when(F.count("*") > 4, "long").otherwise("short").alias("type"))
+    kinds = stored(m.join(sizes, "conv").select("id", F.col("conv").alias("object"), "type", F.explode_outer(F.transform("ents", F.lower)).alias("entity")))
+    score = evaluation.seed_score(F.col("cos"), evaluation.lexical_score(F.col("a_kw"), F.concat("b_kw", F.transform("b_ents", F.lower))))
+    scored = stored(base.scored_pairs(spark, sf_dir).where("a_role = 'user'").select(F.col("a_id").alias("q"), F.col("b_id").alias("node"), F.round(score, 9).alias("s")))
+    unit = m.select("id", vectors.dense(F.col("lookup")).alias("v"))
+    out = None
+    for name in TYPES:
+        of = kinds if name == "any" else kinds.where(F.col("type") == name)
+        seeds = graph.top_k(scored.join(of.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "q", "s", "node", CROSS_SEEDS).select("q", "node", "rank")
+        best = objects.bridge_walk(seeds, of.where("entity is not null").select("id", "object", "entity"), CROSS_HOPS)
+        both = best.join(unit.select(F.col("id").alias("q"), F.col("v").alias("a")), "q").join(unit.select(F.col("id").alias("node"), F.col("v").alias("b")), "node")
+        total = objects.walk_score(F.round(F.coalesce(vectors.dot(F.col("a"), F.col("b")), F.lit(0.0)), 9), F.col("g"), F.col("path"), F.lit(base.CONFIDENCE))
+        found = graph.top_k(both.select("q", "node", "path", F.round(total, 9).alias("score")), "q", "score", "node", CROSS_K)
+        one = found.select(F.lit(name).alias("object_type"), F.col("q").alias("query_id"), F.col("node").alias("node_id"), F.array_join("path", ">").alias("path"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(f"""SELECT m.case_id AS query_id, c.conv_id || ':' || c.turn AS node_id, round(least(1.0, 0.72 * m.score + 0.18 * {base.CONFIDENCE} + 0.10), 6) AS graph_score, round(least(0.16, 0.12 * m.score), 6) AS boost
 FROM ({SQL["case_retrieval"]}) m JOIN conversations c ON c.conv_id = m.other_case WHERE c.role = 'assistant'""")
 def analogy_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,13 +273,6 @@ def embedding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.agg(F.sum("n").alias("texts"), F.count("*").alias("unique_texts"), (F.sum("n") - F.count("*")).alias("duplicates"), F.count("hit").alias("hits"), miss.alias("misses"), F.ceil(miss / 64).alias("batches"))
 
 
-@query("SELECT event_type, round(median(value), 6) AS median_value, round(max(value), 6) AS largest, round(median(value) / max(median(value)) OVER (), 6) AS ratio FROM events GROUP BY 1")
-def insertion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians of repeats and their ratio to the slowest, as of a benchmark's timings."""
-    t = table(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("percentile(value, 0.5)").alias("m"), F.max("value").alias("x"))
-    return t.select("event_type", F.round("m", 6).alias("median_value"), F.round("x", 6).alias("largest"), F.round(F.col("m") / F.max("m").over(Window.partitionBy()), 6).alias("ratio"))
-
-
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM benchmark) AS queries, (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1) AS support_documents, (SELECT count(DISTINCT source) FROM documents) AS groups")
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("groups"))

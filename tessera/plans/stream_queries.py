@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.streaming import events
+from tessera.operators import objects
+from tessera.operators.stored import folder, stored
+from tessera.streaming import events, ingest
 
-from .registry import query
+from . import base
+from .base import EMB, MSG, PAIRS
+from .registry import query, with_
+from .state_queries import MADE, NOISE, RULES
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -20,3 +25,75 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS usage, max(event_id) AS last_event FROM events GROUP BY 1")
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.run_available(events.usage_counts(events.read_log(spark, sf_dir)), ["user_id"])
+
+
+# -- conversations that come in three deliveries, by turns
+
+DELIVERIES = 3
+LOCAL = f"local AS MATERIALIZED (SELECT m.*, least({DELIVERIES - 1}, turn // 3) AS delivery FROM msg m)"
+
+
+def inserted(spark: SparkSession, sf_dir: str) -> ingest.Log:
+    """Messages as nodes, three turns a delivery."""
+    rows = stored(base.msg(spark, sf_dir).select("id", F.col("conv").alias("ctx"), "kw", "ents", F.least(F.lit(DELIVERIES - 1), F.floor(F.col("turn") / 3)).cast("int").alias("part")))
+    log = ingest.Log(spark, folder(rows), rows.schema)
+    ingest.replay(log, [rows.where(F.col("part") == n) for n in range(DELIVERIES)], ingest.insertion(log, lambda batch: batch))
+    return log
+
+
+@query(with_(MSG, EMB, PAIRS, RULES, MADE) + "SELECT a_id AS source_id, b_id AS target_id, relation_type, round(weight, 6) AS weight FROM made WHERE relation_type <> 'embedding_similarity'")
+def online_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges after all deliveries were inserted, each with the nodes there were: those of a rebuild of the whole."""
+    e = inserted(spark, sf_dir).read("edges", ingest.EDGES)
+    return e.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.col("relation").alias("relation_type"), F.round("weight", 6).alias("weight"))
+
+
+@query(with_(MSG, LOCAL, f"d AS (SELECT unnest(range({DELIVERIES})) AS delivery)", "so_far AS MATERIALIZED (SELECT d.delivery AS delivery, l.delivery AS own, l.* EXCLUDE (delivery) FROM d JOIN local l ON l.delivery <= d.delivery)",
+             f"""met AS MATERIALIZED (SELECT a.delivery AS delivery, len(list_filter(a.ents, lambda x: list_contains(b.ents, x))) AS e, len(list_filter(a.kw, lambda x: list_contains(b.kw, x) AND x NOT IN ({NOISE}))) AS k
+  FROM so_far a JOIN so_far b ON a.delivery = b.delivery AND a.conv = b.conv AND a.id < b.id WHERE greatest(a.own, b.own) = a.delivery)""")
+       + """SELECT n.delivery AS delivery, n.nodes AS nodes, total * (total - 1) // 2 AS full_rebuild_pairs, CAST(local_pairs AS BIGINT) AS local_pairs, coalesce(scored, 0) AS incremental_pairs, 0::BIGINT AS lazy_pairs, coalesce(made, 0) AS edges
+FROM (SELECT delivery, count(*) AS total, count(*) FILTER (WHERE own = delivery) AS nodes FROM so_far GROUP BY 1) n JOIN (SELECT delivery, sum(c * (c - 1) // 2) AS local_pairs FROM (SELECT delivery, conv, count(*) AS c FROM so_far GROUP BY 1, 2) GROUP BY 1) USING (delivery)
+LEFT JOIN (SELECT delivery, count(*) FILTER (WHERE e + k > 0) AS scored, 2 * count(*) FILTER (WHERE e > 0 OR k >= 2) AS made FROM met GROUP BY 1) USING (delivery)""")
+def insertion_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each delivery costs by way of insertion: pairs of a rebuild of all there is, of a rebuild inside contexts, of the lists' candidates alone, and of leaving edges to the queries."""
+    log = inserted(spark, sf_dir)
+    counts, nodes = log.read("counts", ingest.COUNTS), stored(log.read("nodes", "ctx string, id string"))
+    later = F.explode(F.sequence(F.col("batch"), F.lit(DELIVERIES - 1).cast("long")))
+    held = nodes.select("ctx", later.alias("delivery")).groupBy("delivery", "ctx").agg(F.count("*").alias("n"))
+    pairs = held.groupBy("delivery").agg(F.sum("n").alias("total"), F.sum(F.expr("n * (n - 1) div 2")).alias("local_pairs"))
+    whole = F.expr("total * (total - 1) div 2")
+    return counts.withColumnRenamed("batch", "delivery").join(pairs, "delivery").select("delivery", "nodes", whole.alias("full_rebuild_pairs"), "local_pairs", F.col("scored").alias("incremental_pairs"), F.lit(0).cast("long").alias("lazy_pairs"), "edges")
+
+
+UNITS = f"""units AS MATERIALIZED (SELECT v, conv AS object, turn % 3 AS unit, text, ents FROM msg JOIN (SELECT unnest(range({DELIVERIES})) AS v) ON turn BETWEEN 2 * v AND 2 * v + 2 WHERE conv IS NOT NULL),
+delta AS MATERIALIZED (SELECT object, unit, v, CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'removed' WHEN text IS NOT DISTINCT FROM was_text AND ents = was THEN 'same' ELSE 'updated' END AS change, coalesce(ents, CAST([] AS VARCHAR[])) AS ents, coalesce(was, CAST([] AS VARCHAR[])) AS was
+  FROM (SELECT object, unit, v, text, ents, 1 AS n FROM units) FULL JOIN (SELECT object, unit, v + 1 AS v, text AS was_text, ents AS was, 1 AS o FROM units u WHERE EXISTS (SELECT 1 FROM units x WHERE x.object = u.object AND x.v = u.v + 1)) USING (object, unit, v))"""
+
+
+def object_log(spark: SparkSession, sf_dir: str) -> ingest.Log:
+    """Conversations as objects that remember three turns: version v holds turns 2v to 2v + 2, each in the place (unit) of the turn three before."""
+    m = base.msg(spark, sf_dir).where("conv is not null").select(F.col("conv").cast("long").alias("object"), (F.col("turn") % 3).cast("long").alias("unit"), "text", F.col("ents").alias("entities"), "turn")
+    rows = stored(m)
+    parts = [rows.where(F.col("turn").between(2 * v, 2 * v + 2)).drop("turn") for v in range(DELIVERIES)]
+    log = ingest.Log(spark, folder(rows), parts[0].schema)
+    ingest.replay(log, parts, ingest.object_versions(log))
+    return log
+
+
+@query(with_(MSG, UNITS) + """SELECT v AS version, object, count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'updated') AS updated, count(*) FILTER (WHERE change = 'same') AS same, count(*) FILTER (WHERE change = 'removed') AS removed,
+  CAST(sum(len(list_filter(ents, lambda x: NOT list_contains(was, x)))) AS BIGINT) AS hubs_gained, CAST(sum(len(list_filter(was, lambda x: NOT list_contains(ents, x)))) AS BIGINT) AS hubs_lost FROM delta GROUP BY 1, 2""")
+def object_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each version of each object: its units that are new, changed, as they were, or gone, and the entities that its units came to hold or hold no longer."""
+    d = object_log(spark, sf_dir).read("delta", ingest.DELTA)
+    kind = lambda c: F.count_if(F.col("change") == c).alias(c)
+    gained, lost = F.sum(F.size(F.array_except("entities", "was"))), F.sum(F.size(F.array_except("was", "entities")))
+    return d.groupBy("version", "object").agg(kind("added"), kind("updated"), kind("same"), kind("removed"), gained.cast("long").alias("hubs_gained"), lost.cast("long").alias("hubs_lost"))
+
+
+@query(with_(MSG, UNITS, f"held AS (SELECT seen, object, unit, unnest(ents) AS entity FROM (SELECT seen, u.*, max(v) OVER (PARTITION BY seen, object) AS last FROM units u JOIN (SELECT unnest(range({DELIVERIES})) AS seen) ON v <= seen) WHERE v = last)")
+       + "SELECT a.seen AS version, count(*) AS links FROM held a JOIN held b ON a.seen = b.seen AND a.entity = b.entity AND a.object <> b.object GROUP BY 1")
+def object_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many links between units of different objects stand after each delivery, from what the deliveries changed alone."""
+    d = object_log(spark, sf_dir).read("delta", ingest.DELTA).withColumn("_o", F.col("object")).withColumn("object", F.struct("object", "version"))
+    hubs = objects.changed_hubs(d).select("object.object", "object.version", "entity", "op")
+    return ingest.links(hubs, F.array(*[F.lit(v) for v in range(DELIVERIES)])).where("links > 0")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stored import stored
+from .stored import forget, stored
 
 
 def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
@@ -27,8 +27,10 @@ def connected_components(edges: DataFrame, settle: Callable[[DataFrame], DataFra
         large = settle(canonical(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = settle(canonical(small.unionByName(least.select("a", F.col("m").alias("b")))))
+        was, now = now, settle(canonical(small.unionByName(least.select("a", F.col("m").alias("b")))))
         after = mark(now)
+        if settle is stored:
+            forget(was, large)
         if after == before:
             break
         before = after

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -16,12 +16,30 @@ def folder(df: DataFrame) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _LOCAL.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-tables-"))
     return f"{root.rstrip('/')}/tables-{sc.applicationId}/{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that stored() gave and nothing will read again."""
+    for t in tables:
+        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            if "/tables-" in path:
+                _delete(t.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that this session has stored. Results that are not written elsewhere are lost."""
+    _delete(spark, folder(spark.range(0)).rpartition("/")[0])
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df's rows, computed now. What lies before is never run again, by whatever uses them or by executors that come back."""
     path = folder(df)

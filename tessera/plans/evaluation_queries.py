@@ -179,11 +179,12 @@ def method_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH p AS (SELECT doc_id, unnest([source, lang, 'doc_' || doc_id]) AS part FROM documents) SELECT (SELECT count(*) FROM documents) AS paths, count(DISTINCT p.doc_id) AS leaks FROM p JOIN benchmark b ON 'item_' || b.item_id = p.part""")
+@query("""WITH p AS (SELECT page_id, unnest(string_split(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/')) AS part FROM pages WHERE url IS NOT NULL)
+SELECT (SELECT count(*) FROM pages) AS paths, count(DISTINCT page_id) AS leaks FROM p JOIN (SELECT DISTINCT CAST(item_id AS VARCHAR) AS part FROM benchmark) USING (part)""")
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context paths (source, language, document) of which a part is a query's id (item): there should be none."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array("source", "lang", F.concat(F.lit("doc_"), F.col("doc_id"))).alias("path"))
-    return evaluation.leaks(d, "doc_id", "path", table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item_"), "item_id")))
+    """Context paths (the parts of a page's url, by slashes) of which one is a query's id (a benchmark item's number): such a page would tell a retrieval which query it belongs to."""
+    path = F.split(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), "/")
+    return evaluation.leaks(table(spark, sf_dir, "pages").select("page_id", path.alias("path")), "page_id", "path", table(spark, sf_dir, "benchmark").select("item_id"))
 
 
 @query("""SELECT event_id, json_extract_string(regexp_extract(f, '(?s)\\{.*\\}'), '$.k') AS k FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Here it is:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' ELSE props END AS f FROM events)""")

@@ -17,8 +17,9 @@ from .state_queries import MADE, NOISE, RULES
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a table's files come in no order of time, so no event of it is late
-    out = events.run_available(events.windowed_counts(events.read_log(spark, sf_dir), late="36500 days"), ["start", "event_type"])
+    """Daily counts. The log is delivered in the order of time, a range of it a file, so that the watermark of a day closes windows as the stream goes on and yet no event is late."""
+    log = base.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = events.run_available(events.windowed_counts(events.read_in_order(log, "ts"), late="1 day"), ["start", "event_type"])
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 

@@ -40,3 +40,23 @@ def test_late_events_are_dropped_and_batches_add_up(spark, tmp_path):
     assert counts == {1: 9, 9: 7}  # the last file's seven were more than a day late by what earlier batches had seen
     usage = events.run_available(events.usage_counts(events.read_log(spark, str(tmp_path))), ["user_id"]).first()
     assert (usage.usage, usage.last_event) == (23, 60)
+
+
+def test_a_log_in_order_of_time_has_no_late_events(spark):
+    from tessera.streaming import events
+
+    rows = [(i, 1, "view", datetime.datetime(2024, 1, 1 + (i * 7) % 20, 6)) for i in range(200)]
+    log = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").repartition(5)
+    stream = events.windowed_counts(events.read_in_order(log, "ts", 5), late="1 day")
+    got = {r.start.day: r.n for r in events.run_available(stream, ["start", "event_type"]).collect()}
+    assert got == {d: 10 for d in range(1, 21)}
+
+
+def test_stored_tables_go(spark):
+    from tessera.operators.stored import forget, stored
+
+    kept, gone = stored(spark.range(5)), stored(spark.range(5))
+    forget(gone)
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST"):
+        gone.count()

@@ -15,7 +15,8 @@ Plan:
    shared prefix tokens drop out, and all others are verified exactly. A group of copies is thus a few stars of links and
    not all its pairs.
 
-Nothing is collected or broadcast; frequencies, lists, classes and components are tables in the shared folder.
+Frequencies, lists, classes and components are tables in the shared folder. What is collected and broadcast are the rows of
+at most a thousand hot keys of a join at a time, never documents.
 
 Defined results: null, empty and word-less texts have no tokens and link with nothing; a text with under five words has its
 whole sequence as one token; repeated rows link with each other; a null doc_id is reachable but never the smallest unless
@@ -294,7 +295,8 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
 
     Each class looks up the posting lists of its prefix tokens and counts there; of two components, the smaller one's classes
     look for the larger one's, so a list's largest component only waits. Lists go as arrays, cut by a hash of the class into
-    parts of about LIST entries, so that what a task counts at once is bounded; no row is made for a pair and a token.
+    parts of about LIST entries; what a task counts at once is a class's parts of its prefix tokens' lists, so it grows with the
+    class's prefix. No row is made for a pair and a token.
     """
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     p = postings.join(labels.join(sizes, "label"), "id")

@@ -8,9 +8,9 @@ Payloads of equal digest are stored once: the record of the largest page_id is t
 HTTP header keeps the payload's length and whose WARC headers name the digest and the response's page.
 
 Tasks write files with names of their attempt; manifests (a row a file) name those that count, so a lost
-executor costs only its tasks' work. Pages are never shuffled by digest with their payloads: only (digest, page_id) is
-aggregated, with map-side combining, and what joins back is salted, so copies that hold a third of all pages are no one
-task's work.
+executor costs only its tasks' work. The response of each digest comes from an aggregation of (digest, page_id), with map-side
+combining. Pages of a very common payload stay where they are and meet it by broadcast, so copies that hold a third of all
+pages are no one task's work; the other pages are shuffled by digest, html included.
 
 Defined results: a null html is an empty payload; rows without page_id lose to rows with one and equal page_ids with equal
 payloads are all responses; null urls become an empty target URI; empty tables give no files; other columns of the input,

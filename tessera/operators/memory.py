@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text, words
 
+from .components import connected_components
+from .nearest import linked
+from .stored import stored
+
 
 def consolidate(hits: DataFrame, support: DataFrame, fallback: int = 3) -> DataFrame:
     """(q, nodes, n_support, confidence, id): what a query's hits leave as a long-term memory: its supported hits, or else the first few."""
@@ -54,29 +58,86 @@ def hybrid_score(cos: Column, kw_a: Column, kw_b: Column, ev_a: Column, ev_b: Co
 
 
 def greedy_clusters(memories: DataFrame, group: str, key: str, vector: str, threshold: float = 0.82) -> DataFrame:
-    """(group, key, cluster): each memory, in the order of keys, joins the nearest cluster's centroid from the threshold on, or begins a cluster. The order matters, so a group is one task's work; groups are contexts and bounded."""
+    """(group, key, cluster): each memory of a group, in the order of keys, joins the nearest cluster's centroid from the threshold on, or begins a cluster, which has its key.
+
+    The order matters, but not for memories far from each other: a centroid is a sum s of members, each of which was within
+    the threshold t of the sum before it, so |s| >= t * (the sum of their lengths), and a memory's cosine with s is at most
+    1/t times its largest with a member. A memory that joins a cluster therefore has a cosine of t*t or more with one of its
+    members, and components of such links (found without all pairs) never touch each other. Memories without a link are
+    clusters; each component is walked in order, a row at a time, holding its centroids alone. The result is the sequential
+    one. Null keys, groups and vectors take no part; keys are distinct long integers.
+    """
     import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        sums: list[np.ndarray] = []
-        out = []
-        for v in pdf[vector]:
-            v = np.asarray(v, float)
-            unit = v / (np.linalg.norm(v) or 1.0)
-            scores = [float(unit @ (s / (np.linalg.norm(s) or 1.0))) for s in sums]
-            best = int(np.argmax(scores)) if scores else -1
-            if best >= 0 and scores[best] >= threshold:
-                sums[best] = sums[best] + v
-            else:
-                sums.append(v.copy())
-                best = len(sums) - 1
-            out.append(best)
-        return pd.DataFrame({group: pdf[group].to_numpy(), key: pdf[key].to_numpy(), "cluster": out})
-
-    kinds = dict(memories.dtypes)
-    return memories.select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
+    import pyarrow as pa
+
+    given = memories.where(F.col(group).isNotNull() & F.col(key).isNotNull() & F.col(vector).isNotNull())
+    held = stored(given.select(F.col(group).alias("grp"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")))
+    parts = connected_components(stored(linked(held, threshold * threshold - 1e-9)))
+    placed = held.join(parts, "id", "left")
+    kind = dict(held.dtypes)["grp"]
+
+    def walk(batches):
+        now, sums = None, np.zeros((0, 0))
+        for b in batches:
+            grp, label, ids, vectors = (b.column(c).to_pylist() for c in ("grp", "label", "id", "v"))
+            out = []
+            for g, part, i, v in zip(grp, label, ids, vectors, strict=True):
+                x = np.asarray(v, float)
+                if (g, part) != now:
+                    now, sums, first = (g, part), np.zeros((0, len(x))), []
+                length = np.linalg.norm(sums, axis=1)
+                scores = (sums / np.where(length > 0, length, 1.0)[:, None]) @ (x / (np.linalg.norm(x) or 1.0))
+                best = int(np.argmax(scores)) if len(scores) else -1
+                if best >= 0 and scores[best] >= threshold:
+                    sums[best] += x
+                else:
+                    best, sums = len(first), np.vstack([sums, x])
+                    first.append(i)
+                out.append(first[best])
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("id"), pa.array(out, pa.int64())], ["grp", "id", "cluster"])
+
+    ordered = placed.where("label is not null").repartition("grp", "label").sortWithinPartitions("grp", "label", "id")
+    walked = ordered.select("grp", "label", "id", "v").mapInArrow(walk, f"grp {kind}, id long, cluster long")
+    alone = placed.where("label is null").select("grp", "id", F.col("id").alias("cluster"))
+    return walked.unionByName(alone).select(F.col("grp").alias(group), F.col("id").alias(key), "cluster")
+
+
+def reconstruction_metrics(memories: DataFrame, groups: DataFrame, strategies: list[str]) -> DataFrame:
+    """What each strategy's groups make of the memories, a row a strategy, also where it has no groups.
+
+    memories: (id, ev, answer); groups: (strategy, g, id). Support is evidence of two memories or more; a memory is traced in
+    full if all support among its evidence is in groups; a group's answers agree by the share of the most common one.
+    """
+    named = [F.lit(s).alias("strategy") for s in strategies]
+    total = memories.agg(F.count("*").alias("n")).withColumn("strategy", F.explode(F.array(*named)))
+    each = stored(memories.select("id", F.explode(F.array_distinct("ev")).alias("e")))
+    known = stored(each.groupBy("e").agg(F.count("*").alias("held")).select("e", (F.col("held") > 1).alias("support")))
+    whole = known.agg(F.count("*").alias("evidence"), F.count_if("support").alias("wanted"))
+    in_group = stored(groups.join(each, "id").groupBy("strategy", "g", "e").agg(F.count("*").alias("_")).join(known, "e"))
+    traced = in_group.groupBy("strategy").agg(F.count("*").alias("trace_edges"))
+    unique = in_group.groupBy("strategy", "e").agg(F.max("support").alias("support"))
+    kinds = unique.groupBy("strategy").agg(F.count("*").alias("unique"), F.count_if("support").alias("traced"))
+    asked = each.join(known.where("support").select("e"), "e").withColumn("strategy", F.explode(F.array(*named)))
+    full = asked.join(unique.select("strategy", "e", F.lit(1).alias("in")), ["strategy", "e"], "left").groupBy("strategy", "id").agg((F.count("in") == F.count("*")).cast("int").alias("full")).groupBy("strategy").agg(F.avg("full").alias("full_trace"))
+    answers = groups.join(memories.select("id", "answer"), "id").where("answer is not null and answer <> ''").groupBy("strategy", "g", "answer").agg(F.count("*").alias("n"))
+    agreed = answers.groupBy("strategy", "g").agg((F.max("n") / F.sum("n")).alias("agree"))
+    sizes = groups.groupBy("strategy", "g").agg(F.count("*").alias("size")).join(agreed, ["strategy", "g"], "left")
+    shape = sizes.groupBy("strategy").agg(F.count("*").alias("groups"), F.avg("size").alias("average_group_size"), F.avg(F.coalesce("agree", F.lit(0.0))).alias("answer_consistency"))
+    reached = groups.select("strategy", "id").distinct().groupBy("strategy").agg(F.count("*").alias("ids"))
+    rows = total.crossJoin(whole)  # one row of whole
+    for part in (traced, kinds, full, shape, reached):
+        rows = rows.join(part, "strategy", "left")
+    rows = rows.fillna(0)
+    share = lambda a, b: text.safe_divide(F.col(a).cast("double"), F.col(b))
+    units = F.when(F.col("groups") == 0, F.col("n")).otherwise(F.col("groups"))
+    rows = rows.withColumns({"units": units, "compression_ratio": text.safe_divide(F.col("n").cast("double"), units)}).withColumns(
+        {
+            "covered": share("ids", "n"), "redundancy": text.safe_divide((F.col("trace_edges") - F.col("unique")).cast("double"), F.col("trace_edges")), "evidence_coverage": share("unique", "evidence"), "support_trace": share("traced", "wanted"),
+            "trace_noise": text.safe_divide((F.col("unique") - F.col("traced")).cast("double"), F.col("unique")),
+        }
+    )
+    quality = 0.34 * F.col("support_trace") + 0.24 * F.col("full_trace") + 0.18 * F.col("answer_consistency") + 0.14 * F.col("evidence_coverage") + 0.10 * F.least(F.lit(1.0), F.log2(1.0 + F.col("compression_ratio")) / 3.0)
+    return rows.select("strategy", "units", "compression_ratio", "covered", "trace_edges", "redundancy", "evidence_coverage", "support_trace", "full_trace", "trace_noise", "answer_consistency", "average_group_size", F.round(quality, 6).alias("quality"))
 
 
 def entity_bridges(units: DataFrame, least_shared: int = 1) -> DataFrame:

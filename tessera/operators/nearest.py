@@ -77,7 +77,7 @@ def _pack(k: int, low: float):
         top = _best(score, ids, k)
         rank = np.take_along_axis(score, top, 1)
         row, col = np.nonzero(np.isfinite(rank) & (rank >= low))
-        kth = np.maximum(rank[:, -1], low) if rank.shape[1] == k else np.full(len(ids), low)
+        kth = np.maximum(rank[:, -1], low) if k and rank.shape[1] == k else np.full(len(ids), low)
         centre = x.mean(axis=0)
         best = top[row, col]
         cells = [
@@ -132,10 +132,47 @@ def _compare(k: int):
     return run
 
 
-def nearest(nodes: DataFrame, k: int, least: float | None = None, rows: int = ROWS) -> DataFrame:
-    """(src, dst, cos, score, rank): the best k of each node's context, but itself, with a score (cos + the other's bonus, to nine digits) of at least `least`."""
-    packed = blocks(nodes, k, least, rows)
-    met = tiles(packed)
+def _span(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what a symmetric matrix of links connects: each linked row with the first of its component."""
+    first = np.full(len(near), -1)
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        if first[i] < 0:
+            first[i], front = i, np.array([i])
+            while len(front):
+                front = np.flatnonzero(near[front].any(axis=0) & (first < 0))
+                first[front] = i
+    at = np.flatnonzero((first >= 0) & (first != np.arange(len(near))))
+    return at, first[at]
+
+
+def _span_block(least: float):
+    def run(t: pa.Table) -> pa.Table:
+        ids, x = np.array(t.column("ids")[0].as_py(), np.int64), np.frombuffer(t.column("x")[0].as_py(), np.float64).reshape(t.column("n")[0].as_py(), -1)
+        near = x @ x.T >= least
+        np.fill_diagonal(near, False)
+        a, b = _span(near)
+        return pa.table({"a": ids[a], "b": ids[b]})
+
+    return run
+
+
+def _span_tile(least: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        cell = lambda t, c: t.column(c)[0].as_py()
+        x, y = (np.frombuffer(cell(t, f"{p}_x"), np.float64).reshape(cell(t, f"{p}_n"), -1) for t, p in ((left, "a"), (right, "b")))
+        ids = np.array(cell(left, "a_ids") + cell(right, "b_ids"), np.int64)
+        near = np.zeros((len(ids), len(ids)), bool)
+        if x.shape[1] == y.shape[1]:
+            near[: len(x), len(x) :] = x @ y.T >= least
+            near |= near.T
+        a, b = _span(near)
+        return pa.table({"a": ids[a], "b": ids[b]})
+
+    return run
+
+
+def _sides(packed: DataFrame, met: DataFrame) -> list:
+    """The packed rows of either side of each tile, grouped by tile."""
     keys = ["grp", "a", "b"]
 
     def side(p: str) -> DataFrame:
@@ -143,7 +180,21 @@ def nearest(nodes: DataFrame, k: int, least: float | None = None, rows: int = RO
         named = met.select(*[F.col(c).alias(f"{p}_key_{c}") for c in keys])
         return named.join(body, (F.col(f"{p}_key_grp") == F.col(f"{p}_grp")) & (F.col(f"{p}_key_{p}") == F.col(f"{p}_blk"))).drop(f"{p}_grp", f"{p}_blk")
 
-    left, right = (side(p).groupBy(*[f"{p}_key_{c}" for c in keys]) for p in "ab")
+    return [side(p).groupBy(*[f"{p}_key_{c}" for c in keys]) for p in "ab"]
+
+
+def linked(nodes: DataFrame, least: float, rows: int = ROWS) -> DataFrame:
+    """(a, b): links that connect the same nodes (id, grp, v) of a context as all pairs with a cosine of at least `least` (above 0) do; a block or a tile gives at most one link a row."""
+    packed = blocks(nodes.withColumn("bonus", F.lit(0.0)), 0, least, rows)
+    left, right = _sides(packed, tiles(packed).where("a < b"))
+    inner = packed.select("grp", "blk", "n", "ids", "x").groupBy("grp", "blk").applyInArrow(_span_block(least), "a long, b long")
+    return inner.unionByName(left.cogroup(right).applyInArrow(_span_tile(least), "a long, b long"))
+
+
+def nearest(nodes: DataFrame, k: int, least: float | None = None, rows: int = ROWS) -> DataFrame:
+    """(src, dst, cos, score, rank): the best k of each node's context, but itself, with a score (cos + the other's bonus, to nine digits) of at least `least`."""
+    packed = blocks(nodes, k, least, rows)
+    left, right = _sides(packed, tiles(packed))
     own = packed.select(F.explode(F.arrays_zip("src", "dst", "score", "cos")).alias("r")).select("r.*")
     found = own.unionByName(left.cogroup(right).applyInArrow(_compare(k), FOUND))
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")

@@ -114,12 +114,54 @@ def recon_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("component", "size", F.round(F.when(n == 1, 1.0).otherwise(F.coalesce("s", F.lit(0.0)) / (n * (n - 1) / 2)), 6).alias("cohesion"))
 
 
-@query()
+def greedy_sql(source: str) -> str:
+    """greedy AS (grp, id, cluster): source's (grp, id, v) one after the other. A cluster is its first memory's id."""
+    return f"""ordered AS MATERIALIZED (SELECT grp, id, v, row_number() OVER (PARTITION BY grp ORDER BY id) AS i FROM {source} WHERE grp IS NOT NULL),
+steps AS (SELECT grp, i, id, id AS cluster, [id] AS firsts, [v] AS sums FROM ordered WHERE i = 1 UNION ALL
+  SELECT grp, i, id, CASE WHEN m >= 0.82 THEN firsts[p] ELSE id END, CASE WHEN m >= 0.82 THEN firsts ELSE list_append(firsts, id) END,
+    CASE WHEN m >= 0.82 THEN list_concat(list_concat(sums[:p - 1], [list_transform(list_zip(sums[p], v), lambda z: z[1] + z[2])]), sums[p + 1:]) ELSE list_append(sums, v) END
+  FROM (SELECT *, list_position(scores, m) AS p FROM (SELECT *, list_max(scores) AS m FROM (SELECT s.grp AS grp, o.i AS i, o.id AS id, firsts, sums, o.v AS v, list_transform(sums, lambda c: coalesce(list_cosine_similarity(c, o.v), 0)) AS scores FROM steps s JOIN ordered o ON o.grp = s.grp AND o.i = s.i + 1)))),
+greedy AS MATERIALIZED (SELECT grp, id, cluster FROM steps)"""
+
+
+@query(with_(VEC, greedy_sql("vec"), recursive=True) + "SELECT grp, id, cluster FROM greedy")
 def recon_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy centroid clusters of each label's memories; the order-dependent one, without SQL."""
+    """Greedy centroid clusters of each label's memories, as if they came one after the other."""
     return memory.greedy_clusters(base.vec(spark, sf_dir), "grp", "id", "v")
 
 
+STRATEGIES = ["none", "flat", "keyword", "hybrid", "greedy"]
+CLUSTERED = [f"ke AS (SELECT conv, unnest(k) AS kw, unnest(range(len(k))) AS pos FROM (SELECT conv, {MEANING} AS k FROM con))", "kn AS (SELECT kw, count(*) AS n FROM ke GROUP BY 1)",
+             "choice AS (SELECT conv, arg_min(kw, CASE WHEN n < 2 THEN 1000 ELSE 0 END + pos) AS cluster FROM ke JOIN kn USING (kw) GROUP BY 1)", "kept AS MATERIALIZED (SELECT conv, cluster FROM choice QUALIFY count(*) OVER (PARTITION BY cluster) >= 2 AND cluster <> 'general')"]
+LINKS = [f"l AS (SELECT a, b FROM hyb WHERE score >= {LINKED} UNION SELECT b, a FROM hyb WHERE score >= {LINKED})", "reach AS (SELECT conv AS a, conv AS b FROM con UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)", "comp AS MATERIALIZED (SELECT a AS conv, min(b) AS component FROM reach GROUP BY 1)"]
+
+
+@query(with_(MSG, CON, CEMB, HYBRID, *LINKS, *CLUSTERED, "cvec AS MATERIALIZED (SELECT 0 AS grp, x.conv AS id, list(coalesce(val, 0.0) ORDER BY i) AS v FROM (SELECT conv, i FROM con CROSS JOIN range(256) r(i)) x LEFT JOIN cemb ON cemb.conv = x.conv AND idx = i GROUP BY x.conv)",
+             greedy_sql("cvec"), """grouped AS MATERIALIZED (SELECT 'flat' AS strategy, CAST(conv AS VARCHAR) AS g, conv AS id FROM con UNION ALL SELECT 'keyword', cluster, conv FROM kept UNION ALL SELECT 'keyword', 'general', conv FROM con WHERE NOT EXISTS (SELECT 1 FROM kept) AND (SELECT count(*) FROM con) >= 2
+  UNION ALL SELECT 'hybrid', CAST(component AS VARCHAR), conv FROM comp UNION ALL SELECT 'greedy', CAST(cluster AS VARCHAR), id FROM greedy)""",
+             "ev AS MATERIALIZED (SELECT DISTINCT conv AS id, unnest(ev) AS e FROM con)", "known AS MATERIALIZED (SELECT e, count(*) > 1 AS support FROM ev GROUP BY 1)", "ing AS MATERIALIZED (SELECT DISTINCT strategy, g, e FROM grouped JOIN ev USING (id))", f"st AS (SELECT unnest({STRATEGIES}) AS strategy)",
+             "uniq AS MATERIALIZED (SELECT DISTINCT strategy, e, support FROM ing JOIN known USING (e))", "fulls AS (SELECT strategy, avg(f) AS full_trace FROM (SELECT st.strategy AS strategy, ev.id AS id, CAST(count(u.e) = count(*) AS INTEGER) AS f FROM st CROSS JOIN ev JOIN known ON known.e = ev.e AND support LEFT JOIN uniq u ON u.strategy = st.strategy AND u.e = ev.e GROUP BY 1, 2) GROUP BY 1)",
+             "agree AS (SELECT strategy, g, max(n) / sum(n) AS a FROM (SELECT strategy, g, answer, count(*) AS n FROM grouped JOIN con ON conv = id WHERE answer IS NOT NULL AND answer <> '' GROUP BY ALL) GROUP BY 1, 2)", "shape AS (SELECT strategy, count(*) AS groups, avg(size) AS size, avg(coalesce(a, 0)) AS a FROM (SELECT strategy, g, count(*) AS size FROM grouped GROUP BY 1, 2) LEFT JOIN agree USING (strategy, g) GROUP BY 1)",
+             """m AS (SELECT st.strategy AS strategy, (SELECT count(*) FROM con) AS n, coalesce(groups, 0) AS groups, coalesce(size, 0) AS size, coalesce(a, 0) AS a, coalesce(full_trace, 0) AS ft, (SELECT count(*) FROM known) AS evidence, (SELECT count(*) FROM known WHERE support) AS wanted, (SELECT count(*) FROM ing WHERE ing.strategy = st.strategy) AS edges,
+  (SELECT count(*) FROM uniq WHERE uniq.strategy = st.strategy) AS uq, (SELECT count(*) FROM uniq WHERE uniq.strategy = st.strategy AND support) AS tr, (SELECT count(DISTINCT id) FROM grouped WHERE grouped.strategy = st.strategy) AS ids FROM st LEFT JOIN shape USING (strategy) LEFT JOIN fulls USING (strategy))""", recursive=True)
+       + """SELECT strategy, CASE WHEN groups = 0 THEN n ELSE groups END AS units, round(n / CASE WHEN groups = 0 THEN n ELSE groups END, 6) AS compression_ratio, round(ids / n, 6) AS covered, edges AS trace_edges, round(coalesce((edges - uq) / nullif(edges, 0), 0), 6) AS redundancy, round(coalesce(uq / nullif(evidence, 0), 0), 6) AS evidence_coverage,
+  round(coalesce(tr / nullif(wanted, 0), 0), 6) AS support_trace, round(ft, 6) AS full_trace, round(coalesce((uq - tr) / nullif(uq, 0), 0), 6) AS trace_noise, round(a, 6) AS answer_consistency, round(size, 6) AS average_group_size,
+  round(0.34 * coalesce(tr / nullif(wanted, 0), 0) + 0.24 * ft + 0.18 * a + 0.14 * coalesce(uq / nullif(evidence, 0), 0) + 0.10 * least(1.0, log2(1 + n / CASE WHEN groups = 0 THEN n ELSE groups END) / 3.0), 6) AS quality FROM m""")
+def recon_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five ways to build insights from conversations' memories, by what they save and what of the evidence they keep: none, each alone, by keywords, by hybrid links, by greedy centroids."""
+    c = stored(con(spark, sf_dir))
+    name = lambda rows, s, g: rows.select(F.lit(s).alias("strategy"), F.col(g).cast("string").alias("g"), F.col("conv").alias("id"))
+    found = connected_components(stored(hybrid_of(c).where(F.col("score") >= LINKED)).select("a", "b"))
+    hybrids = c.select("conv").join(found, F.col("conv") == F.col("id"), "left").select("conv", F.coalesce("label", "conv").alias("component"))
+    packed = vectors.packed_embedding(c.select("conv", "toks"), ["conv"], "toks").select("conv", F.lit(0).alias("grp"), vectors.dense(F.col("lookup")).alias("v"))
+    greedy = memory.greedy_clusters(packed, "grp", "conv", "v")
+    keyword = memory.insight_clusters(c.withColumn("k", F.slice("kw", 1, 8)), "conv", "k")
+    groups = stored(name(c.select("conv"), "flat", "conv").unionByName(name(keyword, "keyword", "cluster")).unionByName(name(hybrids, "hybrid", "component")).unionByName(name(greedy, "greedy", "cluster")))
+    m = memory.reconstruction_metrics(c.select(F.col("conv").alias("id"), "ev", "answer"), groups, STRATEGIES)
+    exact = ("strategy", "units", "trace_edges")
+    return m.select(*[F.col(x) if x in exact else F.round(x, 6).alias(x) for x in m.columns])
+
+
 @query(with_(MSG, CON) + """SELECT b.conv_id AS case_id, b.other AS other_case, b.shared, round(0.62 * b.cos + 0.18 * least(1.0, b.shared / 4.0), 6) AS score, row_number() OVER (PARTITION BY b.conv_id ORDER BY round(0.62 * b.cos + 0.18 * least(1.0, b.shared / 4.0), 9) DESC, b.other) AS rank FROM (
   SELECT x.conv AS conv_id, y.conv AS other, count(*) AS shared, count(*) / sqrt(any_value(x.n) * any_value(y.n)) AS cos FROM (SELECT conv, len(list_slice(kw, 1, 8)) AS n, unnest(list_slice(kw, 1, 8)) AS w FROM con) x JOIN (SELECT conv, len(list_slice(kw, 1, 8)) AS n, unnest(list_slice(kw, 1, 8)) AS w FROM con) y USING (w) WHERE x.conv <> y.conv GROUP BY 1, 2) b QUALIFY rank <= 3""")
 def case_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:

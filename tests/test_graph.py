@@ -147,7 +147,7 @@ def test_insight_clusters(spark):
 
 def test_greedy_clusters(spark):
     df = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.95, 0.05]), (0, 3, [0.0, 1.0]), (0, 4, [0.05, 0.95])], "g int, id int, v array<double>")
-    assert {r.id: r.cluster for r in memory.greedy_clusters(df, "g", "id", "v").collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
+    assert {r.id: r.cluster for r in memory.greedy_clusters(df, "g", "id", "v").collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
 def test_hybrid_score(spark):
@@ -171,3 +171,13 @@ def test_judge_policies(spark):
     with pytest.raises(ValueError):
         state.judge_wanted(F.col("r"), F.col("s"), "some")
     assert df.select(F.round(state.judged(F.lit(0.8), F.lit(0.5)), 6)).first()[0] == 0.68
+
+
+def test_reconstruction_metrics(spark):
+    held = spark.createDataFrame([(1, ["a", "b"], "x"), (2, ["b"], "x"), (3, ["c"], "y"), (4, [], None)], "id int, ev array<string>, answer string")
+    groups = spark.createDataFrame([("all", 1, 1), ("all", 1, 2), ("all", 1, 3), ("all", 1, 4), ("each", 1, 1), ("each", 2, 2), ("each", 3, 3), ("each", 4, 4), ("pair", 1, 1), ("pair", 1, 2)], "strategy string, g int, id int")
+    got = {r.strategy: r for r in memory.reconstruction_metrics(held, groups, ["none", "all", "each", "pair"]).collect()}
+    assert (got["none"].units, got["none"].compression_ratio, got["none"].evidence_coverage, got["none"].quality) == (4, 1.0, 0.0, round(0.1 / 3, 6))
+    assert (got["all"].units, got["all"].redundancy, got["all"].support_trace, round(got["all"].answer_consistency, 4)) == (1, 0.0, 1.0, 0.6667)
+    assert (got["each"].trace_edges, round(got["each"].redundancy, 4), got["each"].average_group_size) == (4, 0.25, 1.0)
+    assert (got["pair"].covered, got["pair"].full_trace, round(got["pair"].trace_noise, 4), got["pair"].answer_consistency) == (0.5, 1.0, 0.5, 1.0)

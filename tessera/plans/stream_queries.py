@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import objects
+from tessera.operators import graph, objects
 from tessera.operators.stored import folder, stored
-from tessera.streaming import events, ingest
+from tessera.streaming import events, ingest, shared_memory
 
 from . import base
 from .base import EMB, MSG, PAIRS
@@ -98,3 +98,59 @@ def object_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = object_log(spark, sf_dir).read("delta", ingest.DELTA).withColumn("_o", F.col("object")).withColumn("object", F.struct("object", "version"))
     hubs = objects.changed_hubs(d).select("object.object", "object.version", "entity", "op")
     return ingest.links(hubs, F.array(*[F.lit(v) for v in range(DELIVERIES)])).where("links > 0")
+
+
+# -- sessions of agents: a conversation is a session, four turns a task, a role an agent
+
+AGENT_EVENTS = """wr AS MATERIALIZED (SELECT id AS message, conv AS session, turn // 4 AS task, turn, role, least(0.95, 0.5 + 0.005 * len(toks)) AS confidence FROM msg),
+aev AS MATERIALIZED (SELECT session, task, 3 * turn AS seq, 'write' AS op, 'w:' || message AS node, role AS agent, NULL AS source, NULL AS target, CASE WHEN role = 'assistant' THEN 'session' ELSE 'working' END AS layer, confidence, message FROM wr
+  UNION ALL SELECT session, task, 3 * turn + 1, 'handoff', 'h:' || message, 'assistant', 'assistant', 'user', 'session', confidence, message FROM wr WHERE role = 'assistant'
+  UNION ALL SELECT session, task, 3 * max(turn) + 2, 'resolve', 'r:' || session || ':' || task, 'verifier', NULL, NULL, 'session', NULL, NULL FROM wr GROUP BY session, task HAVING count(*) FILTER (WHERE role = 'assistant') >= 2),
+ver AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY session, task ORDER BY seq, node) AS version FROM aev),
+cnf AS MATERIALIZED (SELECT c.node AS node, r.node AS resolution, c.confidence AS confidence, c.message AS message, row_number() OVER (PARTITION BY r.node ORDER BY c.confidence DESC, c.version DESC) AS r FROM ver c JOIN ver r ON r.op = 'resolve' AND c.op = 'write' AND c.agent = 'assistant' AND c.session = r.session AND c.task = r.task AND c.seq < r.seq),
+mem AS MATERIALIZED (SELECT v.* EXCLUDE (confidence, message), CASE WHEN s.node IS NULL THEN v.confidence ELSE least(0.98, greatest(0.7, s.confidence + 0.04)) END AS confidence, coalesce(s.message, v.message) AS message, CASE WHEN v.op = 'resolve' THEN 'resolved' WHEN m.r = 1 THEN 'selected' WHEN m.r > 1 THEN 'rejected' END AS conflict_status
+  FROM ver v LEFT JOIN cnf s ON s.resolution = v.node AND s.r = 1 LEFT JOIN cnf m ON m.node = v.node)"""
+
+
+def agent_log(spark: SparkSession, sf_dir: str) -> ingest.Log:
+    """Each message is written by its role, the assistant's are handed to the user, and the assistant's answers to a task, if there are several, end in a resolution."""
+    m = base.msg(spark, sf_dir).select(F.col("id").alias("message"), F.col("conv").cast("string").alias("session"), F.floor(F.col("turn") / 4).cast("long").alias("task"), F.col("turn").cast("long").alias("turn"), "role", F.least(F.lit(0.95), 0.5 + 0.005 * F.size("toks")).alias("confidence"))
+    w, none = stored(m), F.lit(None).cast("string")
+    ours = F.col("role") == "assistant"
+    event = lambda rows, at, op, node, agent, source, target, layer, confidence, message: rows.select("session", "task", at.cast("long").alias("seq"), F.lit(op).alias("op"), node.alias("node"), agent.alias("agent"), source.alias("source"), target.alias("target"), layer.alias("layer"), confidence.cast("double").alias("confidence"), message.cast("string").alias("message"))
+    session = F.lit("session")
+    writes = event(w, 3 * F.col("turn"), "write", F.concat(F.lit("w:"), "message"), F.col("role"), none, none, F.when(ours, session).otherwise("working"), F.col("confidence"), F.col("message"))
+    handed = event(w.where(ours), 3 * F.col("turn") + 1, "handoff", F.concat(F.lit("h:"), "message"), F.lit("assistant"), F.lit("assistant"), F.lit("user"), session, F.col("confidence"), F.col("message"))
+    ends = w.groupBy("session", "task").agg(F.max("turn").alias("turn"), F.count_if(ours).alias("n")).where("n >= 2")
+    resolved = event(ends, 3 * F.col("turn") + 2, "resolve", F.concat_ws(":", F.lit("r"), "session", "task"), F.lit("verifier"), none, none, session, F.lit(None), F.lit(None))
+    rows = stored(writes.unionByName(handed).unionByName(resolved))
+    log = ingest.Log(spark, folder(rows), rows.schema)
+    part = F.least(F.lit(DELIVERIES - 1), F.floor(F.floor(F.col("seq") / 3) / 3))
+    ingest.replay(log, [rows.where(part == n) for n in range(DELIVERIES)], shared_memory.folding(log, F.col("agent") == "assistant"))
+    return log
+
+
+@query(with_(MSG, AGENT_EVENTS) + "SELECT node, CAST(session AS VARCHAR) AS session_id, task AS task_id, agent AS agent_id, target AS target_agent_id, layer, op = 'handoff' AS handoff, version, round(confidence, 6) AS confidence, conflict_status FROM mem")
+def shared_memory_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared memory after three deliveries of events: versions, handoffs, and what conflicts were decided."""
+    m = shared_memory.memories(agent_log(spark, sf_dir))
+    return m.select("node", F.col("session").alias("session_id"), F.col("task").alias("task_id"), F.col("agent").alias("agent_id"), F.col("target").alias("target_agent_id"), "layer", (F.col("op") == "handoff").alias("handoff"), "version", F.round("confidence", 6).alias("confidence"), "conflict_status")
+
+
+SHARED = f"""seen AS MATERIALIZED (SELECT * FROM mem WHERE layer = 'session' AND (target IS NULL OR target = 'user') AND conflict_status IS DISTINCT FROM 'rejected' QUALIFY row_number() OVER (PARTITION BY session, task, agent, source, target, layer, op ORDER BY version DESC, node) = 1),
+ask AS MATERIALIZED (SELECT u.id AS q, s.node AS node, round(coalesce(cos, 0), 9) AS cos, s.confidence AS confidence FROM msg u JOIN seen s ON s.session = u.conv LEFT JOIN pairs p ON p.a_id = u.id AND p.b_id = s.message WHERE u.role = 'user'),
+one AS (SELECT node, count(*) AS usage FROM (SELECT node FROM ask QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(cos + 0.03 * confidence, 9) DESC, node) <= 3) GROUP BY 1)"""
+
+
+@query(with_(MSG, EMB, PAIRS, AGENT_EVENTS, SHARED) + """SELECT q AS query_id, node AS memory_id, round(s, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY s DESC, node) AS rank
+FROM (SELECT q, a.node AS node, round(cos + least(0.12, 0.02 * coalesce(usage, 0)) + 0.03 * confidence, 9) AS s FROM ask a LEFT JOIN one USING (node)) QUALIFY rank <= 3""")
+def shared_memory_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The user asks the session's memories twice: of each kind the newest version, meant for them and not rejected; what answered the first time counts as used the second."""
+    m = stored(shared_memory.visible(shared_memory.memories(agent_log(spark, sf_dir)), layers=["session"], agent="user", latest=True))
+    users = base.msg(spark, sf_dir).where("role = 'user'").select(F.col("id").alias("q"), F.col("conv").cast("string").alias("session"))
+    cos = base.scored_pairs(spark, sf_dir).where("a_role = 'user'").select(F.col("a_id").alias("q"), F.col("b_id").alias("message"), "cos")
+    ask = stored(users.join(m, "session").join(cos, ["q", "message"], "left").select("q", "node", F.coalesce("cos", F.lit(0.0)).alias("cos"), "confidence"))
+    plain = F.col("cos") + 0.03 * F.col("confidence")
+    first = graph.top_k(ask.withColumn("s", F.round(plain, 9)), "q", "s", "node", 3).groupBy("node").agg(F.count("*").alias("usage"))
+    again = ask.join(first, "node", "left").withColumn("s", F.round(F.col("cos") + F.least(F.lit(0.12), 0.02 * F.coalesce("usage", F.lit(0))) + 0.03 * F.col("confidence"), 9))
+    return graph.top_k(again, "q", "s", "node", 3).select(F.col("q").alias("query_id"), F.col("node").alias("memory_id"), F.round("s", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

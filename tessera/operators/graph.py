@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,6 +172,40 @@ def rescue(baseline: DataFrame, support: DataFrame, edges: DataFrame, candidates
     return base.join(new, "q", "left").join(all_, "q", "left").select("q", n("base_hits"), n("expanded"), n("rescued"), n("wanted"))
 
 
+def rescue_walk(seeds: DataFrame, edges: DataFrame, scored: Callable[[DataFrame], DataFrame], hops: int, per_seed: int, least: float) -> DataFrame:
+    """(q, node, seed, path, weight, cos, depth, ord): the steps that a walk takes from each seed of a query, breadth first, over a node's strongest edges first.
+
+    seeds: (q, seed, rank); edges: (src, dst, weight); scored gives pairs (q, node) their cos. A step counts against its
+    seed's budget of `per_seed` whether or not its end was reached before; ends of a cosine under `least`, on the path, or
+    the query itself are passed over. A seed never holds more than its budget, so a level is at most the seeds' budgets wide.
+    """
+    front = seeds.select("q", "seed", F.col("seed").alias("node"), F.array("seed").alias("path"), F.lit(0).cast("long").alias("ord"))
+    used, out = seeds.select("q", "seed", F.lit(0).cast("long").alias("used")), None
+    place = Window.partitionBy("q", "seed").orderBy("from", F.desc("weight"), "node")
+    for depth in range(1, hops + 1):
+        ways = front.join(used.where(F.col("used") < per_seed), ["q", "seed"]).join(edges.select(F.col("src").alias("node"), "dst", "weight"), "node")
+        ways = ways.where((F.col("dst") != F.col("q")) & ~F.array_contains("path", F.col("dst")))
+        ends = scored(ways.select("q", "seed", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"), "weight", F.col("ord").alias("from"), "used"))
+        taken = ends.where(F.col("cos") >= least).withColumn("ord", F.row_number().over(place).cast("long")).where(F.col("ord") + F.col("used") <= per_seed)
+        step = stored(taken.select("q", "seed", "node", "path", "weight", "cos", F.lit(depth).alias("depth"), "ord"))
+        out = step if out is None else out.unionByName(step)
+        front = step.select("q", "seed", "node", "path", "ord")
+        used = used.unionByName(step.groupBy("q", "seed").agg(F.count("*").alias("used"))).groupBy("q", "seed").agg(F.sum("used").alias("used"))
+    return out
+
+
+def rescue_cases(baseline: DataFrame, support: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rescue()'s rows for nodes found (keys, q, node) by any walk, a row for each of keys and query of the baseline (q, node)."""
+    rel = support.select("q", "node").withColumn("rel", F.lit(1))
+    each = found.select(*keys).distinct()  # a few settings
+    base = baseline.join(rel, ["q", "node"], "left").groupBy("q").agg(F.count("rel").alias("base_hits")).crossJoin(F.broadcast(each))
+    fresh = found.select(*keys, "q", "node").distinct().join(baseline.select("q", "node"), ["q", "node"], "left_anti")
+    new = fresh.join(rel, ["q", "node"], "left").groupBy(*keys, "q").agg(F.count("*").alias("expanded"), F.count("rel").alias("rescued"))
+    wanted = support.groupBy("q").agg(F.count("*").alias("wanted"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return base.join(new, [*keys, "q"], "left").join(wanted, "q", "left").select(*keys, "q", n("base_hits"), n("expanded"), n("rescued"), n("wanted"))
+
+
 def rescue_metrics(cases: DataFrame, keys: list[str]) -> DataFrame:
     """Rescue totals by keys, of rescue()'s rows."""
     eligible = (F.col("base_hits") > 0) & (F.col("wanted") > F.col("base_hits"))

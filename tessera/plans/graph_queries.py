@@ -290,6 +290,35 @@ def evidence_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.rescue_metrics(cases, [])
 
 
+RESCUE_SEEDS, RESCUE_BUDGET, RESCUE_LEAST = 2, 3, 0.05
+
+
+def _rescue_walk_sql(hops: int) -> list[str]:
+    parts = [f"r0 AS (SELECT q, node AS seed, node, [node] AS path, 0 AS o FROM hits WHERE rank <= {RESCUE_SEEDS})"]
+    for d in range(1, hops + 1):
+        used = " + ".join([f"coalesce((SELECT count(*) FROM r{i} u WHERE u.q = r.q AND u.seed = r.seed), 0)" for i in range(1, d)] or ["0"])
+        parts.append(f"""r{d} AS MATERIALIZED (SELECT q, seed, node, path, weight, o FROM (SELECT r.q AS q, r.seed AS seed, e.dst AS node, list_append(r.path, e.dst) AS path, e.weight AS weight, row_number() OVER (PARTITION BY r.q, r.seed ORDER BY r.o, e.weight DESC, e.dst) AS o, {used} AS used
+  FROM r{d - 1} r JOIN edges e ON e.src = r.node JOIN sim s ON s.src = r.q AND s.dst = e.dst WHERE e.dst <> r.q AND NOT list_contains(r.path, e.dst) AND s.cos >= {RESCUE_LEAST}) WHERE o + used <= {RESCUE_BUDGET})""")
+    return parts
+
+
+@query(with_(VEC, SIM, EDGES, BASE_HITS, SUPPORT, *_rescue_walk_sql(3), "walked AS (" + " UNION ALL ".join(f"SELECT {h} AS hops, q, node FROM r{d}" for h in (1, 2, 3) for d in range(1, h + 1)) + ")",
+             "fresh AS (SELECT DISTINCT hops, q, node FROM walked w WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.q = w.q AND h.node = w.node))",
+             """cases AS (SELECT g.hops AS hops, b.q AS q, b.base_hits AS base_hits, coalesce(f.expanded, 0) AS expanded, coalesce(f.rescued, 0) AS rescued, coalesce(w.wanted, 0) AS wanted FROM (SELECT h.q AS q, count(s.q) AS base_hits FROM hits h LEFT JOIN support s ON s.q = h.q AND s.node = h.node GROUP BY 1) b CROSS JOIN (SELECT unnest([1, 2, 3]) AS hops) g
+  LEFT JOIN (SELECT hops, f.q AS q, count(*) AS expanded, count(s.q) AS rescued FROM fresh f LEFT JOIN support s ON s.q = f.q AND s.node = f.node GROUP BY 1, 2) f ON f.q = b.q AND f.hops = g.hops LEFT JOIN (SELECT q, count(*) AS wanted FROM support GROUP BY 1) w ON w.q = b.q)""")
+       + RATES.format(RESCUE_TOTALS.format(keys="hops,", group="GROUP BY hops")))
+def rescue_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What walks of one, two and three hops from the two best hits find of the evidence that the hits lack, each seed with a budget of steps."""
+    nodes = stored(base.vec(spark, sf_dir))
+    near = stored(base.near(nodes, K))
+    hits = near.select(F.col("src").alias("q"), F.col("dst").alias("node"), "rank")
+    e = near.where(F.col("cos") >= base.THRESHOLD).select("src", "dst", F.col("cos").alias("weight"))
+    seeds = hits.where(F.col("rank") <= RESCUE_SEEDS).select("q", F.col("node").alias("seed"), "rank")
+    walked = graph.rescue_walk(seeds, e, lambda pairs: base.pair_cos(pairs, nodes).drop("usage", "conf"), 3, RESCUE_BUDGET, RESCUE_LEAST)
+    found = walked.select(F.explode(F.sequence("depth", F.lit(3))).alias("hops"), "q", "node")
+    return graph.rescue_metrics(graph.rescue_cases(hits, support(spark, sf_dir), found, ["hops"]), ["hops"])
+
+
 @query(with_(VEC, SIM, "grid AS (SELECT k, t FROM (SELECT unnest([1, 2, 4, 8]) AS k), (SELECT unnest([0.10, 0.18]) AS t))",
              "e AS (SELECT k, t, src, dst, cos FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY cos DESC, dst) AS r FROM sim), grid WHERE cos >= t AND r <= k)")
        + "SELECT CAST(k AS BIGINT) AS top_k_edges, CAST(t AS DOUBLE) AS threshold, count(*) AS edge_count, count(DISTINCT src) AS sources, round(avg(cos), 6) AS mean_score, round(count(*) / (SELECT count(*) FROM vec), 6) AS edges_per_node FROM e GROUP BY 1, 2")

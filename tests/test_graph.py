@@ -181,3 +181,15 @@ def test_reconstruction_metrics(spark):
     assert (got["all"].units, got["all"].redundancy, got["all"].support_trace, round(got["all"].answer_consistency, 4)) == (1, 0.0, 1.0, 0.6667)
     assert (got["each"].trace_edges, round(got["each"].redundancy, 4), got["each"].average_group_size) == (4, 0.25, 1.0)
     assert (got["pair"].covered, got["pair"].full_trace, round(got["pair"].trace_noise, 4), got["pair"].answer_consistency) == (0.5, 1.0, 0.5, 1.0)
+
+
+def test_rescue_walk_counts_every_step_against_its_seed(spark):
+    edges = [("s", "a", 0.9), ("s", "b", 0.8), ("s", "q", 0.99), ("a", "b", 0.7), ("a", "c", 0.6), ("a", "s", 0.5), ("b", "d", 0.9), ("c", "e", 0.9), ("t", "far", 0.9), ("t", "a", 0.2)]
+    cos = {"a": 0.5, "b": 0.5, "c": 0.5, "d": 0.5, "e": 0.5, "s": 0.9, "far": 0.01}
+    scored = lambda pairs: pairs.join(spark.createDataFrame(list(cos.items()), "node string, cos double"), "node")
+    run = lambda hops, budget: graph.rescue_walk(spark.createDataFrame([("q", "s", 1), ("q", "t", 2)], "q string, seed string, rank int"), spark.createDataFrame(edges, "src string, dst string, weight double"), scored, hops, budget, 0.05)
+    steps = lambda df: [(r.seed, ">".join(r.path)) for r in df.orderBy("seed", "depth", "ord").collect()]
+    assert steps(run(1, 9)) == [("s", "s>a"), ("s", "s>b"), ("t", "t>a")]
+    assert steps(run(2, 3)) == [("s", "s>a"), ("s", "s>b"), ("s", "s>a>b"), ("t", "t>a"), ("t", "t>a>b"), ("t", "t>a>c")]
+    assert steps(run(3, 5))[:5] == [("s", "s>a"), ("s", "s>b"), ("s", "s>a>b"), ("s", "s>a>c"), ("s", "s>b>d")]
+    assert steps(run(3, 7))[5:7] == [("s", "s>a>b>d"), ("s", "s>a>c>e")]

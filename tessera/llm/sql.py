@@ -99,8 +99,8 @@ FROM ruled LEFT JOIN (SELECT u, score FROM score WHERE part = 'judge') s USING (
 
 OP12 = """
 WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x FROM embeddings
-    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS MATERIALIZED (SELECT a.r AS ar, a.vec_id AS anchor_id, a.label = b.label AS own, b.r, b.vec_id, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS s FROM e a JOIN e b ON b.r <> a.r WHERE a.vec_id % 50 = 0),
 p AS (SELECT ar, anchor_id, r, vec_id AS positive_id, s AS positive_score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY ar ORDER BY s DESC, r) <= 5)
 SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.s AS negative_score

@@ -133,7 +133,8 @@ def walk(start: DataFrame, hops: int, nodes: DataFrame, edges: Edges | None, sum
 
     start: (q, node, rank, seed), a query's hits; its seeds are where it begins. Without `edges` only the context's own
     edges are there. Context edges are taken from the seeds alone. signals: each step taken; best: (q, node, path, g), the
-    first of the best paths. An arrival goes on if it beats all before it, in the order of the queue.
+    first of the best paths. An arrival goes on if it beats all before it, in the order of the queue. Graph scores have nine
+    digits, so that paths of equal weights tie whatever the order of addition.
     """
     frontier = start.where("seed").select("q", "node", F.array("node").alias("path"), F.lit(0.0).alias("g"), F.col("rank").cast("long").alias("ord"))
     reached = start.select("q", "node", F.array("node").alias("path"), F.lit(0.0).alias("g"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ord"))
@@ -156,7 +157,7 @@ def walk(start: DataFrame, hops: int, nodes: DataFrame, edges: Edges | None, sum
             steps = steps.join(hidden, "next", "left_anti")
         best = reached.groupBy("q", "node").agg(F.max("g").alias("so_far"))
         took = frontier.join(steps, "node").where((F.col("next") != F.col("q")) & ~F.array_contains("path", F.col("next"))).select(
-            "q", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), (F.col("g") + F.col("weight") / (depth + 1)).alias("g"), "relation", F.col("ord").alias("from_ord"), "src", "dst", F.lit(depth + 1).alias("depth")
+            "q", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.round(F.col("g") + F.col("weight") / (depth + 1), 9).alias("g"), "relation", F.col("ord").alias("from_ord"), "src", "dst", F.lit(depth + 1).alias("depth")
         )
         queue = ["from_ord", "src", "dst", "relation"]
         arrival = Window.partitionBy("q", "node").orderBy(*queue).rowsBetween(Window.unboundedPreceding, -1)
@@ -177,7 +178,7 @@ def lend(signals: DataFrame, best: DataFrame, loans: DataFrame) -> tuple[DataFra
     """The walk with what similar cases lend. loans: (q, node, case, match, conf), a row for each support node of a query's cases, of which the best case's counts."""
     order = Window.partitionBy("q", "node").orderBy(F.desc("match"), "case")
     score, boost = analogy_signal(F.col("match"), F.col("conf"))
-    lent = loans.withColumn("r", F.row_number().over(order)).where("r = 1").select("q", "node", F.array("case", "node").alias("path"), score.alias("g"), boost.alias("boost"))
+    lent = loans.withColumn("r", F.row_number().over(order)).where("r = 1").select("q", "node", F.array("case", "node").alias("path"), F.round(score, 9).alias("g"), boost.alias("boost"))
     more = lent.select("q", "node", "path", "g", F.lit("analogy_case_reuse").alias("relation"), F.col("path")[0].alias("src"), F.col("node").alias("dst"), F.lit(1).alias("depth"))
     old = best.select("q", "node", F.col("path").alias("p"), F.col("g").alias("b"))
     both = old.join(lent, ["q", "node"], "full")

@@ -115,7 +115,7 @@ def _walk_sql(w: str, lexical: bool, steps: tuple[str, ...], usage: str = "0") -
             ways = "SELECT node, nxt, e.s AS src, e.d AS dst, weight, relation FROM context WHERE false"
         so_far = f"SELECT q, node, 0.0::DOUBLE AS g FROM {w}_hits" + (f" UNION ALL SELECT q, node, g FROM {w}_f1" if d else "")
         out += [
-            f"{w}_t{d + 1} AS MATERIALIZED (SELECT f.q AS q, s.nxt AS node, list_append(path, s.nxt) AS path, g + weight / {d + 1} AS g, relation, src, dst, {d + 1} AS depth, row_number() OVER (PARTITION BY f.q ORDER BY o, src, dst, relation) AS o FROM {w}_f{d} f JOIN ({ways}) s ON s.node = f.node WHERE s.nxt <> f.q AND NOT list_contains(path, s.nxt) {hidden})",
+            f"{w}_t{d + 1} AS MATERIALIZED (SELECT f.q AS q, s.nxt AS node, list_append(path, s.nxt) AS path, round(g + CAST(weight AS DOUBLE) / {d + 1}, 9) AS g, relation, src, dst, {d + 1} AS depth, row_number() OVER (PARTITION BY f.q ORDER BY o, src, dst, relation) AS o FROM {w}_f{d} f JOIN ({ways}) s ON s.node = f.node WHERE s.nxt <> f.q AND NOT list_contains(path, s.nxt) {hidden})",
             f"{w}_f{d + 1} AS MATERIALIZED (SELECT t.q AS q, t.node AS node, path, t.g AS g, o FROM (SELECT *, max(g) OVER (PARTITION BY q, node ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {w}_t{d + 1}) t LEFT JOIN (SELECT q, node, max(g) AS g FROM ({so_far}) GROUP BY 1, 2) b ON b.q = t.q AND b.node = t.node WHERE t.g > coalesce(before, '-inf'::DOUBLE) AND t.g > coalesce(b.g, '-inf'::DOUBLE))",
         ]
     sigs = " UNION ALL ".join(f"SELECT q, node, path, g, relation, src, dst, depth FROM {w}_t{d + 1}" for d in range(HOPS))
@@ -143,7 +143,7 @@ WALKS = {"full": ("w", False, ("context", "ruled")), "no_graph": ("none", False,
 LOANS = f"""alike AS MATERIALIZED (SELECT a.q AS q, o.q AS old, round(0.62 * greatest(0.0, coalesce(c, 0)) + 0.18 * least(1.0, len(list_intersect(a.kw, o.kw)) / 4.0), 9) AS match FROM asked a JOIN asked o ON o.ctx = a.ctx AND o.ord < a.ord LEFT JOIN ncos ON ncos.a = a.q AND ncos.b = o.q
     QUALIFY row_number() OVER (PARTITION BY a.q ORDER BY match DESC, o.q) <= {retrieval.CASES}),
 held AS (SELECT q AS old, node, CASE WHEN any_good THEN 0.76 ELSE 0.62 END AS conf FROM (SELECT h.q AS q, h.node AS node, h.rank AS rank, h.node = a.gold AS good, bool_or(h.node = a.gold) OVER (PARTITION BY h.q) AS any_good FROM w_hits h JOIN asked a ON a.q = h.q) WHERE CASE WHEN any_good THEN good ELSE rank <= 3 END),
-loans AS MATERIALIZED (SELECT q, node, ['case:' || old, node] AS path, least(1.0, 0.72 * match + 0.18 * conf + 0.10) AS g, least(0.16, 0.12 * match) AS boost FROM alike JOIN held USING (old) WHERE node <> q QUALIFY row_number() OVER (PARTITION BY q, node ORDER BY match DESC, 'case:' || old) = 1),
+loans AS MATERIALIZED (SELECT q, node, ['case:' || old, node] AS path, round(least(1.0, 0.72 * match + 0.18 * conf + 0.10), 9) AS g, least(0.16, 0.12 * match) AS boost FROM alike JOIN held USING (old) WHERE node <> q QUALIFY row_number() OVER (PARTITION BY q, node ORDER BY match DESC, 'case:' || old) = 1),
 lent_hits AS (SELECT * FROM w_hits), lent_sig AS MATERIALIZED (SELECT * FROM w_sig UNION ALL SELECT q, node, path, g, 'analogy_case_reuse', path[1], node, 1 FROM loans),
 lent_best AS MATERIALIZED (SELECT q, node, CASE WHEN b.g IS NULL OR l.g > b.g THEN l.path ELSE b.path END AS path, CASE WHEN b.g IS NULL OR l.g > b.g THEN l.g ELSE b.g END AS g, l.boost AS boost FROM (SELECT q, node, path, g FROM w_best) b FULL JOIN loans l USING (q, node))"""
 

@@ -76,9 +76,9 @@ TYPED = "typed AS (SELECT *, CASE WHEN usage = 0 THEN 'summary' WHEN id % 5 = 0
 @query(with_(VEC, SIM, TYPED) + """SELECT src AS query_id, dst AS node_id, kind AS node_type, row_number() OVER (PARTITION BY src ORDER BY cos DESC, dst) AS rank FROM sim JOIN typed ON typed.id = dst WHERE kind <> 'summary' QUALIFY rank <= 4""")
 def typed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best four of a query's context that are not of an excluded node type."""
-    kind = F.when(F.col("usage") == 0, "summary").when(F.col("dst") % 5 == 0, "consolidated").otherwise("episodic")
-    s = base.sim(base.vec(spark, sf_dir)).withColumn("node_type", kind).where("node_type <> 'summary'")
-    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("cos"), "dst"))).where("rank <= 4")
+    kind = F.when(F.col("dst") % 5 == 0, "consolidated").otherwise("episodic")
+    summary = F.when(F.col("usage") == 0, float("-inf")).otherwise(0.0)  # a score below any least one
+    ranked = base.near(base.vec(spark, sf_dir), 4, -2.0, summary).withColumn("node_type", kind)
     return ranked.select(F.col("src").alias("query_id"), F.col("dst").alias("node_id"), "node_type", F.col("rank").cast("long").alias("rank"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators.stored import stored
 
 from . import base
 from .base import EDGES, EMB, MSG, PAIRS, SIM, VEC, table
@@ -102,14 +103,13 @@ rel AS (SELECT c.conv AS conv, coalesce(list(DISTINCT relation_type) FILTER (WHE
 SELECT a AS case_id, b AS other_case, round(0.54 * shared / n + 0.32 * CASE WHEN len(list_distinct(list_concat(x.rels, y.rels))) = 0 THEN 0 ELSE len(list_intersect(x.rels, y.rels)) / len(list_distinct(list_concat(x.rels, y.rels))) END + 0.14 * CASE WHEN len(y.rels) > 0 THEN 1 ELSE 0 END, 6) AS score FROM sh JOIN rel x ON x.conv = a JOIN rel y ON y.conv = b""")
 def hint_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How useful another case is as a hint: shared keywords, like relations, and whether it has any relations at all."""
-    c = con(spark, sf_dir)
-    each = c.select("conv", F.least(F.size("kw"), F.lit(8)).alias("n"), F.explode(F.slice("kw", 1, 8)).alias("w"))
-    shared = each.select(F.col("conv").alias("a"), "n", "w").join(each.select(F.col("conv").alias("b"), "w"), "w").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    c = stored(con(spark, sf_dir).select("conv", F.slice("kw", 1, 8).alias("kw")))
     made = rules(spark, sf_dir).where("relation_type is not null").groupBy("conv").agg(F.collect_set("relation_type").alias("rels"))
-    rel = c.select("conv").join(made, "conv", "left").select("conv", F.coalesce("rels", F.array().cast("array<string>")).alias("rels"))
-    side = lambda p: rel.select(F.col("conv").alias(p), F.col("rels").alias(f"r{p}"))
-    s = shared.join(side("a"), "a").join(side("b"), "b")
-    score = 0.54 * F.col("shared") / F.col("n") + 0.32 * text.jaccard(F.col("ra"), F.col("rb")) + F.when(F.size("rb") > 0, 0.14).otherwise(0.0)
+    rel = stored(c.join(made, "conv", "left").select("conv", "kw", F.coalesce("rels", F.array().cast("array<string>")).alias("rels")))
+    side = lambda p: rel.select(F.col("conv").alias(p), F.col("kw").alias(f"k{p}"), F.col("rels").alias(f"r{p}"), F.explode("kw").alias("w"))
+    # a pair is scored where it meets at the first of its words: pairs are not shuffled
+    s = base.tiled(side("a"), side("b"), "w", "a", "b").where("a <> b").withColumn("both", F.array_intersect("ka", "kb")).where(F.col("w") == F.array_min("both"))
+    score = 0.54 * F.size("both") / F.size("ka") + 0.32 * text.jaccard(F.col("ra"), F.col("rb")) + F.when(F.size("rb") > 0, 0.14).otherwise(0.0)
     return s.select(F.col("a").alias("case_id"), F.col("b").alias("other_case"), F.round(score, 6).alias("score"))
 
 

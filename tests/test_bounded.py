@@ -5,10 +5,11 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera import plans
-from tessera.operators import graph, memory, nearest
+from tessera.operators import graph, hybrid, memory, nearest
 from tessera.plans import base, graph_queries
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +70,47 @@ def test_most_shared(spark):
         scored = [(-round(len(set(x) & set(y)) / (len(x) * len(y)) ** 0.5, 9), b, len(set(x) & set(y))) for b, y in rows if a != b and set(x) & set(y)]
         want += [(a, b, n, r + 1) for r, (_, b, n) in enumerate(sorted(scored)[:3])]
     assert sorted((r.a, r.b, r.shared, r["rank"]) for r in found) == sorted(want)
+
+
+def test_hybrid_tiles(spark):
+    """Pairs, sums and components of links over several blocks, some of them empty, against all pairs."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(70):
+        v = rng.standard_normal(8)
+        pick = lambda p, n, top: [f"{p}{x}" for x in dict.fromkeys(rng.integers(0, top, n).tolist())]  # noqa: B023, E731
+        rows.append((i * 3, pick("k", int(rng.integers(0, 14)), 60), pick("e", int(rng.integers(0, 4)), 9), [None, "", "x", "y"][i % 4], (v / np.linalg.norm(v)).tolist()))
+    given = spark.createDataFrame(rows, "id long, kw array<string>, ev array<string>, answer string, v array<double>")
+    want = {}
+    for (a, ka, ea, wa, va), (b, kb, eb, wb, vb) in itertools.combinations(rows, 2):
+        if set(ka[:8]) & set(kb[:8]):
+            share = lambda x, y: len(set(x) & set(y)) / max(1, len(set(x) | set(y)))
+            want[a, b] = 0.35 * max(0.0, float(np.dot(va, vb))) + 0.35 * share(ka, kb) + 0.2 * share(ea, eb) + 0.1 * bool(wa and wa == wb)
+    for size in (10, 8192):
+        found = {(r.a, r.b): r.score for r in hybrid.pairs(given, size).collect()}
+        assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 2e-9 for p in want)
+        got, linked = hybrid.links(given, 0.3, size).collect(), {p: s for p, s in want.items() if s >= 0.3}
+        assert abs(sum(r.s for r in got if r.s is not None) - sum(linked.values())) < 1e-6
+
+        def parts(edges):
+            label = {r[0]: r[0] for r in rows}
+            for a, b in edges:
+                x, y = label[a], label[b]
+                label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+            return label
+
+        assert parts([(r.a, r.b) for r in got if r.s is None]) == parts(linked)
+
+
+def test_pagerank_of_similar(spark):
+    """similar_pagerank() in chunks of queries against pagerank() over all pairs' priors."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((30, 4))
+    nodes = spark.createDataFrame([(i, i % 2, x.tolist(), 0.5) for i, x in enumerate(v)] + [(90, 0, None, 0.5), (91, 5, [1.0], 0.5)], "id long, grp long, v array<double>, conf double")
+    s = base.sim(nodes.selectExpr("*", "sqrt(aggregate(v, 0D, (s, x) -> s + x * x)) AS norm", "0 AS usage"))
+    e = base.top_edges(s, "cos").select("grp", "src", "dst", F.col("cos").alias("weight"))
+    total = F.sum(F.greatest(F.lit(0.0), "cos")).over(Window.partitionBy("src"))
+    priors = s.select("grp", F.col("src").alias("q"), F.col("dst").alias("node"), (F.greatest(F.lit(0.0), "cos") / F.when(total == 0, 1.0).otherwise(total)).alias("p"))
+    want = {(r.q, r.node): r["rank"] for r in graph.pagerank(priors, e, "grp").collect()}
+    found = {(r.q, r.node): r["rank"] for r in graph.similar_pagerank(nodes, e.drop("grp"), queries=4, cells=40).collect()}
+    assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-9 for p in want)

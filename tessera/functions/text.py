@@ -118,8 +118,9 @@ def answer_terms(text: Column) -> Column:
 
 def term_coverage(gold: Column, haystack: Column) -> Column:
     """Share of the gold answer's terms that occur in the lower-cased haystack; 0 with under two terms."""
-    terms = answer_terms(gold)
-    return F.when(F.size(terms) < 2, F.lit(0.0)).otherwise(F.size(F.filter(terms, lambda t: F.contains(haystack, t))) / F.size(terms))
+    held = F.array(F.struct(answer_terms(gold).alias("terms"), haystack.alias("text")))  # bound by a lambda, so that neither is made anew for each term
+    share = lambda s: F.when(F.size(s["terms"]) < 2, F.lit(0.0)).otherwise(F.size(F.filter(s["terms"], lambda t: F.contains(s["text"], t))) / F.size(s["terms"]))
+    return F.transform(held, share)[0]
 
 
 def safe_divide(numerator: Column, denominator: Column) -> Column:

@@ -95,3 +95,11 @@ def test_centroid(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 3.0), (1, [0.0, 1.0], 4.0), (2, [0.0, 0.0], 1.0)], "g int, v array<double>, w double")
     got = {r.g: [round(x, 6) for x in r.embedding] for r in vectors.centroid(df, ["g"], "v", F.col("w")).collect()}
     assert got == {1: [0.6, 0.8], 2: [0.0, 0.0]}
+
+
+def test_term_coverage_reads_a_text_once(spark):
+    """The text is not lower-cased again for each of the answer's terms."""
+    df = spark.createDataFrame([("alpha beta gamma delta", "ALPHA and Beta, gamma"), ("one", "ONE"), (None, "x"), ("alpha beta", None)], "g string, h string")
+    shares = df.select(text.term_coverage(F.col("g"), F.lower("h")).alias("s"))
+    assert [r.s for r in shares.collect()] == [0.75, 0.0, 0.0, 0.0]
+    assert "contains(lower(" not in shares._jdf.queryExecution().optimizedPlan().toString().lower()

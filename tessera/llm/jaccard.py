@@ -208,6 +208,13 @@ def choose_matches(n: int, frequencies: np.ndarray) -> int:
     return best
 
 
+def _among(rows: DataFrame, key: str, ids: DataFrame, of: str) -> DataFrame:
+    """rows whose key is one of ids' column `of`, without moving them: the ids go to all tasks, by 256 neighbouring keys, as a byte each."""
+    held = ids.groupBy(F.shiftright(of, 8).alias("_near")).agg(F.collect_set((F.col(of).bitwiseAND(255) - 128).cast("byte")).alias("_held"))
+    there = F.array_contains("_held", (F.col(key).bitwiseAND(255) - 128).cast("byte"))
+    return rows.withColumn("_near", F.shiftright(key, 8)).join(F.broadcast(held), "_near").where(there).drop("_near", "_held")
+
+
 _POSTINGS = "token long, id long, n int, have int, prefix int"
 
 
@@ -242,8 +249,8 @@ def _verify(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep.append(links(int((both[1:] == both[:-1]).sum()), n[i], m[i]))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    left = classes.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
+    left = _among(classes.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x")), "a", pairs, "a")
+    right = _among(classes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b", pairs, "b")
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
     return map_materialize(both, run, "a long, b long", "verified-links")
 
@@ -263,12 +270,13 @@ def _may_link(n: str, m: str, have: str, have_m: str) -> str:
     return f"{NUMERATOR} * ({n} + {m}) <= {NUMERATOR + DENOMINATOR} * least({have}, {have_m})"
 
 
-def _hub_pairs(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(postings: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
     """(a, b): each class with the hub, of another component, with which it shares most prefix tokens.
 
-    A list's hub is, in the first turn, its class of the largest share of repeated tokens; later, one drawn by hash.
+    A list's hub is, in the first turn, its class of the largest share of repeated tokens; later, one drawn by hash. Without
+    labels each class is a component of its own.
     """
-    p = postings.join(labels, "id")
+    p = postings.withColumn("label", F.col("id")) if labels is None else postings.join(labels, "id")
     rank = F.col("have") / F.col("n") if not turn else F.xxhash64("id", F.lit(turn))
     hub = p.groupBy("token").agg(F.max(F.struct(rank.alias("rank"), "id", "label", "n", "have", "prefix")).alias("hub"))
     met = p.join(hub, "token").where("label <> hub.label").where(_may_link("n", "hub.n", "have", "hub.have"))
@@ -277,16 +285,14 @@ def _hub_pairs(postings: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
 
 
 def _count_shared(table: pa.Table) -> pa.Table:
-    """Of one class and its posting lists: the classes of larger components with which it shares enough prefix tokens."""
-    lists = table.column("list").combine_chunks()
-    entry = pc.list_flatten(lists)
-    y, n, have, prefix, size, label = (np.array(pc.struct_field(entry, c), np.int64) for c in ("id", "n", "have", "prefix", "size", "label"))
-    mine = {c: table.column(c)[0].as_py() for c in ("id", "n", "have", "prefix", "size", "label")}
+    """Of one class and what it may link to of its posting lists: the classes with which it shares enough prefix tokens."""
+    entry = pc.list_flatten(table.column("list").combine_chunks())
+    y, n, prefix = (np.array(pc.struct_field(entry, c), np.int64) for c in ("id", "n", "prefix"))
+    mine = {c: table.column(c)[0].as_py() for c in ("id", "n", "prefix")}
     y, first, shared = np.unique(y, return_index=True, return_counts=True)
-    n, have, prefix, size, label = (v[first] for v in (n, have, prefix, size, label))
-    larger = (size > mine["size"]) | ((size == mine["size"]) & (label > mine["label"]))
+    n, prefix = n[first], prefix[first]
     least = -(-NUMERATOR * (n + mine["n"]) // (NUMERATOR + DENOMINATOR))
-    good = larger & (least <= np.minimum(have, mine["have"])) & (shared >= least - np.maximum(n - prefix, mine["n"] - mine["prefix"]))
+    good = shared >= least - np.maximum(n - prefix, mine["n"] - mine["prefix"])
     return pa.table({"a": pa.array(np.full(int(good.sum()), mine["id"])), "b": pa.array(y[good])})
 
 
@@ -296,7 +302,7 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     Each class looks up the posting lists of its prefix tokens and counts there; of two components, the smaller one's classes
     look for the larger one's, so a list's largest component only waits. Lists go as arrays, cut by a hash of the class into
     parts of about LIST entries; what a task counts at once is a class's parts of its prefix tokens' lists, so it grows with the
-    class's prefix. No row is made for a pair and a token.
+    class's prefix. No row is made for a pair and a token, and of a list only the entries that a class may link to are moved on.
     """
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
     p = postings.join(labels.join(sizes, "label"), "id")
@@ -307,6 +313,8 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-longest // LIST))))
     lists = p.groupBy("token", part.alias("part")).agg(F.collect_list(F.struct("id", "n", "have", "prefix", "size", "label")).alias("list"))
     asked = p.where("not waits").select("token", "id", "n", "have", "prefix", "size", "label").join(lists, "token")
+    able = F.filter("list", lambda e: (F.struct(e["size"], e["label"]) > F.struct("size", "label")) & (NUMERATOR * (e["n"] + F.col("n")) <= (NUMERATOR + DENOMINATOR) * F.least(e["have"], "have")))
+    asked = asked.select("id", "part", "n", "prefix", F.transform(able, lambda e: F.struct(e["id"], e["n"], e["prefix"])).alias("list")).where("size(list) > 0")
     return asked.groupBy("id", "part").applyInArrow(_count_shared, "a long, b long").distinct()
 
 
@@ -324,14 +332,14 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     able = sets.where("tokens is not null")
     identity = ["first_key", "second_key", "n"]
     chosen = materialize(able.groupBy(*identity).agg(F.min("doc_id").alias("least_doc"), F.min("key").alias("id"), F.count("*").alias("copies")), "class-names")
-    classes = materialize(able.join(chosen.select("id"), able["key"] == F.col("id"), "left_semi").select(F.col("key").alias("id"), "n", "tokens", "frequencies"), "shingle-classes")
+    classes = materialize(_among(able, "key", chosen, "id").select(F.col("key").alias("id"), "n", "tokens", "frequencies"), "shingle-classes")
     postings = _postings(classes)
     repeated = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     postings = materialize(postings.join(repeated, "token"), "prefix-postings")
     labels = classes.select("id", F.col("id").alias("label"))
     found = None
     for turn in range(hub_rounds + 1):
-        pairs = _cross_pairs(postings, labels) if turn == hub_rounds else _hub_pairs(postings, labels, turn)
+        pairs = _cross_pairs(postings, labels) if turn == hub_rounds else _hub_pairs(postings, None if found is None else labels, turn)
         pairs = materialize(pairs.select("a", "b"), "candidate-pairs")
         linked = _verify(pairs, classes)
         if linked.isEmpty():

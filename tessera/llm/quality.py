@@ -4,8 +4,8 @@ An n-gram's indicator (it occurs in the text or not) is scaled by the log of the
 linear hinge-loss model on these scaled indicators is fitted by dual coordinate descent; its margins become probabilities by
 a sigmoid that is fitted on margins of held-back folds.
 
-The model is fitted on a bounded sample of labelled rows (`max_train`, those whose doc_id hashes lowest), so what reaches the
-driver is bounded; scoring covers every whole text, in one pass without a shuffle, with weights of a fixed size.
+The model is fitted by a task on a bounded sample of labelled rows (`max_train`, those whose doc_id hashes lowest), and only
+its weights reach the driver; scoring covers every whole text, in one pass without a shuffle, with weights of a fixed size.
 
 Defined results: null and empty texts have no n-grams and get the score of the bias alone; labels with null doc_id or
 quality are ignored, and several labels of a doc_id count as 1 if their mean is at least a half; with labels of fewer than
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks
+from .blocks import blocks, give_back
 
 #: Labelled documents that a model is fitted on, at most.
 MAX_TRAIN = 8000
@@ -175,8 +175,8 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: int, text: str = "text", doc_id: str = "doc_id") -> tuple[list[np.ndarray], np.ndarray]:
-    """(features, labels) of at most about max_train labelled documents that are not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_train: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, x, y): features and labels of at most about max_train labelled documents that are not held out, in one partition.
 
     The doc_ids of the sample, of bounded number, are sent to the scan of the documents; what comes back are features. Of
     several documents of one doc_id, all are taken, up to twice max_train rows, in the order of a hash of doc_id and of the features.
@@ -191,13 +191,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_train: i
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(x, pa.binary()), rows.column("y")], ["doc_id", "x", "y"])
 
     taken = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    out = taken.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x binary, y int").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * max_train)
-    held = sorted((r.doc_id, bytes(r.x), r.y) for r in out.toLocalIterator())
-    return [np.frombuffer(x, "<u4").astype(np.int32) for _, x, _ in held], np.array([y for *_, y in held], np.int64)
+    return taken.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, x binary, y int").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(2 * max_train)
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all training rows of a task, as a row."""
+    held = sorted(r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("doc_id", "x", "y")], strict=True))
+    model = fit([np.frombuffer(x, "<u4").view(np.int32) for _, x, _ in held], np.array([y for *_, y in held], np.int64))
+    cells = (model.weights.tobytes(), model.bias, model.slope, model.offset)
+    held.clear()
+    give_back()
+    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.binary(), *[pa.float64()] * 3), strict=True)], ["weights", "bias", "slope", "offset"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, text: str = "text", doc_id: str = "doc_id") -> LinearModel:
-    return fit(*training_sample(docs, labels, label, max_train, text, doc_id))
+    """Fitted by a task, on rows of bounded number: the driver gets the weights, a number for each feature."""
+    r = training_rows(docs, labels, label, max_train, text, doc_id).mapInArrow(_fit_rows, "weights binary, bias double, slope double, offset double").first()
+    return fit([], np.zeros(0, np.int64)) if r is None else LinearModel(np.frombuffer(r.weights, np.float32), r.bias, r.slope, r.offset)
 
 
 def score(docs: DataFrame, model: LinearModel, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -56,7 +56,8 @@ def most_shared(cases: DataFrame, key: str, keywords: str, score: Column, k: int
     sets = F.aggregate(F.array_sort(keywords), F.array(F.lit("")), lambda got, w: F.concat(got, F.transform(got, lambda g: F.concat(g, F.lit("\x01"), w))))
     each = cases.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.size(keywords).alias("n"), F.explode(F.slice(sets, 2, 1 << 30)).alias("words"))
     first = each.withColumn("_r", F.row_number().over(Window.partitionBy("words", "n").orderBy("id"))).where(F.col("_r") <= k + 1)
-    met = each.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "words").join(first.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "words"), "words").where("a <> b")
+    # 2^n rows a case of which Spark's estimate tells one: never to be broadcast
+    met = each.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "words").join(first.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "words").hint("merge"), "words").where("a <> b")
     size = F.length("words") - F.length(F.replace("words", F.lit("\x01"), F.lit("")))
     pairs = met.groupBy("a", "b").agg(F.max(size).cast("long").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     return ranked(pairs.withColumn("s", score), ["a"], [F.desc("s"), "b"], k)

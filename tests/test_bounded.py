@@ -72,6 +72,13 @@ def test_most_shared(spark):
     assert sorted((r.a, r.b, r.shared, r["rank"]) for r in found) == sorted(want)
 
 
+def test_sets_of_cases_are_not_broadcast(spark, tmp_path):
+    """A stored table of cases is small where the sets of its keywords, 255 a case, are not."""
+    spark.createDataFrame([(i, [f"w{i % 7}", f"v{i % 5}"]) for i in range(50)], "id long, kw array<string>").write.parquet(f"{tmp_path}/cases")
+    found = memory.most_shared(spark.read.parquet(f"{tmp_path}/cases"), "id", "kw", F.col("shared").cast("double"), 3)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 150
+
+
 def test_hybrid_tiles(spark):
     """Pairs, sums and components of links over several blocks, some of them empty, against all pairs."""
     rng = np.random.default_rng(7)

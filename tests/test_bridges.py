@@ -28,3 +28,16 @@ def test_search_against_the_walk(spark):
         assert (r.path, round(r.g, 9), r.cos) == (path, round(g, 9), cos)
     assert {q: sorted((-score(r.path, r.g, r.cos), r.node) for r in got if r.q == q)[:4] for q in want} == want
     assert any(len(r.path) == 3 for r in got) and any(len(r.path) == 2 for r in got) and len(got) <= 6 * len(want)
+
+
+def test_links_are_read_and_not_copied_to_blocks(spark):
+    """What a block needs of the links grows with the links, so moving it grows with links times blocks: only queries are moved. Pieces and batches of any size find the same."""
+    idx, x = [0, 1], np.random.default_rng(3).standard_normal((40, 2))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    units = [(i, i // 2, idx, x[i].tolist(), [i % 5, 5 + i % 7]) for i in range(40)]
+    asked = [(i, i // 2, idx, x[i].tolist(), [(1, i + 1, units[i + 1][4])]) for i in range(0, 40, 2)]
+    given = spark.createDataFrame(asked, "q long, object long, idx array<int>, val array<double>, seeds array<struct<rank:int,node:long,ents:array<long>>>"), spark.createDataFrame(units, "id long, object long, idx array<int>, val array<double>, ents array<long>")
+    found = bridges.search(*given, 3, 0.86, 2, rows=4, batch=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    assert sorted(found.collect()) == sorted(bridges.search(*given, 3, 0.86, 2).collect())

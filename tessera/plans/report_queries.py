@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators import hybrid
 from tessera.operators.stored import stored
 
 from . import base
@@ -105,12 +106,13 @@ def hint_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How useful another case is as a hint: shared keywords, like relations, and whether it has any relations at all."""
     c = stored(con(spark, sf_dir).select("conv", F.slice("kw", 1, 8).alias("kw")))
     made = rules(spark, sf_dir).where("relation_type is not null").groupBy("conv").agg(F.collect_set("relation_type").alias("rels"))
-    rel = stored(c.join(made, "conv", "left").select("conv", "kw", F.coalesce("rels", F.array().cast("array<string>")).alias("rels")))
-    side = lambda p: rel.select(F.col("conv").alias(p), F.col("kw").alias(f"k{p}"), F.col("rels").alias(f"r{p}"), F.explode("kw").alias("w"))
-    # a pair is scored where it meets at the first of its words: pairs are not shuffled
-    s = base.tiled(side("a"), side("b"), "w", "a", "b").where("a <> b").withColumn("both", F.array_intersect("ka", "kb")).where(F.col("w") == F.array_min("both"))
-    score = 0.54 * F.size("both") / F.size("ka") + 0.32 * text.jaccard(F.col("ra"), F.col("rb")) + F.when(F.size("rb") > 0, 0.14).otherwise(0.0)
-    return s.select(F.col("a").alias("case_id"), F.col("b").alias("other_case"), F.round(score, 6).alias("score"))
+    rel = stored(c.join(made, "conv", "left").select(F.col("conv").cast("long").alias("id"), "kw", F.coalesce("rels", F.array().cast("array<string>")).alias("kinds")))
+
+    def score(shared: int, n: int, a: frozenset, b: frozenset) -> float:
+        like = len(a & b) / len(a | b) if a | b else 0.0
+        return text.half_up(0.54 * shared / n + 0.32 * like + (0.14 if b else 0.0), 6)
+
+    return hybrid.by_table(rel, score).select(F.col("a").alias("case_id"), F.col("b").alias("other_case"), "score")
 
 
 @query(with_(MSG, EMB, PAIRS, SCORES, STRATEGY_EDGES) + """, s AS (SELECT strategy, count(*) AS n, min(score) AS lo, max(score) AS hi FROM sedges GROUP BY 1)

@@ -121,3 +121,18 @@ def test_pagerank_of_similar(spark):
     want = {(r.q, r.node): r["rank"] for r in graph.pagerank(priors, e, "grp").collect()}
     found = {(r.q, r.node): r["rank"] for r in graph.similar_pagerank(nodes, e.drop("grp"), queries=4, cells=40).collect()}
     assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_contexts_are_stored_once_whatever_the_number_of_chunks(spark):
+    """Contexts of several sizes in one folder or in their own: chunks are read, not shuffled, and find the same."""
+    rng = np.random.default_rng(4)
+    nodes = spark.createDataFrame([(i, f"g{(i % 9) % 4}", rng.standard_normal(3).tolist(), 0.5) for i in range(45)] + [(99, None, [1.0, 0.0, 0.0], 0.5)], "id long, grp string, v array<double>, conf double")
+    e = spark.createDataFrame([(i, (i + 9) % 45, 0.5) for i in range(45)], "src long, dst long, weight double")
+    whole = sorted(graph.similar_pagerank(nodes, e).collect())
+    assert len(whole) == sum(n * (n - 1) for n in (15, 10, 10, 10))
+    for chunk in (2, 6):
+        found = graph.similar_pagerank(nodes, e, queries=chunk)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(found.collect())
+        assert [r[:2] for r in got] == [r[:2] for r in whole] and np.allclose([r[2:] for r in got], [r[2:] for r in whole])
+    assert graph.similar_pagerank(nodes.limit(0), e).count() == 0
